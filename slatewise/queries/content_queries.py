@@ -366,7 +366,7 @@ def merge_provenance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _profile_sql(source: str, columns: dict[str, bool]) -> str:
-    parts = [f"SELECT '*' AS "column", 'row_count' AS metric, count(*)::DOUBLE AS value FROM {source}"]
+    parts = [f"SELECT '*' AS column, 'row_count' AS metric, count(*)::DOUBLE AS value FROM {source}"]
     for name, number in columns.items():
         parts.append(f"SELECT '{name}', 'missing_fraction', round(avg(({name} IS NULL)::INT), 6) FROM {source}")
         parts.append(f"SELECT '{name}', 'unique_count', count(DISTINCT {name})::DOUBLE FROM {source}")
@@ -420,7 +420,7 @@ def _leaky(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("leakage_correlation", f"WITH {_LEAK_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS "column", round(abs(corr({c}, label)), 6) AS correlation, abs(corr({c}, label)) >= 0.95 AS leaked FROM l" for c in ("price", "leak", "tax", "part")))
+@query("leakage_correlation", f"WITH {_LEAK_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS column, round(abs(corr({c}, label)), 6) AS correlation, abs(corr({c}, label)) >= 0.95 AS leaked FROM l" for c in ("price", "leak", "tax", "part")))
 def leakage_correlation(spark: SparkSession, folder: str) -> DataFrame:
     return quality.correlation_leakage(_leaky(spark, folder)).select("column", r6("correlation", "correlation"), "leaked")
 

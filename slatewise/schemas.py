@@ -35,7 +35,7 @@ ARTIST = (
 BOOK = "title string, author_name array<string>, first_publish_year long, subject array<string>, cover_i long, key string"
 FILM_CREDITS = "title string, crew array<struct<name:string,job:string>>, cast array<struct<name:string>>, overview string, release_date string"
 
-EVENT = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 SNAPSHOT = (
     "dataset_id string, version string, license_name string, source_uri string, snapshot_utc string, "
     "content_hash string, schema_hash string, domain string, record_limit long, rejected long"

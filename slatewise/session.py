@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,12 @@ def build_session(name: str = "slatewise", cores: str = "*", shuffle_partitions:
     return spark
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the storage named by ``spark.checkpoint.dir``; in local tests, where none is named, under /tmp."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def reliable_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage into the shared folder named by ``spark.checkpoint.dir``.
 

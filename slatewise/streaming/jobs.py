@@ -10,8 +10,9 @@ from slatewise.operators.bandits import beta_state
 from slatewise.operators.eventlog import request_counters
 
 
-def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100, only: str | None = None) -> DataFrame:
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return (reader.option("pathGlobFilter", only) if only else reader).parquet(path)
 
 
 def ingest_distinct(stream: DataFrame, time: str, delay: str, key: str = "item_id") -> DataFrame:
@@ -68,3 +69,22 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     )
     query.awaitTermination()
     return query
+
+
+def run_updates(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Update mode: the changed rows of each batch go to ``batch=<number>`` below ``path``; a repeated batch replaces itself."""
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def newest_updates(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """Last written row of each key."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (key, "batch")]
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+    return newest.select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
