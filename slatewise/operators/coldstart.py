@@ -105,7 +105,7 @@ def cold_start_candidates(
         )
     )
     heads = top_n_per_group(catalog, ["title"], [F.col("pos")], k, "__n").drop("__n")
-    matched = requests.join(overlap, "query_text").join(heads, "title").withColumn("noise_score", _noise())
+    matched = requests.join(overlap, "query_text").withColumn("noise_score", _noise()).join(heads, "title")
 
     # (2) head of the catalogue, long enough for the bound to be tight
     head_size = min(total, max(k, int(8 * math.sqrt(total)) if total else 0))
@@ -117,7 +117,8 @@ def cold_start_candidates(
     head = top_n_per_group(no_words(head).withColumn("score", full), ["query_id"], by_score, k, "__n")
     head = head.withColumn("__bound", F.min("score").over(Window.partitionBy("query_id")))
 
-    parts = [matched.withColumn("score", full), head]
+    best_matches = top_n_per_group(matched.withColumn("score", full), ["query_id"], by_score, k, "__n")
+    parts = [best_matches, head]
     if total > head_size:
         # (3) prior must make up for the rest: static(pos) <= prior(pos) + decay(head) + meta
         decay_cap = w.decay * (math.exp(-math.log(2.0) / w.half_life * head_size) if w.half_life > 0.0 else 1.0)

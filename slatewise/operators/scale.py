@@ -24,6 +24,18 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan over all cores when it has fewer splits than cores, before heavy per-row work.
+
+    On a large table there are more splits than cores and nothing is moved. Splits beyond the file's row groups are empty,
+    so a scan counts as narrow below four splits per core.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 4 * cores else df.repartition(2 * cores)
+
+
 def top_n_per_group(
     df: DataFrame,
     keys: Sequence[str],

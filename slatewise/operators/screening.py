@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.functions import expressions as X
+from slatewise.operators.scale import spread
 
 # Blocked patterns in the order they are tried.
 BLOCKED_PATTERNS = (
@@ -57,7 +58,7 @@ def redact(clean: Column) -> tuple[Column, Column]:
 
 def screen_text(texts: DataFrame, text: str = "text", max_length: int = ScreenLimits.query_length) -> DataFrame:
     """Adds allowed, status, reason, sanitized, redactions. First rule that fires decides."""
-    with_clean = texts.withColumn("__clean", strip_controls(F.coalesce(F.col(text), F.lit(""))))
+    with_clean = spread(texts).withColumn("__clean", strip_controls(F.coalesce(F.col(text), F.lit(""))))
     masked, kinds = redact(F.col("__clean"))
     staged = with_clean.withColumn("__blocked", blocked_reason(F.col("__clean"))).withColumn("__masked", masked).withColumn("__kinds", kinds)
     reason = (
@@ -143,7 +144,7 @@ def route_by_keywords(
     """
     table = weights or KEYWORD_WEIGHTS
     lower = F.lower(F.coalesce(F.col(text), F.lit("")))
-    routed = texts.withColumn("__lower", lower)
+    routed = spread(texts).withColumn("__lower", lower)
     routed = routed.withColumn("__words", F.array_distinct(F.regexp_extract_all("__lower", F.lit("[a-z]+"), F.lit(0))))
     scores = []
     for words in table.values():

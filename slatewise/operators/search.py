@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slatewise.functions import expressions as X
-from slatewise.operators.scale import bounded_broadcast
+from slatewise.operators.scale import bounded_broadcast, spread
 
 
 @F.pandas_udf(T.StringType())
@@ -30,6 +30,7 @@ def match_form(text: Column | str) -> Column:
 
 
 GRAM = 3
+STATISTICS_SHARE = 16
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -46,15 +47,18 @@ def contained_pairs(needles: DataFrame, bodies: DataFrame) -> DataFrame:
     rarest letter.
     """
     needles = needles.select("needle").filter(F.col("needle") != "").distinct()
+    bodies = spread(bodies)
     candidates = None
     short = F.length("needle") < GRAM
     for size, part in ((GRAM, ~short), (1, short)):
         if size == 1 and not needles.filter(part).limit(1).count():
             continue
+        # Any group of a needle gives the same pairs; how rare it is only decides the work, so a few bodies tell enough.
+        some = bodies.filter(F.pmod(F.xxhash64("body_id"), F.lit(STATISTICS_SHARE)) == 0)
+        frequency = some.select(F.explode(_grams(F.col("body"), size)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
         held = bodies.select("body_id", F.explode(_grams(F.col("body"), size)).alias("g"))
-        spread = held.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
         asked = needles.filter(part).select("needle", F.explode(_grams(F.col("needle"), size)).alias("g"))
-        rarest = asked.join(spread, "g", "left").groupBy("needle").agg(F.min_by("g", F.coalesce("n", F.lit(0))).alias("g"))
+        rarest = asked.join(frequency, "g", "left").groupBy("needle").agg(F.min_by("g", F.coalesce("n", F.lit(0))).alias("g"))
         found = held.join(bounded_broadcast(rarest), "g").select("needle", "body_id")
         candidates = found if candidates is None else candidates.unionByName(found)
     return candidates.join(bodies, "body_id").filter(F.contains("body", "needle")).select("needle", "body_id")

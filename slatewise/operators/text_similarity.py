@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from slatewise.functions import expressions as X
 from slatewise.operators.blocked_topk import BROADCAST_QUERIES, blocked_top_k
-from slatewise.operators.scale import top_n_per_group
+from slatewise.operators.scale import spread
 
 
 def bag_of_words(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_short: bool = False) -> DataFrame:
     """(key, token, tf). Words of two or more characters; ``keep_short`` splits on blanks and keeps every piece."""
+    docs = spread(docs)
     words = X.blank_tokens(text) if keep_short else X.word_list(text)
     return docs.select(key, F.explode(words).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -64,7 +65,7 @@ def text_top_k(
     words = X.word_list("text") if words is None else words
     extra = ["self_pos"] if exclude_self else []
     return blocked_top_k(
-        items.select("pos", words.alias("words")),
+        spread(items).select("pos", words.alias("words")),
         queries.select("query_id", words.alias("words"), *extra),
         k,
         _prepare,
