@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 Z_95 = 1.96
 FACTORS = (0.8, 0.9, 1.0, 1.1, 1.2)
-_COLUMNS = ("name", "value", "n", "variance", "lower", "upper")
 
 
 def importance_ratio(clip_min: float = 0.0, clip_max: float = float("inf"), logging: Column | None = None) -> Column:
@@ -17,42 +16,46 @@ def importance_ratio(clip_min: float = 0.0, clip_max: float = float("inf"), logg
     return F.when((p > 0.0) & (t > 0.0), F.greatest(F.lit(clip_min), F.least(F.lit(clip_max), t / p)))
 
 
-def _estimate(values: DataFrame, keys: list[str], name: Column, value: str = "x") -> DataFrame:
-    """Mean, sample variance and interval of column ``x``; fewer than two values give variance 0."""
-    stats = values.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
-    return _interval(stats.withColumn("name", name), keys)
+def _estimate(values: DataFrame, keys: list[str], name: Column, value: str = "__x") -> DataFrame:
+    """Mean, sample variance and interval of column ``__x``; fewer than two values give variance 0."""
+    stats = values.groupBy(*keys).agg(F.count(value).alias("__n"), F.avg(value).alias("__m"), F.var_samp(value).alias("__v"))
+    return _interval(stats.withColumn("__name", name), keys)
 
 
 def _interval(stats: DataFrame, keys: list[str]) -> DataFrame:
-    mean = F.coalesce(F.col("m"), F.lit(0.0))
-    variance = F.when(F.col("n") < 2, 0.0).otherwise(F.col("v"))
-    error = F.when(F.col("n") < 2, 0.0).otherwise(Z_95 * F.sqrt(F.col("v") / F.col("n")))
-    return stats.select(*keys, "name", mean.alias("value"), "n", variance.alias("variance"), (mean - error).alias("lower"), (mean + error).alias("upper"))
+    """name, value, n, variance, lower, upper from __name, __m, __n, __v."""
+    few = F.col("__n") < 2
+    mean = F.coalesce(F.col("__m"), F.lit(0.0))
+    error = F.when(few, 0.0).otherwise(Z_95 * F.sqrt(F.col("__v") / F.col("__n")))
+    return stats.select(
+        *keys, F.col("__name").alias("name"), mean.alias("value"), F.col("__n").alias("n"), F.when(few, 0.0).otherwise(F.col("__v")).alias("variance"),
+        (mean - error).alias("lower"), (mean + error).alias("upper"),
+    )
 
 
 def ips(events: DataFrame, keys: list[str], clip_min: float = 0.0, clip_max: float = float("inf")) -> DataFrame:
-    weighted = events.withColumn("x", importance_ratio(clip_min, clip_max) * F.col("reward"))
+    weighted = events.withColumn("__x", importance_ratio(clip_min, clip_max) * F.col("reward"))
     return _estimate(weighted, keys, F.lit("ips"))
 
 
 def snips(events: DataFrame, keys: list[str], clip_min: float = 0.0, clip_max: float = float("inf")) -> DataFrame:
     """Self-normalised; the variance of the weighted rewards is taken around this estimate, from centred moments."""
-    w = events.withColumn("w", importance_ratio(clip_min, clip_max)).withColumn("x", F.col("w") * F.col("reward"))
+    w = events.withColumn("__w", importance_ratio(clip_min, clip_max)).withColumn("__x", F.col("__w") * F.col("reward"))
     stats = w.groupBy(*keys).agg(
-        F.count("x").alias("n"), F.avg("x").alias("mx"), F.var_pop("x").alias("vx"), F.sum("x").alias("sx"),
-        F.sum(F.when(F.col("x").isNotNull(), F.col("w"))).alias("sw"),
+        F.count("__x").alias("__n"), F.avg("__x").alias("__mean"), F.var_pop("__x").alias("__var"), F.sum("__x").alias("__sum"),
+        F.sum(F.when(F.col("__x").isNotNull(), F.col("__w"))).alias("__mass"),
     )
-    mean = F.when(F.col("sw") > 0.0, F.col("sx") / F.col("sw")).otherwise(0.0)
-    stats = stats.withColumn("m", mean)
+    stats = stats.withColumn("__m", F.when(F.col("__mass") > 0.0, F.col("__sum") / F.col("__mass")).otherwise(0.0))
     # sum (x - m)^2 = n * (var_pop + (mean_x - m)^2)
-    variance = F.col("n") * (F.col("vx") + (F.col("mx") - F.col("m")) * (F.col("mx") - F.col("m"))) / (F.col("n") - 1)
-    return _interval(stats.withColumn("v", F.when(F.col("n") > 1, variance)).withColumn("name", F.lit("snips")), keys)
+    offset = F.col("__mean") - F.col("__m")
+    variance = F.col("__n") * (F.col("__var") + offset * offset) / (F.col("__n") - 1)
+    return _interval(stats.withColumn("__v", F.when(F.col("__n") > 1, variance)).withColumn("__name", F.lit("snips")), keys)
 
 
 def doubly_robust(events: DataFrame, keys: list[str], clip_min: float = 0.0, clip_max: float = float("inf")) -> DataFrame:
     direct = F.coalesce(F.col("direct_estimate"), F.lit(0.0))
     value = direct + importance_ratio(clip_min, clip_max) * (F.col("reward") - direct)
-    return _estimate(events.withColumn("x", value), keys, F.lit("doubly_robust"))
+    return _estimate(events.withColumn("__x", value), keys, F.lit("doubly_robust"))
 
 
 def sensitivity(events: DataFrame, keys: list[str], factors: tuple[float, ...] = FACTORS, clip_min: float = 0.0, clip_max: float = float("inf")) -> DataFrame:
@@ -60,9 +63,9 @@ def sensitivity(events: DataFrame, keys: list[str], factors: tuple[float, ...] =
     columns = []
     for i, factor in enumerate(factors):
         x = importance_ratio(clip_min, clip_max, F.col("logging_propensity") * factor) * F.col("reward")
-        columns.append(F.struct(F.lit(f"ips_perturbed_{factor:.2f}").alias("name"), F.count(x).alias("n"), F.avg(x).alias("m"), F.var_samp(x).alias("v")).alias(f"f{i}"))
+        columns.append(F.struct(F.lit(f"ips_perturbed_{factor:.2f}").alias("__name"), F.count(x).alias("__n"), F.avg(x).alias("__m"), F.var_samp(x).alias("__v")).alias(f"__f{i}"))
     wide = events.groupBy(*keys).agg(*columns)
-    long = wide.select(*keys, F.inline(F.array(*[F.col(f"f{i}") for i in range(len(factors))])))
+    long = wide.select(*keys, F.inline(F.array(*[F.col(f"__f{i}") for i in range(len(factors))])))
     return _interval(long, keys)
 
 
@@ -74,7 +77,7 @@ def ate_weighted(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Average treatment effect by inverse propensity. Columns treatment, outcome, propensity."""
     p = _clipped("propensity")
     x = F.when(F.col("treatment") == 1, F.col("outcome") / p).otherwise(-F.col("outcome") / (1.0 - p))
-    return _estimate(rows.withColumn("x", x), keys, F.lit("ate_ipw"))
+    return _estimate(rows.withColumn("__x", x), keys, F.lit("ate_ipw"))
 
 
 def ate_doubly_robust(rows: DataFrame, keys: list[str], name: str = "ate_dr") -> DataFrame:
@@ -82,7 +85,7 @@ def ate_doubly_robust(rows: DataFrame, keys: list[str], name: str = "ate_dr") ->
     p = _clipped("propensity")
     treated = F.col("y1") + (F.col("outcome") - F.col("y1")) / p - F.col("y0")
     control = F.col("y1") - (F.col("y0") + (F.col("outcome") - F.col("y0")) / (1.0 - p))
-    return _estimate(rows.withColumn("x", F.when(F.col("treatment") == 1, treated).otherwise(control)), keys, F.lit(name))
+    return _estimate(rows.withColumn("__x", F.when(F.col("treatment") == 1, treated).otherwise(control)), keys, F.lit(name))
 
 
 def off_policy_report(events: DataFrame, keys: list[str], clip_min: float = 0.0, clip_max: float = float("inf")) -> DataFrame:
