@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from slatewise.functions import expressions as X
+from slatewise.operators.scale import HOT_GROUP_ROWS, running_sums
 
 STRATEGIES = ("cdf", "survival_weighted", "defer", "defuse")
 
@@ -65,16 +66,19 @@ def survival_weight(label: Column, elapsed: Column, rate: float = 0.1) -> Column
     return F.when(label > 0, 1.0).otherwise(1.0 / X.clip(F.exp(-elapsed * rate), 1e-6, 1.0))
 
 
-def delays_from_events(events: DataFrame, start: tuple[str, ...], goal: tuple[str, ...], user: str = "user_id", time: str = "ts") -> DataFrame:
+def delays_from_events(
+    events: DataFrame, start: tuple[str, ...], goal: tuple[str, ...], user: str = "user_id", time: str = "ts", hot_rows: int | None = HOT_GROUP_ROWS
+) -> DataFrame:
     """(user, event_id, started, delay_hours, label) for each start event: hours to the user's next goal event, or null.
 
     The next goal is a running minimum over the user's events from the end, so nothing is joined.
     """
-    later = Window.partitionBy(user).orderBy(F.col(time).desc(), F.col("event_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    goal_time = F.when(F.col("event_type").isin(*goal), F.col(time).cast("timestamp"))
-    marked = events.withColumn("__next", F.min(goal_time).over(later))
-    starts = marked.filter(F.col("event_type").isin(*start))
-    seconds = F.unix_micros("__next") - F.unix_micros(F.col(time).cast("timestamp"))
-    return starts.select(
-        user, "event_id", F.col(time).alias("started"), (seconds / 3.6e9).alias("delay_hours"), F.col("__next").isNotNull().cast("int").alias("label")
+    if set(start) & set(goal):
+        raise ValueError("an event type cannot be both start and goal")
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    timed = events.filter(F.col("event_type").isin(*start, *goal)).withColumn("__at", micros)
+    timed = timed.withColumn("__goal", F.when(F.col("event_type").isin(*goal), F.col("__at"))).withColumn("__back", -F.col("__at")).withColumn("__id", -F.col("event_id"))
+    marked = running_sums(timed, [user], ["__back", "__id"], {"__next": "__goal"}, hot_rows, least=True)
+    return marked.filter(F.col("event_type").isin(*start)).select(
+        user, "event_id", F.col(time).alias("started"), ((F.col("__next") - F.col("__at")) / 3.6e9).alias("delay_hours"), F.col("__next").isNotNull().cast("int").alias("label")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.functions import expressions as X
-from slatewise.operators.scale import HOT_GROUP_ROWS, numbered
+from slatewise.operators.scale import HOT_GROUP_ROWS, numbered, settle
 
 
 def cohort_exposure_penalty(
@@ -17,6 +17,7 @@ def cohort_exposure_penalty(
 
     Adds ``penalized_score`` and ``new_rank``. Rows without a cohort are never penalised.
     """
+    hot_rows = settle(slates, ["query_id"], hot_rows)
     counted = numbered(slates, ["query_id", cohort], [rank], "__seen", hot_rows)
     excess = F.col("__seen") - max_per_cohort
     penalty = F.when(F.col(cohort).isNotNull() & (excess > 0), excess * step).otherwise(0.0)
@@ -36,6 +37,7 @@ def diversity_rerank(
     """
     if relevance_weight <= 0.0 or diversity_weight < 0.0:
         raise ValueError("relevance weight must be positive and diversity weight not negative")
+    hot_rows = settle(slates, ["query_id"], hot_rows)
     negated = slates.withColumn("__neg", -F.col("score"))
     counted = numbered(negated, ["query_id", group], ["__neg", rank], "__nth", hot_rows).withColumn("__nth", F.col("__nth") - 1)
     capped = (F.col("__nth") >= max_per_group).cast("int")

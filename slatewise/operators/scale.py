@@ -75,16 +75,19 @@ def running_sums(
     sums: dict[str, str],
     hot_rows: int | None = HOT_GROUP_ROWS,
     buckets: int = 64,
+    least: bool = False,
 ) -> DataFrame:
-    """Inclusive running sums per group along ``order`` (numeric columns, ascending, unique within a group).
+    """Inclusive running sums (or, with ``least``, running minima) per group along ``order`` (numeric columns, ascending,
+    unique within a group).
 
     ``sums`` maps output column to input column. A plain window does this with one task per group, so groups above
     ``hot_rows`` are cut into ordered buckets first: bucket borders come from a hash sample of the group and travel as
-    a small table (one row per hot group), each bucket is summed by its own task, and the totals of the earlier buckets
+    a small table (one row per hot group), each bucket is folded by its own task, and the totals of the earlier buckets
     are added. The result is the same either way. ``hot_rows=None`` skips the size check where the caller has already cut
     every group to a few rows.
     """
     keys = list(keys)
+    fold = F.min if least else F.sum
     work = df
     if not keys:
         work = df.withColumn("__all", F.lit(0))
@@ -97,7 +100,7 @@ def running_sums(
     if not hot:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         for name, source in sums.items():
-            work = work.withColumn(name, F.sum(source).over(window))
+            work = work.withColumn(name, fold(source).over(window))
         return work.drop("__all")
 
     spark = df.sparkSession
@@ -125,17 +128,17 @@ def running_sums(
     ).drop("__borders")
     local = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     for name, source in sums.items():
-        placed = placed.withColumn(name, F.sum(source).over(local))
+        placed = placed.withColumn(name, fold(source).over(local))
     earlier = Window.partitionBy(*[f"__r_{k}" for k in keys]).orderBy("__r_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
         placed.groupBy(*keys, "__bucket")
-        .agg(*[F.sum(source).alias(f"__t_{name}") for name, source in sums.items()])
+        .agg(*[fold(source).alias(f"__t_{name}") for name, source in sums.items()])
         .withColumnsRenamed({**{k: f"__r_{k}" for k in keys}, "__bucket": "__r_bucket"})
     )
     offsets = totals.select(
         *[f"__r_{k}" for k in keys],
         "__r_bucket",
-        *[F.coalesce(F.sum(f"__t_{name}").over(earlier), F.lit(0)).alias(f"__o_{name}") for name in sums],
+        *[fold(f"__t_{name}").over(earlier).alias(f"__o_{name}") for name in sums],
     ).filter(F.col("__r_bucket") > 0)
     joined = placed.join(
         F.broadcast(offsets),
@@ -143,10 +146,21 @@ def running_sums(
         "left",
     )
     for name in sums:
-        joined = joined.withColumn(name, F.col(name) + F.coalesce(F.col(f"__o_{name}"), F.lit(0)))
+        mine, before = F.col(name), F.col(f"__o_{name}")
+        # A bucket or a prefix holding only nulls has no value yet.
+        both = F.least(mine, before) if least else F.when(mine.isNull(), before).otherwise(mine + F.coalesce(before, F.lit(0)))
+        joined = joined.withColumn(name, both)
     return joined.select(*df.columns, *sums.keys())
 
 
+def settle(df: DataFrame, keys: Sequence[str], hot_rows: int | None) -> int | None:
+    """``hot_rows`` when some group is larger, else None: one check for several calls that share their keys."""
+    if hot_rows is None:
+        return None
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return hot_rows if sizes.filter(F.col("__n") > hot_rows).limit(1).count() else None
+
+
 def numbered(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "number", hot_rows: int | None = HOT_GROUP_ROWS
 ) -> DataFrame:

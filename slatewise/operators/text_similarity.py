@@ -22,32 +22,30 @@ def bag_of_words(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_
 
 
 def _prepare(batch: pd.DataFrame):
+    """Inverted index of the batch: per word the queries holding it and how often. As large as the batch itself."""
     counts = [Counter(w) for w in batch["words"]]
-    vocabulary: dict[str, int] = {}
-    for c in counts:
-        for word in c:
-            vocabulary.setdefault(word, len(vocabulary))
-    matrix = np.zeros((len(counts), max(1, len(vocabulary))))
-    for row, c in enumerate(counts):
-        for word, n in c.items():
-            matrix[row, vocabulary[word]] = n
-    length = np.sqrt((matrix * matrix).sum(axis=1))
+    holders: dict[str, list[tuple[int, int]]] = {}
+    for row, words in enumerate(counts):
+        for word, n in words.items():
+            holders.setdefault(word, []).append((row, n))
+    index = {w: (np.array([r for r, _ in h], dtype=np.int64), np.array([n for _, n in h], dtype=np.float64)) for w, h in holders.items()}
+    length = np.array([np.sqrt(float(sum(n * n for n in c.values()))) for c in counts])
     self_pos = batch["self_pos"].to_numpy() if "self_pos" in batch else None
-    return vocabulary, matrix, np.where(length == 0.0, 1.0, length), self_pos
+    return index, np.where(length == 0.0, 1.0, length), self_pos
 
 
 def _cosine(prepared, items: pd.DataFrame) -> np.ndarray:
-    vocabulary, matrix, length, self_pos = prepared
-    scores = np.zeros((matrix.shape[0], len(items)))
+    index, length, self_pos = prepared
+    scores = np.zeros((len(length), len(items)))
     for column, words in enumerate(items["words"]):
         counts = Counter(words)
-        norm = float(np.sqrt(float(sum(n * n for n in counts.values()))))
-        if norm == 0.0:
+        known = [(index[w], n) for w, n in counts.items() if w in index]
+        if not known:
             continue
-        known = [(vocabulary[w], n) for w, n in counts.items() if w in vocabulary]
-        if known:
-            index, tf = zip(*known)
-            scores[:, column] = matrix[:, index] @ np.asarray(tf, dtype=np.float64) / (length * norm)
+        norm = np.sqrt(float(sum(n * n for n in counts.values())))
+        rows = np.concatenate([r for (r, _), _ in known])
+        products = np.concatenate([tf * n for (_, tf), n in known])
+        scores[:, column] = np.bincount(rows, products, minlength=len(length)) / (length * norm)
     if self_pos is not None:
         scores[self_pos[:, None] == items["pos"].to_numpy()[None, :]] = -np.inf
     return scores
@@ -72,8 +70,8 @@ def text_top_k(
         _cosine,
         "words",
         broadcast_queries,
-        query_block=256,
-        item_block=8192,
+        query_block=2048,
+        item_block=16384,
     )
 
 

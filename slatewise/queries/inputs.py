@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from slatewise.operators.scale import numbered
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,11 +37,13 @@ CATALOG_SQL = """catalog AS (SELECT p_partkey AS pos, CAST(p_partkey AS VARCHAR)
 
 def slates(spark: SparkSession, folder: str) -> DataFrame:
     """Each order is one shown list; its lines in order of line number are the places."""
-    lines = table(spark, folder, "lineitem")
-    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return lines.select(
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_discount", "l_quantity"
+    )
+    placed = numbered(lines, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "place")
+    return placed.select(
         F.col("l_orderkey").alias("query_id"),
-        (F.row_number().over(place) - 1).cast("long").alias("pos"),
+        (F.col("place") - 1).alias("pos"),
         F.col("l_partkey").alias("item_id"),
         F.col("l_suppkey").alias("supplier_id"),
         F.sqrt(F.col("l_extendedprice") / 100000.0).alias("score"),
@@ -71,6 +74,8 @@ VECTORS_SQL = "vectors AS (SELECT vec_id AS pos, embedding::DOUBLE[] AS vector,
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
+    """Event times carry no zone; they are read as UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -26,6 +26,14 @@ def test_running_sums_hot_groups(spark):
     assert _rows(plain.fillna("-"), "k", "pos", "s") == _rows(cut.fillna("-"), "k", "pos", "s")
 
 
+def test_running_minimum_hot_groups(spark):
+    df = _skewed(spark).withColumn("x", F.when(F.col("x") < 40, F.col("x")))
+    plain = running_sums(df, ["k"], ["v", "pos"], {"s": "x"}, hot_rows=None, least=True)
+    cut = running_sums(df, ["k"], ["v", "pos"], {"s": "x"}, hot_rows=100, buckets=7, least=True)
+    read = lambda d: sorted((r.pos, r.s) for r in d.fillna({"s": -1}).collect())
+    assert read(plain) == read(cut)
+
+
 def test_global_numbers_are_dense(spark):
     df = numbered(_skewed(spark), [], ["v", "pos"], "n", hot_rows=200)
     assert sorted(r.n for r in df.collect()) == list(range(1, 3001))
