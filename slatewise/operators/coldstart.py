@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from slatewise.functions import expressions as X
 from slatewise.operators.scale import bounded_broadcast, top_n_per_group
+from slatewise.session import reliable_checkpoint
 
 
 @dataclass(frozen=True)
@@ -86,7 +87,8 @@ def cold_start_candidates(
     w = weights
     k = w.top_k
     total = catalog.count()
-    requests = requests.select("query_id", "query_text", "user_id", "meta_score")
+    # Read five times below.
+    requests = reliable_checkpoint(requests.select("query_id", "query_text", "user_id", "meta_score"))
     catalog = catalog.select(F.col("pos").cast("long").alias("pos"), "item_id", "title")
 
     # (1) word matches, computed once per distinct text and distinct title

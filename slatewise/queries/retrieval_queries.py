@@ -370,13 +370,15 @@ def _channels(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "score_normalization",
-    f"WITH {_CHANNELS_SQL} SELECT query_id, channel, pos, round(minmax, 6) AS minmax, round(zscore, 6) AS zscore, round(sigmoid, 6) AS sigmoid FROM nm",
+    f"""WITH {_CHANNELS_SQL} SELECT query_id, channel, pos, unnest(['minmax', 'zscore', 'sigmoid', 'none']) AS method,
+      round(unnest([minmax, zscore, sigmoid, score]), 6) AS norm_score FROM nm""",
 )
 def score_normalization(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _channels(spark, folder)
-    for method in ("minmax", "zscore", "sigmoid"):
-        rows = blending.normalize_scores(rows, method).withColumnRenamed("norm_score", method)
-    return rows.select("query_id", "channel", "pos", r6("minmax", "minmax"), r6("zscore", "zscore"), r6("sigmoid", "sigmoid"))
+    """Every row once per method; repeating all rows of a channel leaves its statistics as they are."""
+    methods = F.array(*[F.lit(m) for m in blending.METHODS])
+    rows = _channels(spark, folder).withColumn("method", F.explode(methods))
+    done = blending.normalize_scores(rows, method_col="method")
+    return done.select("query_id", "channel", "pos", "method", r6("norm_score", "norm_score"))
 
 
 @query(
