@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slatewise.operators import blending, coldstart, graph, text_similarity, vectors as V
-from slatewise.functions import expressions as X
-from slatewise.operators.scale import top_n_per_group
 from slatewise.queries.inputs import CATALOG_SQL, SLATES_SQL, VECTORS_SQL, catalog, r6, slates, table, vectors
 from slatewise.queries.registry import query
 

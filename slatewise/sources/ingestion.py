@@ -10,9 +10,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from slatewise import schemas
 from slatewise.operators.contracts import split_valid, validate_records
 from slatewise.operators.scale import top_n_per_group
 from slatewise.sources.catalog import ADAPTERS, AdapterConfig, missing_columns, with_row_index
