@@ -60,12 +60,12 @@ def type_notes(spark_frame: pd.DataFrame, sql_frame: pd.DataFrame) -> list[str]:
 
 
 def main() -> None:
-    from slatewise.queries.load import all_queries
+    from __spark_entry__ import _registered
     from slatewise.session import build_session
 
     folder, names = sys.argv[1], sys.argv[2:]
     spark, connection, failed = build_session("oracle"), connect(sys.argv[1]), 0
-    for name, entry in all_queries().items():
+    for name, entry in _registered().items():
         if names and not any(name.startswith(n) for n in names):
             continue
         start = time.time()
