@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -166,17 +166,37 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame
     links, but a component's id is the smallest non-null one (null if there is none). Other columns are ignored.
     """
     prints = stored(fingerprints(docs, words), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    components = _components(prints, F.col("doc_id"), bits)
+    return prints.join(components, "fp", "left").select("doc_id", "fp", F.col("least").alias("component_id"))
+
+
+def _components(prints: DataFrame, of: Column, bits: int) -> DataFrame:
+    """fp and ``least``, the least ``of`` in the component of each distinct fingerprint."""
+    distinct = stored(prints.groupBy("fp").agg(F.min(of).alias("own")), "distinct")
     roots = connected_components(fingerprint_links(distinct, bits))
     rooted = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    linked = rooted.filter("root IS NOT NULL")
-    smallest = linked.groupBy("root").agg(F.min("least").alias("component"))
-    components = stored(
-        rooted.join(smallest, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id")),
-        "components",
-    )
-    return prints.join(components, "fp", "left").select("doc_id", "fp", "component_id")
+    smallest = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("own").alias("shared"))
+    least = F.when(F.col("root").isNull(), F.col("own")).otherwise(F.col("shared")).alias("least")
+    return stored(rooted.join(smallest, "root", "left").select("fp", "root", least), "components")
 
 
-def fingerprint_hex(fp: str) -> "F.Column":
+def drop_near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, but of each component only the one with the smallest doc_id; of rows
+    that repeat this doc_id one stays. Rows without doc_id come last.
+
+    The rows are numbered in a stored copy, so that the choice and the texts are read from the same numbering.
+    """
+    number = "__row"
+    while number in docs.columns:
+        number += "_"
+    numbered = stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    prints = stored(fingerprints(numbered.withColumn("doc_id", F.col(number)), words).withColumnRenamed("doc_id", "row"), "fingerprints")
+    ids = numbered.select(F.col(number).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    known = prints.join(ids, "row").withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    components = _components(known, F.col("rank"), bits)
+    chosen = components.select(F.col("least.row").alias(number)).distinct()
+    return numbered.join(chosen, number, "left_semi").select(*docs.columns)
+
+
+def fingerprint_hex(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
