@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.functions import expressions as X
+from slatewise.operators.scale import HOT_GROUP_ROWS, numbered
 
 
 def alignment(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -21,27 +20,27 @@ def alignment(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.agg(F.count(F.lit(1)).alias("pairs"), F.coalesce(F.avg(X.squared_distance(F.col("ua"), F.col("ub"))), F.lit(0.0)).alias("alignment"))
 
 
-def uniformity(vectors: DataFrame, sample: int = 1000) -> DataFrame:
-    """log mean exp(-2 d^2) over the pairs of at most ``sample`` rows, drawn by hash of the id; all rows when fewer.
+PARTNERS = 32
 
-    The sample size is part of the measure; the drawn rows are one small block.
+
+def uniformity(vectors: DataFrame, partners: int = PARTNERS, hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
+    """log mean exp(-2 d^2) over pairs of unit vectors: every row with the ``partners`` rows that follow it on a ring.
+
+    The ring is the order of the ids' MD5, so partners are as good as drawn at random, every row counts equally, and the work
+    grows with the rows; with at most ``partners`` + 1 rows it is the mean over all pairs. ``vectors``: id (unique), vector.
     """
-    drawn = vectors.select("id", X.unit_vector(F.col("vector")).alias("u")).orderBy(F.md5(F.col("id").cast("string")), "id").limit(sample)
-
-    @F.pandas_udf("double")
-    def spread(blocks: pd.Series) -> pd.Series:
-        def one(rows) -> float:
-            if len(rows) < 2:
-                return 0.0
-            m = np.stack([np.asarray(r, dtype=np.float64) for r in rows])
-            i, j = np.triu_indices(len(m), 1)
-            squared = np.maximum(((m * m).sum(1)[:, None] + (m * m).sum(1)[None, :] - 2.0 * m @ m.T)[i, j], 0.0)
-            return float(np.log(np.exp(-2.0 * squared).mean()))
-
-        return blocks.map(one)
-
-    packed = drawn.agg(F.count(F.lit(1)).alias("rows"), F.collect_list("u").alias("block"))
-    return packed.select("rows", spread("block").alias("uniformity"))
+    draw = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 15), 16, 10).cast("long")
+    placed = numbered(vectors.select("id", X.unit_vector(F.col("vector")).alias("u"), draw.alias("draw")), [], ["draw", "id"], "place", hot_rows)
+    ring = placed.select((F.col("place") - 1).alias("place"), "u")
+    rows = ring.agg(F.count(F.lit(1)).alias("rows"))
+    total = rows.first()[0]
+    steps = min(partners, total - 1)
+    if steps < 1:
+        return rows.withColumn("uniformity", F.lit(0.0))
+    ahead = ring.select(F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"), "place", F.col("u").alias("mine"))
+    pairs = ahead.withColumn("place", F.pmod(F.col("place") + F.col("step"), F.lit(total))).join(ring, "place")
+    mean = F.avg(F.exp(-2.0 * X.squared_distance(F.col("mine"), F.col("u"))))
+    return pairs.agg(F.lit(total).cast("long").alias("rows"), F.log(mean).alias("uniformity"))
 
 
 def anisotropy(vectors: DataFrame) -> DataFrame:

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from slatewise.operators.scale import top_n_per_group
+from slatewise.operators.scale import HOT_GROUP_ROWS, running_sums
 
 # p95 latency limits in milliseconds per service profile.
 LATENCY_LIMITS = {"lean": 450.0, "mid": 300.0, "aggressive": 220.0}
-SAMPLES_KEPT = 2048
 
 
 def metric_key(name: str = "name", tags: str = "tags"):
@@ -23,19 +22,21 @@ def counters(samples: DataFrame) -> DataFrame:
     return samples.groupBy(metric_key().alias("key")).agg(F.sum("value").alias("total"))
 
 
-def percentiles(samples: DataFrame, keep: int = SAMPLES_KEPT, approximate: bool = False) -> DataFrame:
-    """p50, p95, p99 per key by nearest rank over the newest ``keep`` samples. ``samples``: key, value, seq.
+def percentiles(samples: DataFrame, approximate: bool = False, hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
+    """p50, p95, p99 per key by nearest rank over all samples. ``samples``: key, value.
 
-    Rank ``round half even ((n - 1) p)``. Every group is at most ``keep`` rows after the cut, which runs inside salted
-    sub-groups first. ``approximate`` uses all samples through a mergeable sketch instead.
+    Rank ``round half even ((n - 1) p)``. Equal values are counted first; running sums over the distinct values then say
+    which value holds a rank. ``approximate`` uses a mergeable sketch instead.
     """
     if approximate:
         return samples.groupBy("key").agg(*[F.percentile_approx("value", p, 10000).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
-    newest = top_n_per_group(samples.select("key", "value", "seq"), ["key"], [F.col("seq").desc()], keep, "__n")
-    ordered = Window.partitionBy("key").orderBy("value", "seq")
-    ranked = newest.withColumn("i", F.row_number().over(ordered) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    at = lambda p: F.max(F.when(F.col("i") == F.bround((F.col("n") - 1) * F.lit(p), 0), F.col("value")))
-    return ranked.groupBy("key").agg(F.max("n").alias("samples"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    counted = samples.groupBy("key", "value").agg(F.count(F.lit(1)).alias("__n"))
+    upto = running_sums(counted, ["key"], ["value"], {"__upto": "__n"}, hot_rows)
+    total = counted.groupBy("key").agg(F.sum("__n").alias("samples"))
+    rank = lambda p: F.bround((F.col("samples") - 1) * F.lit(p), 0)
+    at = lambda p: F.max(F.when((rank(p) < F.col("__upto")) & (rank(p) >= F.col("__upto") - F.col("__n")), F.col("value")))
+    joined = upto.join(total, "key")
+    return joined.groupBy("key").agg(F.max("samples").alias("samples"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
 def request_counters(requests: DataFrame, keys: list, limits: dict[str, float] | None = None) -> DataFrame:

@@ -6,11 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from slatewise.functions import expressions as X
 from slatewise.operators.scale import HOT_GROUP_ROWS, running_sums
 
+# Names of the strategies, and the default weights.
 STRATEGIES = ("cdf", "survival_weighted", "defer", "defuse")
 
 
@@ -23,33 +23,37 @@ class DelayWeights:
     defuse_alpha: float = 0.6
 
 
-def delay_distribution(histogram: DataFrame, max_buckets: int = 10_000) -> DataFrame:
-    """(max_hours, share, cdf, survival) from (max_hours, n). A histogram has few buckets; their number is checked."""
+def delay_distribution(histogram: DataFrame, hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
+    """(max_hours, share, cdf, survival) from (max_hours, n), for any number of buckets."""
     grouped = histogram.groupBy("max_hours").agg(F.sum("n").cast("double").alias("n"))
-    if grouped.limit(max_buckets + 1).count() > max_buckets:
-        raise ValueError("delay histogram has too many buckets")
-    everything = Window.partitionBy(F.lit(0))
-    upto = everything.orderBy("max_hours").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("n").over(everything)
-    share = F.when(total == 0.0, F.col("n")).otherwise(F.col("n") / total)
-    cdf = X.clip(F.sum("share").over(upto), 0.0, 1.0)
-    return grouped.withColumn("share", share).withColumn("cdf", cdf).withColumn("survival", 1.0 - F.col("cdf")).drop("n")
+    total = grouped.agg(F.sum("n").alias("__total"))  # one row
+    share = F.when(F.col("__total") == 0.0, F.col("n")).otherwise(F.col("n") / F.col("__total"))
+    shared = grouped.join(F.broadcast(total)).withColumn("share", share)
+    summed = running_sums(shared, [], ["max_hours"], {"cdf": "share"}, hot_rows).withColumn("cdf", X.clip(F.col("cdf"), 0.0, 1.0))
+    return summed.withColumn("survival", 1.0 - F.col("cdf")).select("max_hours", "share", "cdf", "survival")
 
 
-def _steps(distribution: DataFrame) -> DataFrame:
-    """One row: ordered (max_hours, cdf) of a checked, small histogram."""
-    return distribution.agg(F.sort_array(F.collect_list(F.struct("max_hours", "cdf"))).alias("__steps"))
+def _reached(delays: DataFrame, distribution: DataFrame, hot_rows: int | None) -> DataFrame:
+    """(delay_hours, __cdf) of every distinct delay: the share of the first bucket that holds it.
+
+    The cumulated share never falls, so it is a running minimum over buckets from the longest to the shortest.
+    """
+    asked = delays.select(F.col("delay_hours").cast("double").alias("hours")).filter(F.col("hours").isNotNull()).distinct()
+    buckets = distribution.select(F.col("max_hours").cast("double").alias("hours"), F.lit(0).alias("kind"), "cdf")
+    both = buckets.unionByName(asked.select("hours", F.lit(1).alias("kind"), F.lit(None).cast("double").alias("cdf"))).withColumn("__back", -F.col("hours"))
+    met = running_sums(both, [], ["__back", "kind"], {"__cdf": "cdf"}, hot_rows, least=True)
+    return met.filter("kind = 1").select(F.col("hours").alias("delay_hours"), "__cdf")
 
 
-def adjust_labels(labels: DataFrame, distribution: DataFrame, strategy: str = "cdf", config: DelayWeights = DelayWeights()) -> DataFrame:
+def adjust_labels(labels: DataFrame, distribution: DataFrame, strategy: str = "cdf", config: DelayWeights = DelayWeights(), hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
     """Adds weight and reason to (label, delay_hours). A delay beyond the last bucket has the whole mass behind it."""
     name = strategy.strip().lower()
     if name not in STRATEGIES:
         raise ValueError(f"unsupported delayed feedback strategy: {strategy}")
-    reached = F.get(F.filter("__steps", lambda s: s["max_hours"] >= F.col("delay_hours")), F.lit(0))["cdf"]
-    last = F.get("__steps", F.size("__steps") - 1)["cdf"]
-    cdf = F.coalesce(reached, last, F.lit(0.0))
-    joined = labels.join(F.broadcast(_steps(distribution))).withColumn("__cdf", cdf)
+    last = distribution.agg(F.max("cdf").alias("__last"))  # one row
+    labels = labels.withColumn("delay_hours", F.col("delay_hours").cast("double"))
+    joined = labels.join(_reached(labels, distribution, hot_rows), "delay_hours", "left").select(*labels.columns, "__cdf").join(F.broadcast(last))
+    joined = joined.withColumn("__cdf", F.coalesce("__cdf", "__last", F.lit(0.0)))
     survival = F.greatest(F.lit(0.0), 1.0 - F.col("__cdf"))
     by_survival = 1.0 - F.pow(survival, F.lit(max(config.survival_power, 0.0)))
     by_defer = F.pow(F.col("__cdf"), F.lit(max(config.defer_power, 0.0)))
@@ -58,7 +62,7 @@ def adjust_labels(labels: DataFrame, distribution: DataFrame, strategy: str = "c
     positive, missing = F.col("label") == 1, F.col("delay_hours").isNull()
     weight = F.when(positive, 1.0).when(missing, config.floor).otherwise(X.clip(raw, config.floor, config.cap))
     reason = F.when(positive, "positive").when(missing, "missing_delay").otherwise(f"delayed_negative:{name}")
-    return joined.withColumn("weight", weight).withColumn("reason", reason).drop("__steps", "__cdf")
+    return joined.withColumn("weight", weight).withColumn("reason", reason).drop("__last", "__cdf")
 
 
 def survival_weight(label: Column, elapsed: Column, rate: float = 0.1) -> Column:

@@ -233,12 +233,14 @@ def record_limit(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "snapshot_registry",
-    """WITH r AS (SELECT DISTINCT p_brand || ':' || p_size AS k FROM part WHERE p_type = 'PROMO'), b AS (SELECT p_brand || ':' || p_size AS k, count(*) AS n FROM part WHERE p_type = 'SMALL' GROUP BY 1)
+    """WITH r AS (SELECT DISTINCT p_brand || ':' || p_size || '/' || CAST(floor(p_retailprice / 100) AS BIGINT) AS k FROM part WHERE p_type = 'PROMO'), b AS (SELECT p_brand || ':' || p_size || '/' || CAST(floor(p_retailprice / 100) AS BIGINT) AS k, count(*) AS n FROM part WHERE p_type <> 'PROMO' GROUP BY 1)
       SELECT k AS snapshot_key, CASE WHEN n > 1 OR k IN (SELECT k FROM r) THEN 'clash' ELSE 'append' END AS outcome FROM b""",
 )
 def snapshot_registry(spark: SparkSession, folder: str) -> DataFrame:
-    keyed = table(spark, folder, "part").select(F.col("p_brand").alias("dataset_id"), F.col("p_size").cast("string").alias("version"), "p_type")
-    fresh, clashing = ingestion.register_snapshots(keyed.filter("p_type = 'PROMO'"), keyed.filter("p_type = 'SMALL'"))
+    """One part type is the registry, all others are the batch."""
+    version = F.concat_ws("/", F.col("p_size").cast("string"), F.floor(F.col("p_retailprice") / 100).cast("string"))
+    keyed = table(spark, folder, "part").select(F.col("p_brand").alias("dataset_id"), version.alias("version"), "p_type")
+    fresh, clashing = ingestion.register_snapshots(keyed.filter("p_type = 'PROMO'"), keyed.filter("p_type <> 'PROMO'"))
     added = fresh.select(ingestion.snapshot_key().alias("snapshot_key"), F.lit("append").alias("outcome"))
     return added.unionByName(clashing.select("snapshot_key", F.lit("clash").alias("outcome")))
 
@@ -378,22 +380,28 @@ def _profile_sql(source: str, columns: dict[str, bool]) -> str:
 
 _SIDES_SQL = """a AS (SELECT l_quantity AS qty, sqrt(l_discount) AS discount, CASE WHEN l_tax > 0.06 THEN NULL ELSE l_tax END AS tax, l_linestatus AS status FROM lineitem WHERE l_returnflag = 'R'),
  b AS (SELECT l_quantity * 2 AS qty, sqrt(l_discount) AS discount, CASE WHEN l_tax > 0.01 THEN NULL ELSE l_tax END AS tax, CASE WHEN l_linenumber > 3 THEN l_linestatus END AS status FROM lineitem WHERE l_returnflag <> 'R')"""
+_WHOLE_SQL = "a AS (SELECT l_quantity AS qty, sqrt(l_discount) AS discount, CASE WHEN l_tax > 0.06 THEN NULL ELSE l_tax END AS tax, l_linestatus AS status FROM lineitem)"
 _SIDE_COLUMNS = {"qty": True, "discount": True, "tax": True, "status": False}
 
 
+def _profiled(lines: DataFrame) -> DataFrame:
+    return lines.select(F.col("l_quantity").alias("qty"), F.sqrt("l_discount").alias("discount"), F.when(F.col("l_tax") <= 0.06, F.col("l_tax")).alias("tax"), F.col("l_linestatus").alias("status"))
+
+
 def _sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     lines = table(spark, folder, "lineitem")
     returned = F.col("l_returnflag") == "R"
-    base = lines.filter(returned).select(F.col("l_quantity").alias("qty"), F.sqrt("l_discount").alias("discount"), F.when(F.col("l_tax") <= 0.06, F.col("l_tax")).alias("tax"), F.col("l_linestatus").alias("status"))
+    base = _profiled(lines.filter(returned))
     now = lines.filter(~returned).select(
         (F.col("l_quantity") * 2).alias("qty"), F.sqrt("l_discount").alias("discount"), F.when(F.col("l_tax") <= 0.01, F.col("l_tax")).alias("tax"), F.when(F.col("l_linenumber") > 3, F.col("l_linestatus")).alias("status")
     )
     return base, now
 
 
-@query("column_profile", f"WITH {_SIDES_SQL} {_profile_sql('a', _SIDE_COLUMNS)}")
+@query("column_profile", f"WITH {_WHOLE_SQL} {_profile_sql('a', _SIDE_COLUMNS)}")
 def column_profile(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.profile(_sides(spark, folder)[0]).select("column", "metric", r6("value", "value"))
+    """All lines."""
+    return quality.profile(_profiled(table(spark, folder, "lineitem"))).select("column", "metric", r6("value", "value"))
 
 
 @query(
@@ -609,17 +617,17 @@ def screen_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "screen_forms",
-    r"""WITH u AS (SELECT page_id AS form_id, url AS t FROM pages), f AS (SELECT p.page_id, p.url, p.html FROM pages p),
-      v AS (SELECT page_id, regexp_matches(html, '(?i)<\s*script') AS bad FROM f)
-      SELECT page_id AS form_id, NOT bad AS allowed, CASE WHEN bad THEN 'script_injection:body' ELSE 'checked' END AS reason FROM v WHERE bad""",
+    f"""WITH fields AS (SELECT page_id AS form_id, 0 AS place, 'address' AS name, url AS t FROM pages UNION ALL SELECT page_id, 1, 'body', html FROM pages),
+      {_SCREEN_SQL.format(k='form_id, place, name', t='t', s='fields', n=1000000)}
+      SELECT form_id, coalesce(bool_and(reason = 'ok'), true) AS allowed, coalesce(min_by(reason || ':' || name, place) FILTER (reason <> 'ok'), 'ok') AS reason,
+       coalesce(min_by(CASE reason WHEN 'input_too_large' THEN 413 ELSE 400 END, place) FILTER (reason <> 'ok'), 200)::BIGINT AS status FROM v GROUP BY form_id""",
 )
 def screen_forms(spark: SparkSession, folder: str) -> DataFrame:
-    """Forms of (address, body): the verdicts on forms whose body holds a script."""
-    pages = table(spark, folder, "pages")
-    field = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
-    forms = pages.select(F.col("page_id").alias("form_id"), F.array(field("address", F.lit("start")), field("body", F.col("html"))).alias("fields"))
+    """Every page as a form of its address and its body, whatever the verdict."""
+    field = lambda name, value: F.struct(F.lit(name).alias("name"), F.col(value).alias("value"))
+    forms = table(spark, folder, "pages").select(F.col("page_id").alias("form_id"), F.array(field("address", "url"), field("body", "html")).alias("fields"))
     done = screening.screen_forms(forms, limits=screening.ScreenLimits(field_length=1_000_000))
-    return done.filter(F.col("reason").startswith("script_injection")).select("form_id", "allowed", "reason")
+    return done.select("form_id", "allowed", "reason", F.col("status").cast("long").alias("status"))
 
 
 _ROUTE_WEIGHTS = {"movies": {"red": 3.0, "bolt": 1.0, "large anvil": 2.5}, "music": {"blue": 2.0, "ring": 1.5, "small": 1.0}, "books": {"gear": 2.0, "old": 1.0, "anvil": 0.5}}
@@ -663,12 +671,11 @@ def metric_counters(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "metric_percentiles",
-    """WITH k AS (SELECT * FROM (SELECT event_type AS key, value, event_id AS seq, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS a FROM events) WHERE a <= 2048),
-      r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY value, seq) - 1 AS i, count(*) OVER (PARTITION BY key) AS n FROM k)
+    """WITH r AS (SELECT event_type AS key, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
       SELECT key, max(n) AS samples, max(CASE WHEN i = round_even((n - 1) * 0.5, 0) THEN value END) AS p50, max(CASE WHEN i = round_even((n - 1) * 0.95, 0) THEN value END) AS p95, max(CASE WHEN i = round_even((n - 1) * 0.99, 0) THEN value END) AS p99 FROM r GROUP BY key""",
 )
 def metric_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    return eventlog.percentiles(_samples(spark, folder).withColumnRenamed("name", "key").select("key", "value", "seq"))
+    return eventlog.percentiles(_samples(spark, folder).withColumnRenamed("name", "key").select("key", "value"))
 
 
 def _requests(spark: SparkSession, folder: str) -> DataFrame:

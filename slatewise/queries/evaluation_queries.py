@@ -162,12 +162,12 @@ def auc_per_query(spark: SparkSession, folder: str) -> DataFrame:
 # Exposure: order lines are slots; cohort = part type, provider = brand; popularity = lines of a part.
 @query(
     "cohort_exposure",
-    """WITH s AS (SELECT p_type AS c, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' GROUP BY 1), k AS (SELECT p_type AS c, count(*) AS n FROM part WHERE p_size > 25 GROUP BY 1)
+    """WITH s AS (SELECT p_type AS c, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' GROUP BY 1), k AS (SELECT p_type AS c, count(*) AS n FROM part GROUP BY 1)
       SELECT coalesce(s.c, k.c) AS cohort, coalesce(s.n, 0) AS item_count, round(coalesce(s.n, 0)::DOUBLE / (SELECT sum(n) FROM s), 6) AS exposure_share, round(coalesce(k.n, 0)::DOUBLE / (SELECT sum(n) FROM k), 6) AS ideal_share,
        round(coalesce(s.n, 0)::DOUBLE / (SELECT sum(n) FROM s) - coalesce(k.n, 0)::DOUBLE / (SELECT sum(n) FROM k), 6) AS gap FROM s FULL JOIN k ON s.c = k.c""",
 )
 def cohort_exposure(spark: SparkSession, folder: str) -> DataFrame:
-    counts = table(spark, folder, "part").filter("p_size > 25").groupBy(F.col("p_type").alias("cohort")).agg(F.count(F.lit(1)).alias("n"))
+    counts = table(spark, folder, "part").groupBy(F.col("p_type").alias("cohort")).agg(F.count(F.lit(1)).alias("n"))
     done = fairness.cohort_exposure(_slots(spark, folder), counts)
     return done.select("cohort", "item_count", r6("exposure_share", "exposure_share"), r6("ideal_share", "ideal_share"), r6("gap", "gap"))
 
@@ -233,8 +233,9 @@ def embedding_alignment(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "embedding_uniformity",
-    f"""WITH {VECTORS_SQL}, s AS (SELECT pos, vector FROM vectors ORDER BY md5(CAST(pos AS VARCHAR)), pos LIMIT 1000)
-      SELECT (SELECT count(*) FROM s) AS rows, round(ln(avg(exp(-2.0 * (2.0 - 2.0 * list_cosine_similarity(a.vector, b.vector))))), 6) AS uniformity FROM s a JOIN s b ON a.pos < b.pos""",
+    f"""WITH {VECTORS_SQL}, s AS (SELECT row_number() OVER (ORDER BY ('0x' || substr(md5(CAST(pos AS VARCHAR)), 1, 15))::BIGINT, pos) - 1 AS i, vector, count(*) OVER () AS n FROM vectors),
+      p AS (SELECT i, vector, n, unnest(range(1, least(32, n - 1) + 1)) AS k FROM s)
+      SELECT (SELECT count(*) FROM s) AS rows, round(ln(avg(exp(-2.0 * (2.0 - 2.0 * list_cosine_similarity(p.vector, s.vector))))), 6) AS uniformity FROM p JOIN s ON s.i = (p.i + p.k) % p.n""",
 )
 def embedding_uniformity(spark: SparkSession, folder: str) -> DataFrame:
     rows = vectors(spark, folder).select(F.col("pos").alias("id"), "vector")

@@ -27,20 +27,31 @@ def build_session(name: str = "slatewise", cores: str = "*", shuffle_partitions:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The storage that driver and executors share, as named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a session inside one process gets a folder of its own; on a cluster that would be a folder of each
+    machine, so it is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the storage named by ``spark.checkpoint.dir``; in local tests, where none is named, under /tmp."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared storage."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def reliable_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage into the shared folder named by ``spark.checkpoint.dir``.
-
-    The folder is only chosen here when the session names none, which is the case in local tests.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    """Cut the lineage into the shared storage."""
+    folder = shared_folder(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=eager)

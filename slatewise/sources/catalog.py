@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from slatewise import schemas
 from slatewise.functions import expressions as X
-from slatewise.operators.scale import numbered
+from slatewise.operators.scale import bounded_broadcast
 
 
 @dataclass(frozen=True)
@@ -25,9 +26,17 @@ class AdapterConfig:
 
 
 def with_row_index(df: DataFrame) -> DataFrame:
-    """Adds ``row_index`` 0, 1, ... in file order, numbered by all tasks together."""
-    ordered = df.withColumn("__file_order", F.monotonically_increasing_id())
-    return numbered(ordered, [], ["__file_order"], "row_index").withColumn("row_index", F.col("row_index") - 1).drop("__file_order")
+    """Adds ``row_index`` 0, 1, ... in the order of file name, place of the split in the file, and row.
+
+    A scan packs its splits by size, so its own row ids follow the files only within a split. The rows of each split are
+    counted, and each row's number is its place in the split behind all earlier splits: no row is moved.
+    """
+    placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"))
+    # One row per split of the source; the splits' sums are a window over these few.
+    splits = placed.groupBy("__file", "__start").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    order = Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)
+    before = splits.select("__file", "__start", (F.coalesce(F.sum("__rows").over(order), F.lit(0)) - F.col("__first")).alias("__shift"))
+    return placed.join(bounded_broadcast(before), ["__file", "__start"]).withColumn("row_index", F.col("__id") + F.col("__shift")).select(*df.columns, "row_index")
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str | None = None, delimiter: str = ",") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -114,7 +115,13 @@ def schema_hash(columns: list[str]) -> str:
 
 def verify_checksums(spark: SparkSession, manifest: DataFrame, root: str) -> DataFrame:
     """status ok / missing / mismatch per manifest row (name, algorithm, checksum); names are relative to ``root``."""
-    files = list_files(spark, root).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    plain = lambda path: F.regexp_replace(path, "^file:/*", "/")
+    files = list_files(spark, root)
+    # What stands behind the root; a root that is a file itself is named by its last part.
+    base = re.sub("^file:/*", "/", root).rstrip("/")
+    behind = F.when(plain("path").endswith(base), F.lit(base.rsplit("/", 1)[-1])).otherwise(F.element_at(F.split(plain("path"), re.escape(base.lstrip("/") + "/"), 2), -1))
+    files = files.withColumn("name", behind)
+    manifest = manifest.withColumn("name", F.regexp_replace("name", "^(\\./)+", ""))
     present = manifest.join(files, "name", "left")
     digests = file_digests(spark, present.filter(F.col("path").isNotNull()))
     joined = present.join(digests, ["path", "algorithm"], "left")

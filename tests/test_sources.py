@@ -78,6 +78,16 @@ def test_row_numbers_and_reader(spark, tmp_path):
     assert [(r.row_index, r.b, r.c) for r in rows.orderBy("row_index").collect()] == [(i, str(i), None) for i in range(50)]
 
 
+def test_row_numbers_follow_the_files(spark, tmp_path):
+    """A scan packs the largest file first; rows are still numbered by file name."""
+    (tmp_path / "part-0.csv").write_text("a\nfirst\n")
+    (tmp_path / "part-1.csv").write_text("a\n" + "\n".join(f"second-{i}" for i in range(50)))
+    (tmp_path / "part-2.csv").write_text("a\n" + "\n".join(f"third-{i}" for i in range(5)))
+    rows = catalog.with_row_index(catalog.read_delimited(spark, str(tmp_path), "a string")).orderBy("row_index").collect()
+    assert [r.row_index for r in rows] == list(range(56))
+    assert [r.a for r in rows] == ["first", *(f"second-{i}" for i in range(50)), *(f"third-{i}" for i in range(5))]
+
+
 def test_checksums(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"alpha")
     (tmp_path / "b.bin").write_bytes(b"beta")
@@ -88,6 +98,19 @@ def test_checksums(spark, tmp_path):
     assert ingestion.content_hash(spark, str(tmp_path)).first()[0] == hashlib.sha256(joined.encode()).hexdigest()
 
 
+def test_checksums_of_nested_names(spark, tmp_path):
+    for folder, data in (("", b"top"), ("a", b"one"), ("b", b"two")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / "x.csv").write_bytes(data)
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    rows = [("x.csv", "sha256", sha(b"top")), ("a/x.csv", "sha256", sha(b"one")), ("./b/x.csv", "sha256", sha(b"two")), ("c/x.csv", "sha256", "0")]
+    found = ingestion.verify_checksums(spark, spark.createDataFrame(rows, "name string, algorithm string, checksum string"), str(tmp_path)).collect()
+    assert sorted((r.name, r.status) for r in found) == [("a/x.csv", "ok"), ("b/x.csv", "ok"), ("c/x.csv", "missing"), ("x.csv", "ok")]
+    one = [("x.csv", "sha256", sha(b"one"))]
+    found = ingestion.verify_checksums(spark, spark.createDataFrame(one, "name string, algorithm string, checksum string"), str(tmp_path / "a" / "x.csv")).collect()
+    assert [(r.name, r.status) for r in found] == [("x.csv", "ok")]
+
+
 def test_process_domain(spark, tmp_path):
     source = tmp_path / "raw"
     source.mkdir()

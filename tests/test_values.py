@@ -3,6 +3,7 @@
 import hashlib
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,9 @@ def test_delay_weights(spark):
     assert weight("cdf") == {1: 1.0, 2: 0.05, 3: pytest.approx(0.8), 4: 1.0}
     assert weight("survival_weighted")[3] == pytest.approx(1 - 0.2**1.5)
     assert weight("defer")[3] == pytest.approx(0.64)
+    many = labels.delay_distribution(spark.range(30_000).selectExpr("cast(id + 1 as double) AS max_hours", "1L AS n"), hot_rows=1000)
+    got = {r.id: r.weight for r in labels.adjust_labels(rows, many, "cdf", labels.DelayWeights(floor=0.0), hot_rows=1000).collect()}
+    assert got[3] == pytest.approx(1 / 30_000) and got[4] == pytest.approx(99 / 30_000)
     assert weight(" Defuse ")[3] == pytest.approx(0.6 * 0.64 + 0.4 * (1 - 0.2**1.5))
     with pytest.raises(ValueError):
         labels.adjust_labels(rows, distribution, "other")
@@ -265,7 +269,7 @@ def test_eventlog(spark):
     samples = spark.createDataFrame([("k", float(v), v) for v in range(1, 7)], "key string, value double, seq long")
     row = eventlog.percentiles(samples).first()
     assert (row.p50, row.p95, row.p99) == (3.0, 6.0, 6.0)  # (6 - 1) * 0.5 = 2.5 rounds to 2, the third value
-    assert eventlog.percentiles(samples, keep=2).first().p50 == 5.0
+    assert eventlog.percentiles(samples, hot_rows=1).first() == row
     assert eventlog.percentiles(samples, approximate=True).first().p50 == 3.0
     tagged = spark.createDataFrame([("n", {"b": "2", "a": "1"}, 2.0), ("n", None, 1.0)], "name string, tags map<string,string>, value double")
     assert {r.key: r.total for r in eventlog.counters(tagged).collect()} == {"n|a=1|b=2": 2.0, "n": 1.0}
@@ -309,3 +313,9 @@ def test_embedding_quality(spark):
     assert embedding_quality.alignment(df, pairs).first().alignment == pytest.approx(2.0)
     want = math.log((math.exp(-4) + 2 * math.exp(-2)) / 3)
     assert embedding_quality.uniformity(df).first().uniformity == pytest.approx(want)
+    rng = np.random.default_rng(3)
+    many = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(400)], "id long, vector array<double>")
+    whole, drawn = (embedding_quality.uniformity(many, partners=p).first() for p in (399, 32))
+    assert whole.rows == drawn.rows == 400 and drawn.uniformity == pytest.approx(whole.uniformity, abs=0.05)
+    assert embedding_quality.uniformity(many, partners=32, hot_rows=50).first().uniformity == pytest.approx(drawn.uniformity)
+    assert embedding_quality.uniformity(df.limit(0)).first().uniformity == 0.0
