@@ -24,8 +24,8 @@ from slatewise.llm.common import map_rows, text_bytes
 
 # Fixed value: the pattern of byte-level pre-tokenization. White space is the Unicode property.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-# Words, and pieces between certain cuts, remembered by a worker at most; beyond it the memory is emptied and filled anew.
-REMEMBERED = 400_000
+# Words, and pieces between certain cuts, in one generation of a worker's memory.
+REMEMBERED = 300_000
 # Longer ones are not remembered.
 SHORT = 64
 
@@ -37,6 +37,26 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Memory:
+    """The last entries by use: when the young generation is full, it becomes the old one and what was old is forgotten."""
+
+    def __init__(self, most: int = REMEMBERED) -> None:
+        self.most, self.young, self.old = most, {}, {}
+
+    def older(self, key):
+        """The value of a key that is not young, made young again; None if it is unknown."""
+        known = self.old.get(key)
+        if known is not None:
+            self.put(key, known)
+        return known
+
+    def put(self, key, value: bytes) -> None:
+        if len(self.young) >= self.most:
+            self.old = dict(self.young)
+            self.young.clear()  # the same dictionary, which callers hold
+        self.young[key] = value
+
+
 class ByteBpe:
     """Encodes and decodes as the vocabulary file says; only plain byte-level BPE files are taken."""
 
@@ -62,25 +82,22 @@ class ByteBpe:
         for token, i in [*self.ids.items(), *((t.encode(), i) for t, i in self.added.items())]:
             self.tokens[i] = token
         self.single = [self.ids[bytes([b])] for b in range(256)]
-        #: inside[a * 256 + b]: the pair stands inside some token.
-        self.inside = bytearray(65536)
+        #: inside[a][b]: the pair of bytes stands inside some token.
+        self.inside = [bytearray(256) for _ in range(256)]
         for token in self.ids:
             for a, b in zip(token, token[1:]):
-                self.inside[a << 8 | b] = 1
+                self.inside[a][b] = 1
+        #: ASCII characters behind which a space begins a new piece.
+        self.ends = frozenset(chr(b) for b in range(0x21, 0x7F) if not self.inside[b][0x20])
         self.words = regex.compile(WORDS)
         self.special = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.memory: dict[str, bytes] = {}
-        self.words_seen: dict[bytes, bytes] = {}
+        self.pieces, self.words_seen = Memory(), Memory()
 
     def cut(self, data: bytes) -> list[bytes]:
         """``data`` cut at every pair of bytes that no token holds."""
-        inside, out, begin = self.inside, [], 0
-        for i in range(1, len(data)):
-            if not inside[data[i - 1] << 8 | data[i]]:
-                out.append(data[begin:i])
-                begin = i
-        out.append(data[begin:])
-        return out
+        inside = self.inside
+        cuts = [i for i, (a, b) in enumerate(zip(data, data[1:]), 1) if not inside[a][b]]
+        return [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])] if cuts else [data]
 
     def merge(self, data: bytes) -> list[int]:
         """Merge the best-ranked pair, the leftmost among equals, until none is left."""
@@ -128,14 +145,12 @@ class ByteBpe:
         return [x for x in ids if x >= 0]
 
     def _word(self, word: bytes) -> bytes:
-        known = self.words_seen.get(word)
+        known = self.words_seen.young.get(word) or self.words_seen.older(word)
         if known is None:
-            parts = self.cut(word)
-            known = struct.pack(f"<{len(found)}I", *found) if (found := [x for part in parts for x in self.merge(part)]) else b""
+            found = [x for part in self.cut(word) for x in self.merge(part)]
+            known = struct.pack(f"<{len(found)}I", *found)
             if len(word) <= SHORT:
-                if len(self.words_seen) >= REMEMBERED:
-                    self.words_seen.clear()
-                self.words_seen[word] = known
+                self.words_seen.put(word, known)
         return known
 
     def _piece(self, piece: str) -> bytes:
@@ -143,10 +158,11 @@ class ByteBpe:
 
     def _closed(self, part: str) -> bool:
         """The boundary between ``part`` and a following space is certain: no token holds the pair, no word spans it."""
-        return bool(part) and not part[-1].isspace() and not self.inside[part[-1].encode()[-1] << 8 | 0x20]
+        last = part[-1:]
+        return last in self.ends or last > "\x7f" and not last.isspace() and not self.inside[last.encode()[-1]][0x20]
 
     def _ordinary(self, text: str) -> list[bytes]:
-        memory, out, open_parts = self.memory, [], []
+        young, out, open_parts = self.pieces.young, [], []
         key = ""
         for part in text.split(" "):
             key += part
@@ -155,14 +171,14 @@ class ByteBpe:
                 if self._closed(part):
                     out.append(self._piece("".join(open_parts)))
                     open_parts = []
-            elif (known := memory.get(key)) is not None:
+            elif (known := young.get(key)) is not None:
                 out.append(known)
             elif self._closed(part):
-                known = self._piece(key)
-                if len(key) <= SHORT:
-                    if len(memory) >= REMEMBERED:
-                        memory.clear()
-                    memory[key] = known
+                known = self.pieces.older(key)
+                if known is None:
+                    known = self._piece(key)
+                    if len(key) <= SHORT:
+                        self.pieces.put(key, known)
                 out.append(known)
             else:
                 open_parts.append(key)
