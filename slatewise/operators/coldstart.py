@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,7 +72,7 @@ def cold_start_decisions(pairs: DataFrame, total_items: int, weights: ColdStartW
 
 
 def cold_start_candidates(
-    requests: DataFrame, catalog: DataFrame, weights: ColdStartWeights = ColdStartWeights()
+    requests: DataFrame, catalog: DataFrame, weights: ColdStartWeights = ColdStartWeights(), exclude: DataFrame | None = None
 ) -> DataFrame:
     """Best ``top_k`` items per request, exactly, without scoring every request against every item.
 
@@ -83,12 +83,26 @@ def cold_start_candidates(
     per request: (1) items sharing a word come from a word join over distinct titles, and of one title only its first
     ``top_k`` positions can matter since everything else about them is equal; (2) a head of the catalogue gives a lower
     bound of the k-th best score; (3) deeper positions are visited only while they can still beat that bound.
+
+    Items of ``exclude`` (query_id, pos) are left out before anything is cut: a request's head is longer by as many
+    positions, and so is what is taken of each title.
     """
     w = weights
     k = w.top_k
     total = catalog.count()
     # Read five times below.
-    requests = reliable_checkpoint(requests.select("query_id", "query_text", "user_id", "meta_score"))
+    requests = requests.select("query_id", "query_text", "user_id", "meta_score")
+    columns = requests.columns
+    if exclude is None:
+        requests = requests.withColumn("__out", F.lit(0).cast("long"))
+        without = lambda df: df
+    else:
+        exclude = exclude.select("query_id", F.col("pos").cast("long").alias("pos")).distinct()
+        left_out = exclude.groupBy("query_id").agg(F.count(F.lit(1)).alias("__out"))
+        requests = requests.join(left_out, "query_id", "left").fillna(0, ["__out"])
+        without = lambda df: df.join(exclude, ["query_id", "pos"], "left_anti")
+    requests = reliable_checkpoint(requests)
+    most_out = requests.agg(F.coalesce(F.max("__out"), F.lit(0))).first()[0]
     catalog = catalog.select(F.col("pos").cast("long").alias("pos"), "item_id", "title")
 
     # (1) word matches, computed once per distinct text and distinct title
@@ -106,16 +120,18 @@ def cold_start_candidates(
             (F.col("__both") / (F.col("__qn") + F.col("__tn") - F.col("__both"))).alias("lexical_score"),
         )
     )
-    heads = top_n_per_group(catalog, ["title"], [F.col("pos")], k, "__n").drop("__n")
+    heads = top_n_per_group(catalog, ["title"], [F.col("pos")], k + most_out, "__place")
     matched = requests.join(overlap, "query_text").withColumn("noise_score", _noise()).join(heads, "title")
+    matched = without(matched.filter(F.col("__place") <= F.col("__out") + k).drop("__place"))
 
     # (2) head of the catalogue, long enough for the bound to be tight
     head_size = min(total, max(k, int(8 * math.sqrt(total)) if total else 0))
     no_words = lambda df: df.withColumn("lexical_score", F.lit(0.0)).withColumn("noise_score", _noise())
     full = F.col("lexical_score") * w.lexical + F.col("noise_score") * w.noise + _static_score(total, w)
     by_score = [F.col("score").desc(), F.col("pos")]
-    head = requests.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(head_size - 1, 0)).cast("long"))))
-    head = head.join(bounded_broadcast(catalog.filter(F.col("pos") < head_size)), "pos")
+    own_head = F.least(F.lit(total).cast("long"), F.lit(head_size) + F.col("__out"))
+    head = requests.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(own_head - 1, F.lit(0).cast("long")))))
+    head = without(head.join(bounded_broadcast(catalog.filter(F.col("pos") < head_size + most_out)), "pos"))
     head = top_n_per_group(no_words(head).withColumn("score", full), ["query_id"], by_score, k, "__n")
     head = head.withColumn("__bound", F.min("score").over(Window.partitionBy("query_id")))
 
@@ -125,19 +141,21 @@ def cold_start_candidates(
         # (3) prior must make up for the rest: static(pos) <= prior(pos) + decay(head) + meta
         decay_cap = w.decay * (math.exp(-math.log(2.0) / w.half_life * head_size) if w.half_life > 0.0 else 1.0)
         missing = F.col("__bound") - w.noise - decay_cap - F.col("meta_score") * w.meta
-        deepest = F.floor((F.lit(1.0) - missing / w.prior) * (total - 1)) + 1
+        # Without a prior nothing but noise and decay can lift a deep item.
+        deepest = F.floor((F.lit(1.0) - missing / w.prior) * (total - 1)) + 1 if w.prior > 0 else F.when(missing <= 0, F.lit(total - 1)).otherwise(F.lit(-1))
         tail = (
             head.filter(F.col("__n") == 1)
             .filter(F.coalesce(F.col("user_id").cast("string") != "", F.lit(False)))
             .withColumn("__deepest", F.least(deepest, F.lit(total - 1)))
-            .filter(F.col("__deepest") >= head_size)
-            .select(*requests.columns, "__bound", F.explode(F.sequence(F.lit(head_size).cast("long"), F.col("__deepest"))).alias("pos"))
+            .filter(F.col("__deepest") >= own_head)
+            .select(*requests.columns, "__bound", F.explode(F.sequence(own_head, F.col("__deepest"))).alias("pos"))
             .join(catalog, "pos")
         )
+        tail = without(tail)
         tail = no_words(tail).withColumn("score", full).filter(F.col("score") >= F.col("__bound"))
         parts.append(tail)
 
-    columns = [*requests.columns, "pos", "item_id", "title", "lexical_score", "noise_score", "score"]
+    columns = [*columns, "pos", "item_id", "title", "lexical_score", "noise_score", "score"]
     merged = parts[0].select(*columns)
     for part in parts[1:]:
         merged = merged.unionByName(part.select(*columns))
@@ -169,10 +187,9 @@ def cold_start_signals(candidates: DataFrame) -> DataFrame:
     )
 
 
-def top_up(cold: DataFrame, existing: DataFrame, k: int) -> DataFrame:
-    """First ``k`` cold-start rows per request whose item is not among ``existing`` (query_id, item_id)."""
-    fresh = cold.drop("rank").join(existing.select("query_id", "item_id").distinct(), ["query_id", "item_id"], "left_anti")
-    return top_n_per_group(fresh, ["query_id"], [F.col("score").desc(), F.col("pos")], k)
+def top_up(requests: DataFrame, catalog: DataFrame, existing: DataFrame, k: int, weights: ColdStartWeights = ColdStartWeights()) -> DataFrame:
+    """Best ``k`` cold-start items per request that are not among ``existing`` (query_id, pos)."""
+    return cold_start_candidates(requests, catalog, replace(weights, top_k=k), existing)
 
 
 def cold_start_class(

@@ -63,11 +63,13 @@ def neighbours(edges: DataFrame) -> DataFrame:
 
 
 def structural_search(
-    edges: DataFrame, query_nodes: DataFrame, k: int = 20, candidate_type: str = "movie", hot_degree: int = 10_000
+    edges: DataFrame, query_nodes: DataFrame, k: int = 20, candidate_type: str = "movie", hot_degree: int = 10_000,
+    exclude: DataFrame | None = None,
 ) -> DataFrame:
     """Jaccard of neighbour sets between query vertices and vertices of ``candidate_type``; score > 0, best ``k``.
 
-    ``query_nodes``: query_id, type, id. Candidate ids are numbers and give the tie order.
+    ``query_nodes``: query_id, type, id. Candidate ids are numbers and give the tie order. Pairs of ``exclude`` (query_id,
+    pos) are left out before the cut.
 
     A neighbour shared by more than ``hot_degree`` candidates would pair every query with all of them. Candidates that
     meet a query only in such hot neighbours all score alike when they agree in their hot neighbours and in their
@@ -100,7 +102,8 @@ def structural_search(
         rare_pairs.join(degree, "pos").join(hot_sets, "pos", "left").join(q_hot, "query_id", "left")
         .select("query_id", "pos", "deg", (F.col("rare") + both).alias("both"))
     )
-    members = top_n_per_group(hot_sets.join(degree, "pos"), ["hot_set", "deg"], [F.col("pos")], k + 1, "__m")
+    most_out = 0 if exclude is None else exclude.groupBy("query_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    members = top_n_per_group(hot_sets.join(degree, "pos"), ["hot_set", "deg"], [F.col("pos")], k + 1 + most_out, "__m")
     classes = members.select("hot_set", "deg").distinct().withColumn("neighbour", F.explode("hot_set"))
     q_classes = (
         q.select("query_id", "neighbour").join(classes, "neighbour").groupBy("query_id", "hot_set", "deg").agg(F.count(F.lit(1)).alias("both"))
@@ -113,6 +116,8 @@ def structural_search(
         .withColumn("score", F.col("both") / (F.col("deg") + F.col("qdeg") - F.col("both")))
         .select("query_id", "pos", "score")
     )
+    if exclude is not None:
+        scored = scored.join(exclude.select("query_id", "pos").distinct(), ["query_id", "pos"], "left_anti")
     return top_n_per_group(scored, ["query_id"], [F.col("score").desc(), F.col("pos")], k)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.functions import expressions as X
-from slatewise.operators.blocked_topk import BROADCAST_QUERIES, blocked_top_k
+from slatewise.operators.blocked_topk import BROADCAST_QUERIES, blocked_top_k, drop_own_group, own_groups
 from slatewise.operators.scale import spread
 
 
@@ -31,11 +31,11 @@ def _prepare(batch: pd.DataFrame):
     index = {w: (np.array([r for r, _ in h], dtype=np.int64), np.array([n for _, n in h], dtype=np.float64)) for w, h in holders.items()}
     length = np.array([np.sqrt(float(sum(n * n for n in c.values()))) for c in counts])
     self_pos = batch["self_pos"].to_numpy() if "self_pos" in batch else None
-    return index, np.where(length == 0.0, 1.0, length), self_pos
+    return index, np.where(length == 0.0, 1.0, length), self_pos, own_groups(batch)
 
 
 def _cosine(prepared, items: pd.DataFrame) -> np.ndarray:
-    index, length, self_pos = prepared
+    index, length, self_pos, own = prepared
     scores = np.zeros((len(length), len(items)))
     for column, words in enumerate(items["words"]):
         counts = Counter(words)
@@ -48,6 +48,7 @@ def _cosine(prepared, items: pd.DataFrame) -> np.ndarray:
         scores[:, column] = np.bincount(rows, products, minlength=len(length)) / (length * norm)
     if self_pos is not None:
         scores[self_pos[:, None] == items["pos"].to_numpy()[None, :]] = -np.inf
+    drop_own_group(scores, own, items)
     return scores
 
 
@@ -61,9 +62,10 @@ def text_top_k(
     texts against the query batch. Texts without a common word score 0 and come last, by position.
     """
     words = X.word_list("text") if words is None else words
-    extra = ["self_pos"] if exclude_self else []
+    extra = [*(["self_pos"] if exclude_self else []), *(["own_group"] if "own_group" in queries.columns else [])]
+    group = ["item_group"] if "own_group" in queries.columns else []
     return blocked_top_k(
-        spread(items).select("pos", words.alias("words")),
+        spread(items).select("pos", words.alias("words"), *group),
         queries.select("query_id", words.alias("words"), *extra),
         k,
         _prepare,
@@ -78,7 +80,10 @@ def text_top_k(
 def text_candidates(
     items: DataFrame, queries: DataFrame, k: int = 200, attribute_count: str | None = "attribute_count", bonus: float = 0.02
 ) -> DataFrame:
-    """Text channel: top ``k`` without the query item, score raised by 0.02 per attribute of the candidate."""
+    """Text channel: top ``k`` without the query item, score raised by 0.02 per attribute of the candidate.
+
+    With ``own_group`` among the query's columns, items whose ``item_group`` is the same are left out before the cut.
+    """
     found = text_top_k(items, queries, k, exclude_self="self_pos" in queries.columns)
     keep = ["pos", "item_id", "title", *([attribute_count] if attribute_count else [])]
     joined = found.withColumnRenamed("score", "text").join(items.select(*keep), "pos")

@@ -93,17 +93,23 @@ def recommend(
 
     # Equal titles have equal channels: they are searched once and joined back.
     titles = known.select("__title", "self_pos").distinct()
-    texts = titles.join(catalog.select(F.col("pos").alias("self_pos"), "text"), "self_pos").select(F.col("self_pos").alias("query_id"), "self_pos", "text")
-    found = text_similarity.text_candidates(catalog, texts, config.text_k)
+    # A title is never recommended to itself: its items are left out of every channel before that is cut.
+    grouped = catalog.withColumn("item_group", F.col("title"))
+    texts = titles.join(catalog.select(F.col("pos").alias("self_pos"), "text"), "self_pos")
+    texts = texts.select(F.col("self_pos").alias("query_id"), "self_pos", "text", F.col("__title").alias("own_group"))
+    found = text_similarity.text_candidates(grouped, texts, config.text_k)
     channels = [_shape(found, "hybrid_text_multimodal", 0, text=F.col("text"), multimodal=F.col("multimodal"))]
     if vectors is not None:
         asked_vectors = titles.join(vectors.select(F.col("pos").alias("self_pos"), F.col("vector").alias("embedding")), "self_pos")
-        near = V.exact_search(V.usable_vectors(vectors), asked_vectors.select(F.col("self_pos").alias("query_id"), "embedding"), config.vector_k)
+        asked_vectors = asked_vectors.select(F.col("self_pos").alias("query_id"), "embedding", F.col("__title").alias("own_group"))
+        items = V.usable_vectors(vectors).join(grouped.select("pos", "item_group"), "pos")
+        near = V.exact_search(items, asked_vectors, config.vector_k)
         near = near.join(catalog.select("pos", "item_id", "title"), "pos")
         channels.append(_shape(near, "vector_index", 1, multimodal=F.col("score")))
     if edges is not None:
         nodes = titles.select(F.col("self_pos").alias("query_id"), F.lit("movie_title").alias("type"), F.col("__title").alias("id"))
-        linked = graph.structural_search(edges, nodes, config.graph_k).withColumn("score", F.col("score") * config.graph_weight)
+        own = titles.join(catalog.select(F.col("title").alias("__title"), "pos"), "__title").select(F.col("self_pos").alias("query_id"), "pos")
+        linked = graph.structural_search(edges, nodes, config.graph_k, exclude=own).withColumn("score", F.col("score") * config.graph_weight)
         channels.append(_shape(linked.join(catalog.select("pos", "item_id", "title"), "pos"), "graph", 2))
     merged = channels[0]
     for channel in channels[1:]:
@@ -120,18 +126,17 @@ def recommend(
     requests = reliable_checkpoint(fresh.unionByName(needy))
     candidates = primary
     if requests.limit(1).count():
-        cold = coldstart.cold_start_candidates(requests.drop("__need"), catalog, config.cold_start)
-        cold = cold.join(primary.select("query_id", "item_id").distinct(), ["query_id", "item_id"], "left_anti")
+        short_titles = requests.select("query_id").join(known.select("query_id", "__title"), "query_id")
+        own = short_titles.join(catalog.select(F.col("title").alias("__title"), "pos"), "__title").select("query_id", "pos")
+        listed = primary.join(requests.select("query_id"), "query_id", "left_semi").join(catalog.select("item_id", "pos"), "item_id").select("query_id", "pos")
+        cold = coldstart.cold_start_candidates(requests.drop("__need"), catalog, config.cold_start, exclude=own.union(listed))
         cold = cold.join(requests.select("query_id", "__need"), "query_id")
-        ranked = top_n_per_group(cold.drop("rank"), ["query_id"], [F.col("score").desc(), F.col("pos")], config.cold_start.top_k)
-        kept = ranked.filter(F.col("__need").isNull() | (F.col("rank") <= F.col("__need")))
+        kept = cold.filter(F.col("__need").isNull() | (F.col("rank") <= F.col("__need")))
         kept = coldstart.cold_start_signals(kept).withColumn("list_pos", F.col("rank") + 9 * CHANNEL_STRIDE)
         candidates = primary.unionByName(kept.select(*CANDIDATE_COLUMNS))
 
     slates = rerank(candidates, metadata, config, model)
-    shown = slates.join(asked.select("query_id", "query_title", "__title", "self_pos"), "query_id")
-    # A known title is never recommended to itself.
-    shown = shown.filter(F.col("self_pos").isNull() | (F.lower("title") != F.col("__title")))
+    shown = slates.join(asked.select("query_id", "query_title"), "query_id")
     final = top_n_per_group(shown.withColumnRenamed("rank", "__rank"), ["query_id"], [F.col("__rank")], config.final_k)
     shadowed = policy.shadow_score(final.withColumn("query_text", F.lit("")))
     keep = ["query_id", "query_title", "rank", "item_id", "title", "score", "shadow_score", "channel", "text", "multimodal", "popularity", "recency", "novelty"]

@@ -12,8 +12,10 @@ from slatewise.queries.registry import query
 from slatewise.queries.retrieval_queries import _COMB_SQL, _STRUCT_SQL
 
 _RECOMMEND_SQL = f"""WITH {_COMB_SQL}, {_STRUCT_SQL},
- tch AS (SELECT query_id, pos, text, 0.02 AS mm, text + 0.02 AS score, 'hybrid_text_multimodal' AS channel, row_number() OVER (PARTITION BY query_id ORDER BY text DESC, pos) AS rk FROM sims SEMI JOIN firsts ON firsts.pos = sims.query_id),
- gch AS (SELECT f.pos AS query_id, s.pos, 0.0 AS text, 0.0 AS mm, 0.3 * s.score AS score, 'graph' AS channel, 2000000 + s.rank AS rk FROM structural s JOIN firsts f ON f.title = s.query_id),
+ tch AS (SELECT query_id, sims.pos AS pos, text, 0.02 AS mm, text + 0.02 AS score, 'hybrid_text_multimodal' AS channel, row_number() OVER (PARTITION BY query_id ORDER BY text DESC, sims.pos) AS rk
+   FROM sims JOIN firsts ON firsts.pos = sims.query_id JOIN catalog c ON c.pos = sims.pos WHERE c.title <> firsts.title),
+ gch AS (SELECT f.pos AS query_id, s.pos, 0.0 AS text, 0.0 AS mm, 0.3 * s.score AS score, 'graph' AS channel, 2000000 + s.rank AS rk
+   FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM graph_sims JOIN catalog USING (pos) WHERE title <> query_id) s JOIN firsts f ON f.title = s.query_id WHERE rank <= 20),
  allc AS (SELECT * FROM tch WHERE rk <= 200 UNION ALL SELECT * FROM gch),
  merged AS (SELECT *, row_number() OVER (PARTITION BY query_id, pos ORDER BY score DESC, rk) AS w, min(rk) OVER (PARTITION BY query_id, pos) AS place FROM allc),
  tot AS (SELECT *, score + 0.4 * text + 0.4 * mm AS total FROM merged WHERE w = 1),
@@ -23,7 +25,7 @@ _RECOMMEND_SQL = f"""WITH {_COMB_SQL}, {_STRUCT_SQL},
  pol AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ps DESC, pr) AS plr FROM pen),
  div AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN g >= 2 THEN 1 ELSE 0 END, CASE WHEN g >= 2 THEN 0.0 ELSE 0.25 * g - 0.75 * ps END, plr) AS dr
    FROM (SELECT *, row_number() OVER (PARTITION BY query_id, genre ORDER BY ps DESC, plr) - 1 AS g FROM pol))
- SELECT f.title AS query_title, d.pos, round(ps, 6) AS score, channel, row_number() OVER (PARTITION BY d.query_id ORDER BY dr) AS rank FROM div d JOIN firsts f ON f.pos = d.query_id WHERE d.title <> f.title"""
+ SELECT f.title AS query_title, d.pos, round(ps, 6) AS score, channel, row_number() OVER (PARTITION BY d.query_id ORDER BY dr) AS rank FROM div d JOIN firsts f ON f.pos = d.query_id"""
 
 
 def _parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:

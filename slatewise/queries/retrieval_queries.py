@@ -89,14 +89,11 @@ def cold_start_decisions(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "cold_start_top_up",
-    f"""WITH {COLD_SQL}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS r FROM scored) WHERE r <= 200)
-      SELECT query_id, pos, rank FROM (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank
-      FROM top ANTI JOIN lineitem ON l_suppkey = query_id AND l_partkey = pos) WHERE rank <= 10""",
+    f"""WITH {COLD_SQL} SELECT query_id, pos, rank FROM (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank
+      FROM scored ANTI JOIN lineitem ON l_suppkey = query_id AND l_partkey = pos) WHERE rank <= 10""",
 )
 def cold_start_top_up(spark: SparkSession, folder: str) -> DataFrame:
-    cold = coldstart.cold_start_candidates(requests(spark, folder), catalog(spark, folder))
-    shipped = _shipped(spark, folder).withColumn("item_id", F.col("pos").cast("string"))
-    return coldstart.top_up(cold, shipped, 10).select("query_id", "pos", "rank")
+    return coldstart.top_up(requests(spark, folder), catalog(spark, folder), _shipped(spark, folder), 10).select("query_id", "pos", "rank")
 
 
 @query(

@@ -16,7 +16,7 @@ def _tokens(text):
     return set(re.findall("[a-z0-9]+", text.lower()))
 
 
-def _brute(requests, catalog, w):
+def _brute(requests, catalog, w, out_of=()):
     out = {}
     for q, text, user, meta in requests:
         scored = []
@@ -27,7 +27,7 @@ def _brute(requests, catalog, w):
             prior = 1.0 - pos / max(1, len(catalog) - 1)
             decay = math.exp(-math.log(2.0) / w.half_life * pos)
             scored.append((lexical * w.lexical + prior * w.prior + noise * w.noise + meta * w.meta + decay * w.decay, pos))
-        out[q] = [p for _, p in sorted(scored, key=lambda s: (-s[0], s[1]))[: w.top_k]]
+        out[q] = [p for _, p in sorted(scored, key=lambda s: (-s[0], s[1])) if (q, p) not in out_of][: w.top_k]
     return out
 
 
@@ -45,6 +45,20 @@ def test_cold_start_is_exact(spark):
         assert [r.pos for r in got if r.query_id == q] == want[q]
 
 
+def test_items_are_left_out_before_the_cut(spark):
+    rng = random.Random(7)
+    catalog = [(i, str(i), f"{rng.choice(['red', 'blue'])} {rng.choice(['bolt', 'ring'])} {i % 3}") for i in range(600)]
+    requests = [(q, rng.choice(["red bolt", "blue", "none"]), f"u{q}" if q % 2 else None, 0.1) for q in range(6)]
+    out_of = {(q, p) for q in range(5) for p in range(600) if rng.random() < (0.95 if q == 1 else 0.3) or p < 60} | {(4, p) for p in range(600)}
+    asked = spark.createDataFrame(requests, "query_id long, query_text string, user_id string, meta_score double")
+    items = spark.createDataFrame(catalog, "pos long, item_id string, title string")
+    exclude = spark.createDataFrame(sorted(out_of) + [(0, 0)], "query_id long, pos long")
+    for w in (ColdStartWeights(top_k=15), ColdStartWeights(top_k=15, prior=0.0)):
+        got = coldstart.top_up(asked, items, exclude, 15, w).orderBy("query_id", "rank").collect()
+        want = _brute(requests, catalog, w, out_of)
+        assert not want[4] and all([r.pos for r in got if r.query_id == q] == want[q] for q in want)
+
+
 def test_cold_start_hot_title_and_small_catalogue(spark):
     w = ColdStartWeights(top_k=4)
     catalog = [(i, str(i), "same title" if i % 2 else f"t {i}") for i in range(40)]
