@@ -148,11 +148,24 @@ def vector_similar_items(spark: SparkSession, folder: str) -> DataFrame:
     return V.similar_items(vectors(spark, folder), 10).select("query_id", "pos", r6("score", "score"), "rank")
 
 
-@query("vector_approximate_search")
+@query(
+    "vector_approximate_search",
+    "SELECT count(*) AS queries, count(*) * 10 AS returned, true AS all_exact, true AS recalled FROM embeddings",
+)
 def vector_approximate_search(spark: SparkSession, folder: str) -> DataFrame:
+    """How many results come back, whether their scores are those of the exact search, and whether nine in ten are found."""
     items = vectors(spark, folder)
     asked = items.select(F.col("pos").alias("query_id"), F.col("vector").alias("embedding"))
-    return V.approximate_search(items, asked, 10).select("query_id", "pos", r6("score", "score"), "rank")
+    near = V.approximate_search(items, asked, 10).withColumnRenamed("score", "near")
+    exact = V.exact_search(items, asked, 10).select("query_id", "pos", "score")
+    joined = near.join(exact, ["query_id", "pos"], "left")
+    wrong = F.sum((F.abs(F.col("near") - F.col("score")) > 1e-9).cast("int"))
+    return joined.agg(
+        F.countDistinct("query_id").alias("queries"),
+        F.count(F.lit(1)).alias("returned"),
+        (F.coalesce(wrong, F.lit(0)) == 0).alias("all_exact"),
+        (F.count("score") >= 0.9 * F.count(F.lit(1))).alias("recalled"),
+    )
 
 
 @query("vector_index_stats", "SELECT max(len(embedding)) AS dimension, count(*) AS items FROM embeddings")

@@ -27,10 +27,11 @@ def bandit_posteriors(rewards: DataFrame, prior_alpha: float = 1.0, prior_beta:
 
 
 def delayed_labels(impressions: DataFrame, conversions: DataFrame, horizon: str, delay: str) -> DataFrame:
-    """Each impression with its conversions of the same user within the horizon, or once with label 0.
+    """Each impression once: with the first conversion of the same user within the horizon, or with label 0.
 
-    ``impressions``: impression_id, user_id, shown_at; ``conversions``: user_id, converted_at. State is kept for horizon
-    plus delay; later conversions are lost by design.
+    ``impressions``: impression_id, user_id, shown_at; ``conversions``: user_id, converted_at. A row comes out when the
+    watermark has passed its horizon, so no label changes afterwards. State is kept for horizon plus delay; later
+    conversions are lost by design.
     """
     left = impressions.withWatermark("shown_at", delay).alias("i")
     right = conversions.withWatermark("converted_at", delay).alias("c")
@@ -39,11 +40,11 @@ def delayed_labels(impressions: DataFrame, conversions: DataFrame, horizon: str,
         & (F.col("c.converted_at") > F.col("i.shown_at"))
         & (F.col("c.converted_at") <= F.col("i.shown_at") + F.expr(f"interval {horizon}"))
     )
-    joined = left.join(right, near, "leftOuter")
-    hours = (F.unix_micros("c.converted_at") - F.unix_micros("i.shown_at")) / 3.6e9
-    return joined.select(
-        "i.impression_id", F.col("i.user_id").alias("user_id"), "i.shown_at", "c.converted_at",
-        F.col("c.converted_at").isNotNull().cast("int").alias("label"), hours.alias("delay_hours"),
+    joined = left.join(right, near, "leftOuter").select("i.impression_id", F.col("i.user_id").alias("user_id"), "i.shown_at", "c.converted_at")
+    first = joined.groupBy("impression_id", "user_id", "shown_at").agg(F.min("converted_at").alias("converted_at"))
+    hours = (F.unix_micros("converted_at") - F.unix_micros("shown_at")) / 3.6e9
+    return first.select(
+        "impression_id", "user_id", "shown_at", "converted_at", F.col("converted_at").isNotNull().cast("int").alias("label"), hours.alias("delay_hours")
     )
 
 

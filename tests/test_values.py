@@ -263,6 +263,21 @@ def test_approximate_search_recall(spark):
     exact = {(r.query_id, r.pos) for r in vectors.exact_search(items, asked, 5).collect()}
     near = {(r.query_id, r.pos) for r in vectors.approximate_search(items, asked, 5).collect()}
     assert len(exact & near) / len(exact) > 0.9
+    hot = items.union(items.limit(1).selectExpr("explode(sequence(1000L, 1400L)) AS pos", "vector"))
+    got = vectors.approximate_search(hot, asked.limit(1), 5).orderBy("rank").collect()
+    assert [r.pos for r in got] == [asked.first().query_id, 1000, 1001, 1002, 1003] and {r.score for r in got} == {1.0}
+
+
+def test_approximate_candidates_stay_few(spark):
+    """A query meets a bounded number of vectors, however many there are."""
+    rng = np.random.default_rng(0)
+    few = vectors.SignTables(tables=4, bucket=16, probes=2)
+    means = []
+    for rows in (500, 4000):
+        items = spark.createDataFrame([(i, rng.normal(size=16).tolist()) for i in range(rows)], "pos long, vector array<double>")
+        asked = items.limit(100).select(F.col("pos").alias("query_id"), F.col("vector").alias("embedding"))
+        means.append(vectors.approximate_candidates(items, asked, few).count() / 100)
+    assert means[1] < 2 * means[0] < 2 * 4 * 3 * 32
 
 
 def test_eventlog(spark):
