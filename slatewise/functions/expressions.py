@@ -110,6 +110,12 @@ def hex_fraction(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967295.0)
 
 
+def hex_number(*parts: Column | str | int) -> Column:
+    """A number from 0 to 16^15 - 1, drawn by the MD5 of the parts joined by underscores."""
+    named = [F.lit(str(p)) if isinstance(p, int) else _c(p).cast("string") for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws("_", *named)), 1, 15), 16, 10).cast("long")
+
+
 def stable_noise(user: Column | str, title: Column | str) -> Column:
     return hex_fraction(F.sha2(F.concat(_c(user), F.lit(":"), _c(title)), 256))
 

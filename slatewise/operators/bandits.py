@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slatewise.functions import expressions as X
 from slatewise.operators.scale import top_n_per_group
 
 
@@ -56,10 +57,9 @@ def thompson_select(candidates: DataFrame, state: DataFrame, k: int, seed: int =
 
 
 def epsilon_greedy_select(candidates: DataFrame, k: int, epsilon: float = 0.05, seed: int = 7) -> DataFrame:
-    """Per slate: with probability epsilon a uniform shuffle, else best by score. Coins and shuffles are seeded hashes."""
-    scale = F.lit(float(2**63))
-    coin = (F.xxhash64(F.lit(seed), F.lit("coin"), F.col("query_id").cast("string")).cast("double") / scale + 1.0) / 2.0
-    mixed = F.xxhash64(F.lit(seed), F.col("query_id").cast("string"), F.col("item_id").cast("string"), F.col("pos")).cast("double")
+    """Per slate: with probability epsilon a uniform shuffle, else best by score. Coins and shuffles are drawn by MD5."""
+    coin = X.hex_number(seed, F.lit("coin"), "query_id") / F.lit(float(16**15))
+    mixed = X.hex_number(seed, "query_id", "item_id", "pos").cast("double")
     explored = candidates.withColumn("explored", coin < epsilon)
     key = F.when(F.col("explored"), mixed).otherwise(-F.col("score"))
     return top_n_per_group(explored.withColumn("__key", key), ["query_id"], [F.col("__key"), F.col("pos")], k).drop("__key")

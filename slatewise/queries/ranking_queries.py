@@ -213,6 +213,10 @@ def bandit_thompson_select(spark: SparkSession, folder: str) -> DataFrame:
     return picked.select("query_id", "pos", r6("blended_score", "blended_score"), "rank")
 
 
-@query("bandit_epsilon_greedy")
+@query(
+    "bandit_epsilon_greedy",
+    f"""WITH {SLATES_SQL}, c AS (SELECT *, ('0x' || substr(md5('7_coin_' || query_id), 1, 15))::BIGINT / pow(16.0, 15) < 0.05 AS explored, ('0x' || substr(md5('7_' || query_id || '_' || item_id || '_' || pos), 1, 15))::BIGINT::DOUBLE AS mixed FROM slates)
+      SELECT query_id, pos, explored, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN explored THEN mixed ELSE -score END, pos) AS rank FROM c) WHERE rank <= 3""",
+)
 def bandit_epsilon_greedy(spark: SparkSession, folder: str) -> DataFrame:
     return bandits.epsilon_greedy_select(slates(spark, folder), 3).select("query_id", "pos", "explored", "rank")
