@@ -21,6 +21,8 @@ FOLDS, HELD_OUT = 3, 1
 #: Share of the pooled diagonal in a class covariance, and what is added to every variance.
 SHRINKAGE = 0.1
 RIDGE = 1e-3
+#: Words of ordinary text that every share is smoothed by.
+PRIOR_WORDS = 10
 
 FEATURES = (
     "log_words", "word_length", "letters", "upper", "digits", "commas", "shouts", "symbols", "other_marks",
@@ -44,27 +46,28 @@ def statistics(text: str | None) -> list[float]:
     marks, lower, upper, commas, shouts, symbols, digits, spaces, inner = np.bincount(_CLASS[codes], minlength=9).tolist()
     words = data.split()
     n, chars = len(words), max(1, len(data) - inner)
-    root = lambda count, of: float(np.sqrt(count / max(1, of)))
+    # Shares are those of the text and of PRIOR_WORDS ordinary words more, so that a few words say little either way.
+    share = lambda count, of, usual=0.0, per=1: float(np.sqrt((count + usual * PRIOR_WORDS * per) / (of + PRIOR_WORDS * per)))
     lines = [line for line in data.split(b"\n") if line.strip()]
     histogram = np.bincount(codes, minlength=256) / max(1, len(data))
     histogram = histogram[histogram > 0]
     return [
         np.log1p(n),
-        np.log1p((chars - spaces) / max(1, n)),
-        root(lower + upper, chars),
-        root(upper, lower + upper),
-        root(digits, chars),
-        root(commas, n),
-        root(shouts, n),
-        root(symbols, n),
-        root(marks, n),
+        np.log1p((chars - spaces + 5 * PRIOR_WORDS) / (n + PRIOR_WORDS)),
+        share(lower + upper, chars, 0.8, 6),
+        share(upper, lower + upper, 0.03, 5),
+        share(digits, chars, 0.0, 6),
+        share(commas, n, 0.15),
+        share(shouts, n),
+        share(symbols, n),
+        share(marks, n),
         float(np.log1p(len(set(words))) / np.log1p(max(1, n))),
-        root(sum(map(bytes.__eq__, words, words[1:])), n),
-        root(len(lines) - len(set(lines)), len(lines)),
+        share(sum(map(bytes.__eq__, words, words[1:])), n),
+        share(len(lines) - len(set(lines)), len(lines)),
         np.log1p(n / (1 + data.count(b".") + data.count(b"!") + data.count(b"?"))),
-        root(sum(1 for w in words if len(w) <= 3), n),
-        root(sum(1 for w in words if 65 <= w[0] <= 90), n),
-        float(-(histogram * np.log2(histogram)).sum()) if len(histogram) else 0.0,
+        share(sum(1 for w in words if len(w) <= 3), n, 0.45),
+        share(sum(1 for w in words if 65 <= w[0] <= 90), n, 0.15),
+        float(-(histogram * np.log2(histogram)).sum()) / min(4.3, np.log2(len(data))) if len(data) > 1 else 1.0,
     ]
 
 
