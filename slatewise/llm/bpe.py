@@ -16,6 +16,7 @@ import struct
 from typing import Any
 
 import numpy as np
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +26,12 @@ from slatewise.llm.common import map_rows, text_bytes
 # Fixed value: the pattern of byte-level pre-tokenization. White space is the Unicode property.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 # Words, and pieces between certain cuts, in one generation of a worker's memory.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 # Longer ones are not remembered.
 SHORT = 64
+NEVER = np.iinfo(np.int64).max
+# Characters that a batch lays out at once; a longer text is a batch of its own.
+CHARACTERS_AT_ONCE = 4_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -92,6 +96,7 @@ class ByteBpe:
         self.words = regex.compile(WORDS)
         self.special = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.pieces, self.words_seen = Memory(), Memory()
+        self.sorted_pairs: tuple[np.ndarray, np.ndarray] | None = None
 
     def cut(self, data: bytes) -> list[bytes]:
         """``data`` cut at every pair of bytes that no token holds."""
@@ -144,6 +149,140 @@ class ByteBpe:
                 offer(before[i])
         return [x for x in ids if x >= 0]
 
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """``encode_packed`` of every text. The texts are cut at their spaces, every different piece is split into words once,
+        every different word is merged once, and the ids are laid out by gathering. A text with an uncertain boundary or a
+        special token goes through ``encode_packed``."""
+        out: list[bytes] = []
+        begin = 0
+        while begin < len(texts):
+            end, chars = begin + 1, len(texts[begin])
+            while end < len(texts) and chars + len(texts[end]) <= CHARACTERS_AT_ONCE:
+                chars += len(texts[end])
+                end += 1
+            out += self._encode_some(texts[begin:end])
+            begin = end
+        return out
+
+    def _encode_some(self, texts: list[str]) -> list[bytes]:
+        parts: list[str] = []
+        ends, first = [], []
+        for text in texts:
+            split = text.split(" ")
+            first.append(split[0])
+            parts += split[1:]
+            ends.append(len(parts))
+        codes, unique = pd.factorize(np.array(parts, dtype=object)) if parts else (np.empty(0, np.int64), [])
+        closed = np.array([self._closed(u) for u in unique], dtype=bool)
+        flat, size = self._encode_unique(unique, closed)
+        place = np.cumsum(size) - size
+        each = size[codes]
+        upto = np.cumsum(each)
+        gathered = flat[np.repeat(place[codes] - (upto - each), each) + np.arange(upto[-1] if len(upto) else 0)]
+        bounds = np.concatenate([[0], upto])
+        open_before = np.concatenate([[0], np.cumsum(~closed[codes])])
+        out, begin = [], 0
+        for text, head, end in zip(texts, first, ends):
+            # Only the last part may end uncertainly: no space follows it.
+            uncertain = end > begin and (open_before[end - 1] > open_before[begin] or not self._closed(head))
+            if uncertain or (self.special is not None and self.special.search(text)):
+                out.append(self.encode_packed(text))
+            else:
+                out.append((self._piece(head) if head else b"") + gathered[bounds[begin] : bounds[end]].tobytes())
+            begin = end
+        return out
+
+    def _encode_unique(self, parts, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces (each a space and a part), one behind the other, and how many each has.
+
+        Pieces with certain ends are joined and split into words in one go: a word that begins with a space begins a piece.
+        """
+        words = self.words.findall("".join([" " + p for p, sure in zip(parts, closed.tolist()) if sure]))
+        firsts = [i for i, w in enumerate(words) if w[0] == " "]
+        bounds = iter(zip(firsts, [*firsts[1:], len(words)]))
+        listed: list[str] = []
+        counts = []
+        for part, sure in zip(parts, closed.tolist()):
+            if sure:
+                begin, end = next(bounds)
+                counts.append(end - begin)
+            else:
+                counts.append(-1)
+        if -1 in counts:
+            begin = 0
+            for i, part in enumerate(parts):
+                own = words[begin : begin + counts[i]] if counts[i] >= 0 else self.words.findall(" " + part)
+                begin += max(counts[i], 0)
+                counts[i] = len(own)
+                listed += own
+            words = listed
+        codes, unique = pd.factorize(np.array(words, dtype=object)) if words else (np.empty(0, np.int64), [])
+        seen, older = self.words_seen.young, self.words_seen.older
+        packed = [w.encode() for w in unique]
+        found = [seen.get(w) or older(w) for w in packed]
+        fresh = sorted((w for w, f in zip(packed, found) if f is None and len(w) <= SHORT), key=len)
+        learnt: dict[bytes, bytes] = {}
+        for start in range(0, len(fresh), 10_000):
+            some = fresh[start : start + 10_000]
+            learnt.update(zip(some, self._merge_many(some)))
+        for word, ids in learnt.items():
+            self.words_seen.put(word, ids)
+        found = [f if f is not None else learnt.get(w) or self._word(w) for w, f in zip(packed, found)]
+        flat = np.frombuffer(b"".join(found), dtype="<u4")
+        size = np.array([len(f) for f in found], dtype=np.int64) // 4
+        place = np.cumsum(size) - size
+        each = size[codes]
+        upto = np.cumsum(each)
+        laid = flat[np.repeat(place[codes] - (upto - each), each) + np.arange(upto[-1] if len(upto) else 0)]
+        ends = np.concatenate([[0], upto])[np.cumsum(np.array([0, *counts], dtype=np.int64))]
+        return laid, np.diff(ends)
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What each pair becomes, or NEVER."""
+        if self.sorted_pairs is None:
+            pairs = np.fromiter(self.merges.keys(), np.int64, len(self.merges))
+            order = np.argsort(pairs)
+            self.sorted_pairs = np.append(pairs[order], NEVER), np.append(np.fromiter(self.merges.values(), np.int64, len(pairs))[order], NEVER)
+        pairs, values = self.sorted_pairs
+        wanted = np.where((left >= 0) & (right >= 0), left * self.width + right, -1)
+        at = np.searchsorted(pairs, wanted)
+        return np.where(pairs[at] == wanted, values[at], NEVER)
+
+    def _merge_many(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words of similar length: a row of ids and a row of pair ranks for each, merged in step.
+
+        A pair that no token holds has no rank, so what lies on both sides of a certain cut never meets.
+        """
+        size = max(map(len, words))
+        data = np.zeros((len(words), size), dtype=np.uint8)
+        length = np.array([len(w) for w in words])
+        inside = np.arange(size)[None, :] < length[:, None]
+        data[inside] = np.frombuffer(b"".join(words), np.uint8)
+        ids = np.where(inside, np.array(self.single)[data], -1)
+        out = ids.copy()
+        ranks = np.column_stack([self._ranks_of(ids[:, :-1], ids[:, 1:]), np.full(len(ids), NEVER)])
+        rows, column = np.arange(len(words)), np.arange(size)
+        while len(rows):
+            best = ranks.argmin(axis=1)
+            value = ranks[np.arange(len(rows)), best]
+            going = value < NEVER
+            out[rows[~going]] = ids[~going]
+            rows, ids, ranks, best, value = rows[going], ids[going], ranks[going], best[going], value[going]
+            if not len(rows):
+                break
+            at = np.arange(len(rows))
+            ids[at, best] = value % self.width
+            behind = column[None, :] > best[:, None]
+            ids = np.where(behind, np.column_stack([ids[:, 1:], np.full(len(ids), -1)]), ids)
+            ranks = np.where(behind, np.column_stack([ranks[:, 1:], np.full(len(ranks), NEVER)]), ranks)
+            after = np.minimum(best + 1, size - 1)
+            ranks[at, best] = np.where(best + 1 < size, self._ranks_of(ids[at, best], ids[at, after]), NEVER)
+            first = np.flatnonzero(best > 0)
+            ranks[first, best[first] - 1] = self._ranks_of(ids[first, best[first] - 1], ids[first, best[first]])
+        length = (out >= 0).sum(axis=1)
+        packed = out.astype("<u4")
+        return [row[:n].tobytes() for row, n in zip(packed, length.tolist())]
+
     def _word(self, word: bytes) -> bytes:
         known = self.words_seen.young.get(word) or self.words_seen.older(word)
         if known is None:
@@ -233,8 +372,8 @@ def encode_texts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFr
     shared = shared_vocabulary(docs.sparkSession, vocabulary)
 
     def make():
-        encode = shared.value.get().encode
-        return lambda ids, texts: [(i, encode(t.decode())) for i, t in zip(ids, texts)]
+        encode = shared.value.get().encode_batch
+        return lambda ids, texts: [(i, np.frombuffer(p, dtype="<u4").tolist()) for i, p in zip(ids, encode([t.decode() for t in texts]))]
 
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(text)), "doc_id bigint, ids array<int>", make)
 
@@ -263,8 +402,8 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
 
         def run(docs, texts):
             out = []
-            for doc, text in zip(docs, texts):
-                ids = bpe.encode(text.decode())
+            for doc, packed in zip(docs, bpe.encode_batch([t.decode() for t in texts])):
+                ids = np.frombuffer(packed, dtype="<u4").tolist()
                 out.append((doc, len(ids), digest(",".join(map(str, ids)).encode()), digest(bpe.decode(ids).encode())))
             return out
 

@@ -14,6 +14,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from slatewise.session import work_folder
 
 
+#: Rows turned into Python objects at once.
+ROWS_AT_ONCE = 1000
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -42,8 +46,8 @@ def map_rows(df: DataFrame, schema: str | T.StructType, make: Callable[[], Calla
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for batch in batches:
-            if batch.num_rows:
-                rows = function(*[column.to_pylist() for column in batch.columns])
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                rows = function(*[column.to_pylist() for column in batch.slice(start, ROWS_AT_ONCE).columns])
                 columns: list[Any] = list(zip(*rows)) if rows else [()] * len(arrow)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 

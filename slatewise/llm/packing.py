@@ -85,12 +85,12 @@ def token_pieces(docs: DataFrame, vocabulary: str, tokens: int = 2048, end_id: i
     shared = shared_vocabulary(docs.sparkSession, vocabulary)
 
     def make():
-        encode, end = shared.value.get().encode_packed, np.array([end_id], dtype="<u4").tobytes()
+        bpe, end = shared.value.get(), np.array([end_id], dtype="<u4").tobytes()
 
         def run(ids, texts):
             out = []
-            for doc, text in zip(ids, texts):
-                packed = encode(text.decode()) + end
+            for doc, packed in zip(ids, bpe.encode_batch([t.decode() for t in texts])):
+                packed += end
                 count = len(packed) // 4
                 start, piece = 0, 0
                 while start < count:

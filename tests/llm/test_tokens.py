@@ -45,6 +45,17 @@ def test_short_and_long_merges_agree(bpe):
     for _ in range(300):
         data = [bpe.single[b] for b in bytes(rng.choice(b"aehint ou") for _ in range(rng.randint(1, 40)))]
         assert bpe._merge_short(list(data)) == bpe._merge_long(list(data))
+    words = [bytes(rng.choice(b"aehint \xc3\xa9!") for _ in range(rng.randint(1, 40))) for _ in range(500)] + [b"x"]
+    assert bpe._merge_many(words) == [np.array(bpe.merge(w), dtype="<u4").tobytes() for w in words]
+    assert bpe._merge_many([b"a", b"b"]) == [np.array(bpe.merge(w), dtype="<u4").tobytes() for w in (b"a", b"b")]
+
+
+def test_batches_encode_as_single_texts():
+    texts = mixed(1500) + ["", " ", "  ", "Hello  world ", "voilà à a", "a" * 100, "x", "x ", " x"] + ["the end\n", "one <|endoftext|> two"]
+    fresh = ByteBpe(open(FILE, "rb").read())
+    for _ in range(2):
+        assert [np.frombuffer(p, dtype="<u4").tolist() for p in fresh.encode_batch(texts)] == [ids_of(t) for t in texts]
+    assert fresh.encode_batch([]) == [] and fresh.encode_batch([""]) == [b""]
 
 
 def test_no_token_spans_a_cut(bpe):
