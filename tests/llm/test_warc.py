@@ -42,7 +42,7 @@ def test_round_trip(spark, tmp_path):
 
 def test_index_reaches_single_records(spark, tmp_path):
     htmls = [f"{i} " * 300 for i in range(200)]
-    index = write_archives(resolve(pages(spark, htmls)), str(tmp_path / "w"), frame_bytes=4000, bundle_bytes=600)
+    index = write_archives(resolve(pages(spark, htmls)), str(tmp_path / "w"), frame_bytes=1000, bundle_bytes=1500)
     assert index.select("path").distinct().count() > 3 and index.agg({"frame": "max"}).first()[0] > 3
     got = rows(fetch_records(index, spark.createDataFrame([(3,), (150,), (150,), (999,)], "page_id bigint")))
     assert got == [r for r in plain(htmls, list(range(200))) if r[0] in (3, 150)]
