@@ -7,7 +7,6 @@ match has not passed and follows its own automaton to the longest end.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
