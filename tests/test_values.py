@@ -334,3 +334,19 @@ def test_embedding_quality(spark):
     assert whole.rows == drawn.rows == 400 and drawn.uniformity == pytest.approx(whole.uniformity, abs=0.05)
     assert embedding_quality.uniformity(many, partners=32, hot_rows=50).first().uniformity == pytest.approx(drawn.uniformity)
     assert embedding_quality.uniformity(df.limit(0)).first().uniformity == 0.0
+
+
+def test_centroid_routing_in_blocks(spark):
+    """Scoring the classes a few at a time changes nothing, nor do ties and a lone class."""
+    rng = np.random.default_rng(9)
+    rows = [(i, int(rng.integers(0, 12)), rng.normal(size=6).tolist()) for i in range(200)] + [(900, 40, [1.0] * 6), (901, 41, [1.0] * 6), (902, 40, [0.0] * 6)]
+    items = spark.createDataFrame(rows, "pos long, label int, vector array<double>")
+    centroids = vectors.class_centroids(items.filter("pos <> 902"))
+    routed = lambda some, block: sorted((r.pos, r.route, round(r.lead, 9), round(r.confidence, 9)) for r in vectors.route_by_centroid(items, some, block=block).collect())
+    whole = routed(centroids, 1000)
+    assert routed(centroids, 3) == whole and routed(centroids, 1) == whole
+    assert dict((p, r) for p, r, *_ in whole)[902] == "unknown" and dict((p, lead) for p, _, lead, _ in whole)[900] == 0.0
+    alone = routed(centroids.filter("label = 40"), 3)
+    assert {r for _, r, *_ in alone} <= {"40", "unknown"}
+    with pytest.raises(ValueError):
+        vectors.route_by_centroid(items, centroids.limit(0))
