@@ -71,6 +71,7 @@ CONTRACTS = {
         "extra": ("object", False),
     },
 }
+# Event types.
 KNOWN_EVENT_TYPES = ("impression", "click", "dwell", "purchase", "save", "hide", "skip", "complaint")
 
 

@@ -107,12 +107,18 @@ def off_policy_report(events: DataFrame, keys: list[str], clip_min: float = 0.0,
     )
 
 
+# Fixed output values: the three reasons of the guardrail.
+TOO_SMALL = "ATE %.4f is below minimum threshold %.4f."
+UNCERTAIN = "Lower confidence bound %.4f is below zero, effect not statistically significant."
+PASSED = "Experiment passed causal guardrails."
+
+
 def causal_guardrail(effects: DataFrame, min_effect: float = 0.01, min_lower: float = 0.0) -> DataFrame:
     """passed and reason per effect row: first the size, then the lower bound."""
     small, uncertain = F.col("value") < min_effect, F.col("lower") < min_lower
     reason = (
-        F.when(small, F.format_string("ATE %.4f is below minimum threshold %.4f.", "value", F.lit(min_effect)))
-        .when(uncertain, F.format_string("Lower confidence bound %.4f is below zero, effect not statistically significant.", "lower"))
-        .otherwise("Experiment passed causal guardrails.")
+        F.when(small, F.format_string(TOO_SMALL, "value", F.lit(min_effect)))
+        .when(uncertain, F.format_string(UNCERTAIN, "lower"))
+        .otherwise(PASSED)
     )
     return effects.withColumn("passed", ~(small | uncertain)).withColumn("reason", reason)
