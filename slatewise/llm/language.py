@@ -25,6 +25,11 @@ SAMPLE_PER_LANGUAGE = 300
 SAMPLE = 3000
 #: Every CHECK_FOLDS-th document, by the checksum of its id, is kept from learning.
 CHECK_FOLDS = 5
+#: Characters at which another limit of the score begins, the share of held-out documents beyond it that sets it, the parts in
+#: which a doubtful text is looked at again, and their least length.
+BANDS = (32, 128, 512)
+CLEAN_LOSS = 0.01
+PASSAGES, LEAST_PASSAGE = 8, 100
 #: Text turned into trigrams at once.
 AT_ONCE = 1 << 20
 
@@ -132,9 +137,10 @@ def held_out(folds: int = CHECK_FOLDS, rest: int = 0) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == rest
 
 
-def fit_language_model(docs: DataFrame) -> LanguageModel:
-    """Learn from text and lang of the documents that are not held out: a hash sample of at most SAMPLE rows in all."""
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+def _sample(docs: DataFrame, held: bool) -> list[tuple[str, np.ndarray, int]]:
+    """Language, trigrams and length of a hash sample of at most SAMPLE labelled rows, of the held-out ones or of the others."""
+    mine = held_out() if held else ~held_out()
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(mine & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE // 20).collect()
     each = min(SAMPLE_PER_LANGUAGE, SAMPLE // max(1, len(counts)))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
@@ -142,12 +148,47 @@ def fit_language_model(docs: DataFrame) -> LanguageModel:
     for row in counts:
         chance = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, each / row["count"]))).otherwise(chance)
     sample = labelled.filter(draw < chance).select("lang", "text").limit(2 * SAMPLE)
-    rows = map_rows(sample, "lang string, x binary", lambda: lambda langs, texts: [(la, trigrams(t).tobytes()) for la, t in zip(langs, texts)]).collect()
-    rows = sorted((r["lang"], bytes(r["x"])) for r in rows)
-    x = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.float32).reshape(-1, BUCKETS)
+    rows = map_rows(sample, "lang string, x binary, length bigint", lambda: lambda langs, texts: [(la, trigrams(t).tobytes(), len(t)) for la, t in zip(langs, texts)]).collect()
+    return [(la, np.frombuffer(x, dtype=np.float32), n) for la, x, n in sorted((r["lang"], bytes(r["x"]), r["length"]) for r in rows)]
+
+
+def fit_language_model(docs: DataFrame) -> LanguageModel:
+    """Learn from text and lang of the documents that are not held out: a hash sample of at most SAMPLE rows in all."""
+    rows = _sample(docs, held=False)
+    x = np.stack([r[1] for r in rows]) if rows else np.empty((0, BUCKETS), dtype=np.float32)
     return LanguageModel(np.array([r[0] for r in rows], dtype=object), x)
 
 
+def fit_limits(model: LanguageModel, docs: DataFrame) -> np.ndarray:
+    """The least score of a recognisable language for each band of lengths: that of half the margin which all but 1 % of the
+    held-out labelled documents of the band exceed (a hash sample of at most SAMPLE). A band without any has the limit 0."""
+    limits = np.zeros(len(BANDS) + 1)
+    rows = _sample(docs, held=True) if model.languages else []
+    if rows:
+        scores = model.predict(np.stack([r[1] for r in rows]))[1]
+        bands = np.searchsorted(BANDS, [r[2] for r in rows], side="right")
+        for band in np.unique(bands):
+            low = np.clip(np.quantile(scores[bands == band], CLEAN_LOSS), 0.5, 1 - 1e-12)
+            limits[band] = 1 / (1 + np.exp(-np.log(low / (1 - low)) / 2))
+    return limits
+
+
+def recognisable(model: LanguageModel, limits: np.ndarray, texts: list[str | None]) -> list[bool]:
+    """Texts with a letter whose score reaches the limit of their length, as a whole or in at least half of up to PASSAGES parts,
+    since a text of two languages has no sure language as a whole. All texts with a letter if nothing was learned."""
+    reached = lambda text, score: score >= limits[np.searchsorted(BANDS, len(text), side="right")]
+    out = []
+    for text, (language, score) in zip(texts, model.label(texts)):
+        good = bool(text and _LETTER.search(text)) if not model.languages else language != UNKNOWN
+        if good and model.languages and not reached(text, score):
+            step = max(LEAST_PASSAGE, -(-len(text) // PASSAGES))
+            parts = [text[i : i + step] for i in range(0, len(text), step)] if len(text) >= 2 * LEAST_PASSAGE else []
+            sure = [language != UNKNOWN and reached(part, score) for part, (language, score) in zip(parts, model.label(parts))]
+            good = 2 * sum(sure) >= len(sure) > 0
+        out.append(good)
+    return out
+
+
 def identify_languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score (0 to 1), one row per row of ``docs``.
 
@@ -166,10 +207,11 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 
 def keep_known_languages(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text has a recognisable language, all columns as they are."""
-    model = docs.sparkSession.sparkContext.broadcast(fit_language_model(docs))
+    model = fit_language_model(docs)
+    fitted = docs.sparkSession.sparkContext.broadcast((model, fit_limits(model, docs)))
 
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
-        return pd.Series([language != UNKNOWN for language, _ in model.value.label(texts.tolist())])
+        return pd.Series(recognisable(*fitted.value, texts.tolist()), dtype=bool)
 
     return docs.filter(known("text"))

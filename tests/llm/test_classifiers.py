@@ -1,3 +1,4 @@
+import base64
 import random
 import zlib
 
@@ -45,6 +46,21 @@ def test_language_of_awkward_rows(spark):
     assert sorted(str(r["text"])[:3] for r in kept.collect()) == sorted(str(t)[:3] for i, t in enumerate(texts) if i % 7 > 2)
 
 
+def test_texts_in_no_language_go_and_clean_ones_stay(spark):
+    docs = table(spark, SMALL, "documents")
+    rng = random.Random(1)
+    prose = {r["lang"]: r["text"] for r in docs.filter("length(text) > 2000").orderBy("doc_id").collect()}
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(1, 9))) for _ in range(400)) for _ in range(20)]
+    noise += [base64.b64encode(rng.randbytes(2000)).decode() for _ in range(20)]
+    mixed = [prose[a][:2000] + " " + prose[b][:2000] for a, b in (("en", "fr"), ("de", "es"), ("en", "de"))]
+    extra = documents(spark, noise + mixed, [None] * 43).select(*docs.columns)
+    kept = [r["text"] for r in keep_known_languages(docs.unionByName(extra)).collect()]
+    assert not set(noise) & set(kept) and set(mixed) <= set(kept)
+    assert len(kept) >= docs.count() * 0.995
+    unlabelled = documents(spark, ["abc def", "123", None])
+    assert [r["text"] for r in keep_known_languages(unlabelled).collect()] == ["abc def"]
+
+
 def test_families_then_pairs():
     rng = random.Random(0)
     letters = {"en": "abcd", "de": "abce", "fr": "mnop", "es": "mnoq", "fi": "xyz"}
