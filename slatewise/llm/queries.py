@@ -14,13 +14,17 @@ from slatewise.llm.licenses import scan_licenses
 from slatewise.llm.neighbours import index, search
 from slatewise.llm.packing import Capacity, pack, token_pieces
 from slatewise.llm.quality import score_quality
+from slatewise.llm.ranked_bpe import ranked_round_trip
 from slatewise.llm.rules import judge
+from slatewise.llm.runs import periodic_runs, planted, runs_digest
 from slatewise.llm.secrets import secret_digest
 from slatewise.llm.simhash import fingerprint_hex, near_duplicates
+from slatewise.llm.vector_codes import compressed
 from slatewise.llm.warc import archive_round_trip
 from slatewise.queries.registry import Registered
 
 VOCABULARY = "byte_bpe_50k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def vocabulary() -> str:
@@ -69,6 +73,18 @@ def op10_warc_bundles(spark: SparkSession, folder: str) -> DataFrame:
     return archive_round_trip(table(spark, folder, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs_digest(periodic_runs(planted(table(spark, folder, "documents"))))
+
+
+def op12_ranked_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_round_trip(table(spark, folder, "documents"), public_tokenizers.path(RANKS))
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return compressed(table(spark, folder, "embeddings"))
+
+
 def llm_queries() -> dict[str, Registered]:
     return {
         "op1_secret_scan": Registered(op1_secret_scan, sql.secrets_sql()),
@@ -81,4 +97,7 @@ def llm_queries() -> dict[str, Registered]:
         "op8_quality_rules": Registered(op8_quality_rules, sql.rules_sql()),
         "op9_simhash_near_dedup": Registered(op9_simhash_near_dedup, None),
         "op10_warc_bundles": Registered(op10_warc_bundles, sql.WARC),
+        "op11_periodic_runs": Registered(op11_periodic_runs, None),
+        "op12_ranked_bpe": Registered(op12_ranked_bpe, None),
+        "op13_vector_codes": Registered(op13_vector_codes, sql.vector_codes_sql()),
     }

@@ -101,3 +101,27 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (sqrt(
   FROM f q JOIN f c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
 s AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM p)
 SELECT * FROM s WHERE rank <= 5"""
+
+
+def vector_codes_sql(parts: int = 8, size: int = 16, rounds: int = 6) -> str:
+    """The rounds written out one by one; every assignment looks at every entry."""
+    steps = []
+    for number in range(rounds + 1):
+        steps.append(
+            f"""a{number} AS MATERIALIZED (SELECT r, part, min(struct_pack(d := d, entry := entry)) AS best FROM (
+  SELECT r, part, entry, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM p JOIN c{number} USING (part)) GROUP BY r, part)"""
+        )
+        if number < rounds:
+            steps.append(
+                f"""m{number} AS (SELECT part, entry, list(mean ORDER BY at) AS c FROM (SELECT part, best.entry AS entry, at, CAST(sum(y) AS BIGINT) AS s, count(*) AS n, (s - ((s % n) + n) % n) // n AS mean
+  FROM (SELECT r, part, unnest(x) AS y, unnest(range(len(x))) AS at FROM p) JOIN a{number} USING (r, part) GROUP BY part, best.entry, at) GROUP BY part, entry),
+c{number + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.c, o.c) AS c FROM c{number} o LEFT JOIN m{number} m USING (part, entry))"""
+            )
+    return f"""WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, part, v[part * len(v) // {parts} + 1:(part + 1) * len(v) // {parts}] AS x FROM k, range({parts}) AS t(part)),
+c0 AS (SELECT part, r - 1 AS entry, x AS c FROM p WHERE r <= {size}),
+{", ".join(steps)},
+f AS (SELECT r, string_agg(lpad(lower(to_hex(best.entry)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+b AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN f USING (r), b"""
