@@ -113,8 +113,8 @@ def vector_codes_sql(parts: int = 8, size: int = 16, rounds: int = 6) -> str:
         )
         if number < rounds:
             steps.append(
-                f"""m{number} AS (SELECT part, entry, list(mean ORDER BY at) AS c FROM (SELECT part, best.entry AS entry, at, CAST(sum(y) AS BIGINT) AS s, count(*) AS n, (s - ((s % n) + n) % n) // n AS mean
-  FROM (SELECT r, part, unnest(x) AS y, unnest(range(len(x))) AS at FROM p) JOIN a{number} USING (r, part) GROUP BY part, best.entry, at) GROUP BY part, entry),
+                f"""m{number} AS (SELECT part, entry, list(mean ORDER BY place) AS c FROM (SELECT part, best.entry AS entry, place, CAST(sum(y) AS BIGINT) AS s, count(*) AS n, (s - ((s % n) + n) % n) // n AS mean
+  FROM (SELECT r, part, unnest(x) AS y, unnest(range(len(x))) AS place FROM p) JOIN a{number} USING (r, part) GROUP BY part, best.entry, place) GROUP BY part, entry),
 c{number + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.c, o.c) AS c FROM c{number} o LEFT JOIN m{number} m USING (part, entry))"""
             )
     return f"""WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
