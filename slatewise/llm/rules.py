@@ -1,12 +1,15 @@
 """Quality rules by distribution divergence.
 
-A document's histogram of character classes and its histogram of common words are compared with those of its language, summed
-over all documents that pass the base rules. The Jensen-Shannon distance (0 to 1) of each must stay below a threshold; texts
-too short for a histogram to mean anything are not judged by it.
+A document's histogram of character classes and its histogram of common words are compared with those of its language. Both
+references are counted by Spark over all documents that pass the base rules, for every language that has enough words; the
+common words of a language are its most frequent ones. The Jensen-Shannon distance (0 to 1) of the characters must stay below
+a fixed limit, that of the words below a share of the distance that a text without any common word has. Texts too short for
+a histogram to mean anything, and texts whose language has no reference, are not judged by it.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,20 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatewise.llm.common import map_rows, stored
+from slatewise.llm.common import ROWS_AT_ONCE, map_rows, stored
+from slatewise.operators.scale import top_n_per_group
 
-# Frequent function words by language.
-COMMON_WORDS = {
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat",
-    "en": "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they",
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me",
-    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec ou",
-}
-WORDS = sorted({w for line in COMMON_WORDS.values() for w in line.split()})
 CHARACTERS = ("lower", "upper", "digit", "space", "stop", "quote", "symbol", "control", "beyond")
 SYMBOLS = b"#*$%&|<>"
 
-_INDEX = {w.encode(): i for i, w in enumerate(WORDS)}
 _CLASS = np.full(256, 6, dtype=np.uint8)
 _CLASS[97:123] = 0
 _CLASS[65:91] = 1
@@ -42,16 +37,22 @@ _CLASS[0x80:0xC0] = 9
 _TRIM = b".,;:!?'\"()-"
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _NO_SYMBOL = bytes(b for b in range(256) if b not in SYMBOLS)
+#: Different words a task counts before it passes the counts on.
+COUNTED_AT_ONCE = 100_000
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Greatest distances, and the least characters and words for which a histogram is judged."""
+    """Greatest distance of the characters; greatest distance of the words as a share of that of a text without common words;
+    the least characters and words for which a histogram is judged; common words of a language, and the words in all that it
+    needs to have a reference."""
 
     characters: float = 0.3
-    words: float = 0.5
+    words: float = 0.85
     least_characters: int = 200
     least_words: int = 100
+    common: int = 30
+    reference_words: int = 2000
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -66,15 +67,24 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def measure(data: bytes) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and both histograms."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     words = data.split()  # of bytes: space and 09-0D
     lines = [line for line in data.split(b"\n") if line.split()]
-    counts = np.bincount(_CLASS[np.frombuffer(data, np.uint8)], minlength=10)[:9]
-    known = [0] * (len(WORDS) + 1)
-    for word in data.lower().split():
-        known[_INDEX.get(word.strip(_TRIM), -1)] += 1
     word_chars = len(b"".join(words).translate(None, _CONTINUATION))
-    return len(words), word_chars, len(data.translate(None, _NO_SYMBOL)), len(lines) - len(set(lines)), repeated_words(words), counts.tolist(), known
+    return len(words), word_chars, len(data.translate(None, _NO_SYMBOL)), len(lines) - len(set(lines)), repeated_words(words)
+
+
+def fails_base(n_words: int, n_repeat_words: int) -> bool:
+    return n_words < 50 or 100 * n_repeat_words > 50 * n_words
+
+
+def character_histogram(data: bytes) -> np.ndarray:
+    return np.bincount(_CLASS[np.frombuffer(data, np.uint8)], minlength=10)[:9]
+
+
+def plain_words(data: bytes) -> list[bytes]:
+    """Words as they are compared: a-z for A-Z, without punctuation around them; some are empty."""
+    return [word.strip(_TRIM) for word in data.lower().split()]
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -86,72 +96,116 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where((totals[0] > 0) & (totals[1] > 0), np.sqrt(np.clip((part(p) + part(q)) / 2, 0, 1)), 0.0)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base columns, base_failed and both histograms, stored."""
+@dataclass(frozen=True)
+class Reference:
+    """A language's characters by class, its common words, and how often these stand in its documents, all others last."""
 
-    def make():
-        def run(ids, langs, texts):
-            out = []
-            for i, lang, text in zip(ids, langs, texts):
-                n_words, *base, characters, words = measure(text or b"")
-                out.append((i, lang, n_words, *base, n_words < 50 or 100 * base[-1] > 50 * n_words, characters, words))
-            return out
+    characters: np.ndarray
+    place: dict[bytes, int]
+    words: np.ndarray
 
-        return run
+    def word_histogram(self, data: bytes) -> np.ndarray:
+        counts = [0] * len(self.words)
+        for word, times in Counter(plain_words(data)).items():
+            counts[self.place.get(word, -1)] += times
+        return np.array(counts)
 
-    schema = (
-        "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
-        "base_failed boolean, characters array<bigint>, words array<bigint>"
-    )
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("lang").alias("lang"), F.col("text").cast("binary").alias("text"))
-    return stored(map_rows(chosen, schema, make), "measured")
-
-
-def references(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Histograms of every language with a list of common words, summed over all its documents that pass the base rules."""
-    sums = [F.sum(F.col("characters")[i]).alias(f"c{i}") for i in range(len(CHARACTERS))] + [F.sum(F.col("words")[i]).alias(f"w{i}") for i in range(len(WORDS) + 1)]
-    found = rows.filter(~F.col("base_failed") & F.col("lang").isin(list(COMMON_WORDS))).groupBy("lang").agg(*sums).collect()  # a row per list
-    out = {}
-    for row in found:
-        values = np.array(row[1:], dtype=np.float64)
-        out[row["lang"]] = (values[: len(CHARACTERS)], values[len(CHARACTERS) :])
-    return out
+    def without_common_words(self) -> float:
+        """Word distance of a text that has none of the common words."""
+        none = np.zeros((1, len(self.words)))
+        none[0, -1] = 1
+        return float(distance(none, self.words[None])[0])
 
 
-def divergences(rows: DataFrame, known: dict[str, tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
-    """``rows`` with char_distance and word_distance to the document's language, or to the nearest one where the language is
-    null or has no reference. With no reference at all both are 0."""
-    known = references(rows) if known is None else known
-    model = rows.sparkSession.sparkContext.broadcast(known)  # a row per list of common words
+def _chosen(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("lang").alias("lang"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+
+
+def language_counts(docs: DataFrame) -> DataFrame:
+    """lang, part, key, n: characters by class (``c``), words (``w``) and words in all (``t``) of the documents that pass the
+    base rules. A task adds up its own documents, so what is shuffled grows with vocabularies and tasks, not with texts."""
+    schema = "lang string, part string, key binary, n bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = sorted(model.value)
+        counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
+
+        def passed_on() -> pa.RecordBatch:
+            rows = [(lang, part, key, n) for (lang, part), c in counts.items() for key, n in c.items()]
+            counts.clear()
+            columns = zip(*rows) if rows else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.binary(), pa.int64()))], ["lang", "part", "key", "n"])
+
         for batch in batches:
-            matrix = lambda name: np.array(batch.column(name).to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
-            langs = np.array([la if la in model.value else "" for la in batch.column("lang").to_pylist()], dtype=object)
-            near = {}
-            for part, (name, of) in enumerate((("characters", CHARACTERS), ("words", [*WORDS, ""]))):
-                counts = matrix(name)
-                each = np.stack([distance(counts, np.broadcast_to(model.value[la][part], counts.shape)) for la in names]) if names else np.zeros((1, len(counts)))
-                own = np.array([names.index(la) if la else -1 for la in langs], dtype=int)
-                near[name] = np.where(own < 0, each.min(axis=0), each[own, np.arange(len(own))])
-            columns = [batch.column(c) for c in batch.schema.names if c not in ("characters", "words")]
-            names_out = [c for c in batch.schema.names if c not in ("characters", "words")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(near["characters"]), pa.array(near["words"])], [*names_out, "char_distance", "word_distance"])
-
-    kept = [f for f in rows.schema if f.name not in ("characters", "words")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", char_distance double, word_distance double"
-    return rows.mapInArrow(run, schema)
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                for lang, data in zip(*(batch.slice(start, ROWS_AT_ONCE).column(c).to_pylist() for c in ("lang", "text"))):
+                    n_words, *_, n_repeat_words = measure(data)
+                    if lang is None or fails_base(n_words, n_repeat_words):
+                        continue
+                    words = plain_words(data)
+                    counts[lang, "w"].update(word for word in words if word)
+                    counts[lang, "t"][b""] += len(words)
+                    counts[lang, "c"].update({bytes([i]): int(n) for i, n in enumerate(character_histogram(data)) if n})
+                if sum(map(len, counts.values())) > COUNTED_AT_ONCE:
+                    yield passed_on()
+        yield passed_on()
+
+    counted = _chosen(docs).filter("lang IS NOT NULL").select("lang", "text").mapInArrow(run, schema)
+    return stored(counted.groupBy("lang", "part", "key").agg(F.sum("n").alias("n")), "language-counts")
+
+
+def references(docs: DataFrame, limits: Limits = Limits()) -> dict[str, Reference]:
+    """References of all languages with ``reference_words`` words or more in documents that pass the base rules; of equally
+    frequent words the smaller one in byte order is the more common. A few dozen numbers a language reach the driver."""
+    counts = language_counts(docs)
+    enough = counts.filter((F.col("part") == "t") & (F.col("n") >= limits.reference_words)).select("lang", F.col("n").alias("total"))
+    known = counts.join(enough, "lang")
+    top = top_n_per_group(known.filter("part = 'w'"), ["lang"], [F.col("n").desc(), F.col("key")], limits.common)
+    rows = known.filter("part = 'c'").withColumn("rank", F.lit(0).cast("long")).unionByName(top).orderBy("lang", "part", "rank", "key").collect()
+    out: dict[str, Reference] = {}
+    for lang in dict.fromkeys(r["lang"] for r in rows):
+        mine = [r for r in rows if r["lang"] == lang]
+        characters = np.zeros(len(CHARACTERS))
+        for r in mine:
+            if r["part"] == "c":
+                characters[r["key"][0]] = r["n"]
+        words = [(bytes(r["key"]), r["n"]) for r in mine if r["part"] == "w"]
+        rest = mine[0]["total"] - sum(n for _, n in words)
+        out[lang] = Reference(characters, {w: i for i, (w, _) in enumerate(words)}, np.array([*(n for _, n in words), rest], dtype=np.float64))
+    return out
 
 
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance.
 
-    Null and empty texts have no words and so fail the base rules. One row per row; other columns are ignored.
+    Null and empty texts have no words and so fail the base rules. Where the language is null or has no reference, both
+    distances are 0 and nothing but the base rules judges. Texts are read twice, once for the references. One row per row,
+    repeated rows included; an empty table gives none; other columns are ignored.
     """
-    rows = divergences(measured(docs))
-    chars_fail = (F.col("word_chars") >= limits.least_characters) & (F.col("char_distance") > limits.characters)
-    words_fail = (F.col("n_words") >= limits.least_words) & (F.col("word_distance") > limits.words)
-    return rows.withColumn("kept", ~F.col("base_failed") & ~chars_fail & ~words_fail).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"
+    model = docs.sparkSession.sparkContext.broadcast(references(docs, limits))  # a few KB a language
+
+    def make():
+        known = model.value
+        word_limit = {lang: limits.words * r.without_common_words() for lang, r in known.items()}
+
+        def run(ids, langs, texts):
+            out = []
+            for i, lang, data in zip(ids, langs, texts):
+                n_words, word_chars, *others = measure(data)
+                base_failed = fails_base(n_words, others[-1])
+                reference, chars, words = known.get(lang), 0.0, 0.0
+                if reference is not None:
+                    chars = float(distance(character_histogram(data)[None], reference.characters[None])[0])
+                    words = float(distance(reference.word_histogram(data)[None], reference.words[None])[0])
+                odd = reference is not None and (
+                    word_chars >= limits.least_characters and chars > limits.characters or n_words >= limits.least_words and words > word_limit[lang]
+                )
+                out.append((i, n_words, word_chars, *others, base_failed, not base_failed and not odd, chars, words))
+            return out
+
+        return run
+
+    schema = (
+        "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
+        "base_failed boolean, kept boolean, char_distance double, word_distance double"
     )
+    return map_rows(_chosen(docs).select("doc_id", "lang", "text"), schema, make)

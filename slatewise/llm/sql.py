@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slatewise.llm import licenses, rules
+from slatewise.llm import licenses
 from slatewise.llm.secrets import BASE_RULES, RULES
 
 WARC = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
@@ -66,33 +66,32 @@ FROM d LEFT JOIN j USING (r)"""
 
 def rules_sql() -> str:
     """The base counts, both histograms as rows, and their Jensen-Shannon distances to the sums of each language."""
-    limits = rules.Limits()
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     patterns = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "space": r"[\x20\x09-\x0D]", "stop": "[.,;:!?]", "quote": """['"()-]""", "control": r"[\x00-\x08\x0E-\x1F\x7F]", "beyond": r"[^\x00-\x7F]"}
     patterns["symbol"] = r"[#$%&*+/<=>@\[\\\]^_`{|}~]"
     histogram = " UNION ALL ".join(f"SELECT r, 'c' AS part, '{name}' AS k, length(t) - length(regexp_replace(t, $re${p}$re$, '', 'g')) AS n FROM w" for name, p in patterns.items())
-    known = ", ".join(f"('{w}')" for w in rules.WORDS)
-    languages = ", ".join(f"'{la}'" for la in rules.COMMON_WORDS)
-    fails = lambda part, least, limit: f"coalesce(({least}) AND {part} > {limit}, false)"
     return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(lang) AS lang, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+w AS MATERIALIZED (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 z AS (SELECT r, unnest(list_zip(range(len(w) - 2), w[1:len(w) - 2], w[2:len(w) - 1], w[3:len(w)])) AS x FROM w WHERE len(w) > 2),
 g AS (SELECT r, x[1] AS i, count(*) OVER (PARTITION BY r, x[2], x[3], x[4]) AS n FROM z),
 m AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM g, (VALUES (0), (1), (2)) AS o(k) WHERE n > 1 GROUP BY r),
-b AS (SELECT r, doc_id, lang, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+b AS MATERIALIZED (SELECT r, doc_id, lang, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
   len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(w) AS base_failed FROM w LEFT JOIN m USING (r)),
-u AS (SELECT r, trim(translate(unnest(w), '{licenses.UPPER}', '{licenses.LOWER}'), $tr$.,;:!?'"()-$tr$) AS word FROM w),
-h AS (SELECT * FROM ({histogram}) WHERE n > 0 UNION ALL SELECT r, 'w', coalesce(k.word, ''), count(*) FROM u LEFT JOIN (VALUES {known}) AS k(word) USING (word) GROUP BY ALL),
-e AS (SELECT lang, part, k, sum(n) AS n FROM h JOIN b USING (r) WHERE NOT base_failed AND lang IN ({languages}) GROUP BY ALL),
-q AS (SELECT lang, part, k, n / sum(n) OVER (PARTITION BY lang, part) AS q FROM e),
-p AS (SELECT r, part, k, n / sum(n) OVER (PARTITION BY r, part) AS p FROM h),
-la AS (SELECT DISTINCT lang FROM q),
-s AS (SELECT r, la.lang AS ref, p.part, sqrt(greatest(0, (sum(p * log2(2 * p / (p + coalesce(q, 0)))) + sum(CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) + 1 - sum(coalesce(q, 0))) / 2)) AS dist
-  FROM p CROSS JOIN la LEFT JOIN q ON q.lang = la.lang AND q.part = p.part AND q.k = p.k GROUP BY ALL),
-o AS (SELECT r, part, coalesce(min(dist) FILTER (ref = lang), min(dist)) AS dist FROM s JOIN b USING (r) GROUP BY ALL),
-f AS (SELECT r, max(dist) FILTER (part = 'c') AS c, max(dist) FILTER (part = 'w') AS v FROM o GROUP BY r)
+u AS MATERIALIZED (SELECT r, trim(translate(unnest(w), '{upper}', '{lower}'), $tr$.,;:!?'"()-$tr$) AS word FROM w),
+t AS (SELECT lang, sum(n_words) AS total FROM b WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang HAVING sum(n_words) >= 2000),
+o AS (SELECT lang, word, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, encode(word)) AS place FROM u JOIN b USING (r) WHERE NOT base_failed AND word <> '' AND lang IS NOT NULL GROUP BY lang, word),
+top AS MATERIALIZED (SELECT lang, word, n FROM o JOIN t USING (lang) WHERE place <= 30),
+h AS MATERIALIZED (SELECT r, lang, part, k, n FROM ({histogram}) JOIN b USING (r) WHERE n > 0 UNION ALL SELECT r, b.lang, 'w', coalesce(top.word, ''), count(*) FROM u JOIN b USING (r) LEFT JOIN top ON top.lang = b.lang AND top.word = u.word GROUP BY ALL),
+e AS (SELECT h.lang, part, k, sum(n) AS n FROM h JOIN b USING (r) JOIN t ON t.lang = h.lang WHERE NOT base_failed GROUP BY ALL),
+q AS MATERIALIZED (SELECT lang, part, k, n / sum(n) OVER (PARTITION BY lang, part) AS q FROM e),
+p AS (SELECT r, lang, part, k, n / sum(n) OVER (PARTITION BY r, part) AS p FROM h),
+s AS (SELECT r, p.part, sqrt(greatest(0, (sum(p * log2(2 * p / (p + coalesce(q, 0)))) + sum(CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) + 1 - sum(coalesce(q, 0))) / 2)) AS dist
+  FROM p JOIN t ON t.lang = p.lang LEFT JOIN q ON q.lang = p.lang AND q.part = p.part AND q.k = p.k GROUP BY ALL),
+x AS (SELECT lang, sqrt((log2(2 / (1 + max(q) FILTER (k = ''))) + sum(CASE WHEN k <> '' THEN q ELSE q * log2(2 * q / (1 + q)) END)) / 2) AS none FROM q WHERE part = 'w' GROUP BY lang),
+f AS (SELECT r, max(dist) FILTER (part = 'c') AS c, max(dist) FILTER (part = 'w') AS v FROM s GROUP BY r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT {fails("c", f"word_chars >= {limits.least_characters}", limits.characters)} AND NOT {fails("v", f"n_words >= {limits.least_words}", limits.words)} AS kept
-FROM b LEFT JOIN f USING (r)"""
+  NOT base_failed AND NOT coalesce(word_chars >= 200 AND c > 0.3, false) AND NOT coalesce(n_words >= 100 AND v > 0.85 * none, false) AS kept
+FROM b LEFT JOIN f USING (r) LEFT JOIN x USING (lang)"""
 
 
 NEIGHBOURS = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0),

@@ -7,7 +7,7 @@ import pytest
 
 from slatewise.llm.language import LanguageModel, identify_languages, keep_known_languages, trigrams
 from slatewise.llm.quality import FEATURES, Discriminant, keep_good_documents, score_quality, statistics
-from slatewise.llm.rules import Limits, distance, judge, repeated_words
+from slatewise.llm.rules import Limits, distance, judge, references, repeated_words
 from slatewise.llm.common import table
 from tests.llm.helpers import documents
 
@@ -130,20 +130,56 @@ def test_distance():
     assert distance(a, b).tolist() == [1.0, 0.0, 0.0]
 
 
+def _prose(rng, common, alphabet, many=30):
+    """Texts of 150 words, four in ten of them common ones."""
+    made = lambda: "".join(rng.choices(alphabet, k=5))
+    return [" ".join(rng.choice(common) if rng.random() < 0.4 else made() for _ in range(150)) for _ in range(many)]
+
+
 def test_rules_of_awkward_rows(spark):
     rng = random.Random(4)
-    common = "the of and to in a is that for it".split()
-    prose = lambda: " ".join(rng.choice(common) if rng.random() < 0.4 else "".join(rng.choices("aeinrst", k=5)) for _ in range(150))
-    good = [prose() for _ in range(30)]
+    good = _prose(rng, "the of and to in a is that for it".split(), "aeinrst")
     odd = " ".join(f"{w}%%###{i}" for i, w in enumerate(good[0].split()))
-    texts = [None, "", "short", odd, odd.upper(), *good, good[0]]
-    langs = [None, "en", "en", "en", "zz", *["en"] * 30, None]
+    long = " ".join(good * 40) + " " + " ".join(f"w{i}" for i in range(150 * 30 * 40))
+    texts = [None, "", "short", odd, odd.upper(), *good, good[0], good[0], long]
+    langs = [None, "en", "en", "en", "zz", *["EN"] * 30, None, "en", "xx"]
     got = {i: r for i, r in enumerate(sorted(judge(documents(spark, texts, list(range(len(texts))), langs)).collect()))}
-    assert [got[i]["kept"] for i in range(5)] == [False] * 5 and [got[i]["base_failed"] for i in range(5)] == [True] * 3 + [False] * 2
-    assert all(got[i]["kept"] for i in range(5, len(texts)))
+    assert [got[i]["base_failed"] for i in range(5)] == [True] * 3 + [False] * 2
+    assert [got[i]["kept"] for i in range(5)] == [False] * 4 + [True]  # zz has no reference: only the base rules judge
+    assert all(got[i]["kept"] for i in range(5, len(texts) - 1))
     assert (got[0]["n_words"], got[3]["n_symbols"], got[3]["word_chars"]) == (0, 150 * 5, len(odd) - 149)
+    assert got[len(texts) - 1]["n_words"] == 150 * 30 * 80
     assert judge(documents(spark, [])).count() == 0
-    assert judge(documents(spark, good, langs=["zz"] * 30), Limits()).filter("kept").count() == 30  # nothing to compare with
+    repeated = judge(documents(spark, [good[0]] * 40, [7] * 40, ["en"] * 40))
+    assert repeated.count() == 40 and repeated.filter("kept").count() == 40
+    assert judge(documents(spark, good, langs=[None] * 30), Limits()).filter("kept").count() == 30  # nothing to compare with
+
+
+def test_rules_judge_every_language_by_its_own_words(spark):
+    """Clean texts of a Latin and a Cyrillic language stay, random letters and texts without common words go."""
+    rng = random.Random(5)
+    english = _prose(rng, "the of and to in a is that for it".split(), "aeinrst")
+    russian = _prose(rng, "\u0438 \u0432 \u043d\u0435 \u043d\u0430 \u044f \u0447\u0442\u043e \u043e\u043d \u0441 \u043a\u0430\u043a \u044d\u0442\u043e".split(), "\u0430\u0435\u0438\u043d\u043e\u0440\u0441\u0442")
+    noise = [" ".join("".join(rng.choices(alphabet, k=rng.randint(1, 9))) for _ in range(400)) for alphabet in ("abcdefghijklmnopqrstuvwxyz", "\u0430\u0435\u0438\u043d\u043e\u0440\u0441\u0442")]
+    texts = [*english, *russian, *noise, " ".join(noise[0].split()[:90])]
+    langs = ["en"] * 30 + ["ru"] * 30 + ["en", "ru", "en"]
+    got = judge(documents(spark, texts, list(range(len(texts))), langs)).toPandas().set_index("doc_id").sort_index()
+    assert got.loc[:59, "kept"].all()
+    assert not got.loc[60:61, "kept"].any() and got.loc[60, "char_distance"] < 0.3
+    assert got.loc[62, "kept"]  # fewer words than a histogram of words needs
+
+
+def test_limit_of_words_lies_between_clean_texts_and_texts_without_common_words(spark):
+    """On the given documents: clean ones stay, and what has no common word is above the limit of every language."""
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    known = references(docs)
+    assert set(known) == {"de", "en", "es", "fr"}
+    judged = judge(docs).join(labels, "doc_id").filter("NOT base_failed AND n_words >= 100").toPandas()
+    clean = judged[judged["quality"] == 1]
+    assert len(clean) > 100 and clean["kept"].mean() > 0.99
+    assert (judged[judged["quality"] == 0]["kept"]).mean() < 0.3
+    for reference in known.values():
+        assert reference.word_histogram(b"qqqq " * 200)[-1] == 200 and reference.without_common_words() > 0.2
 
 
 def test_duplicate_lines(spark):
