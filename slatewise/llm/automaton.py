@@ -109,14 +109,6 @@ class Automaton:
         self._determinise(root, empty, moves, final, anywhere)
 
     def _determinise(self, root: int, empty: list[set[int]], moves: list, final: dict[int, int], anywhere: bool) -> None:
-        def closure(states: set[int]) -> frozenset[int]:
-            seen, todo = set(states), list(states)
-            while todo:
-                for x in empty[todo.pop()] - seen:
-                    seen.add(x)
-                    todo.append(x)
-            return frozenset(seen)
-
         # Bytes that every move treats alike share a class.
         sets = {members for out in moves for members, _ in out}
         signature = {b: tuple(b in s for s in sets) for b in range(256)}
@@ -124,22 +116,47 @@ class Automaton:
         class_of = [classes[signature[b]] for b in range(256)]
         member = [class_of.index(c) for c in range(len(classes))]
 
-        begin = closure({root})
-        numbers = {begin: 0}
-        order, table = [begin], []
+        # Sets of states are the bits of a number. behind[s]: what empty moves reach from s, itself included.
+        behind = []
+        for s in range(len(empty)):
+            seen, todo = {s}, [s]
+            while todo:
+                for x in empty[todo.pop()] - seen:
+                    seen.add(x)
+                    todo.append(x)
+            behind.append(sum(1 << x for x in seen))
+        steps: list[dict[int, int]] = []
+        for out in moves:
+            step: dict[int, int] = {}
+            for members, end in out:
+                for number, byte in enumerate(member):
+                    if byte in members:
+                        step[number] = step.get(number, 0) | behind[end]
+            steps.append(step)
+
+        def places(states: int) -> list[int]:
+            out = []
+            while states:
+                low = states & -states
+                out.append(low.bit_length() - 1)
+                states ^= low
+            return out
+
+        numbers = {behind[root]: 0}
+        order, table = [behind[root]], []
         for current in order:
-            row = []
-            for byte in member:
-                reached = {end for s in current for members, end in moves[s] if byte in members}
-                target = closure(reached | {root} if anywhere else reached)
+            reached = [behind[root] if anywhere else 0] * len(member)
+            for s in places(current):
+                for number, target in steps[s].items():
+                    reached[number] |= target
+            for target in reached:
                 if target not in numbers:
                     numbers[target] = len(order)
                     order.append(target)
-                row.append(numbers[target])
-            table.append(row)
+            table.append([numbers[target] for target in reached])
         accepts = [0] * len(order)
         for i, states in enumerate(order):
-            for s in states:
+            for s in places(states):
                 accepts[i] |= final.get(s, 0)
         self._minimise(np.array(table), np.array(accepts), np.array(class_of))
 

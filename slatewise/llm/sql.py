@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from slatewise.llm import licenses
-from slatewise.llm.secrets import BASE_RULES, RULES
 
 WARC = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 s AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
@@ -12,35 +11,64 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'r
   CASE WHEN page_id > first THEN first END AS refers_to FROM f"""
 
 
-def _folded(pattern: str) -> str:
-    """Letters outside classes in either case, so that no engine's own folding is needed."""
-    out, depth = [], 0
-    escaped = False
-    for c in pattern:
-        depth += (c == "[") - (c == "]")
-        out.append(f"[{c.upper()}{c.lower()}]" if c.isalpha() and not depth and not escaped else c)
-        escaped = c == "\\"
-    return "".join(out)
+# Kinds, patterns in the dialect of the SQL engine, least lengths and the group that they hold for.
+SECRETS = (
+    ("assign", r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
+    ("access", r"AKIA[A-Z0-9]+", 20, 0),
+    ("hex", r"[0-9a-f]{24,}", 24, 0),
+    ("private_key", r"-----BEGIN [A-Z0-9 ]+-----([\r\n]+[A-Za-z-]+:\x20[A-Za-z0-9,\x20/.-]+)*(([\r\n\x20\t]|\\[nr])+[A-Za-z0-9+/=]{16,})*(([\r\n\x20\t]|\\[nr])*([A-Za-z0-9+/=]+([\r\n\x20\t]|\\[nr])+)?-----END [A-Z0-9 ]+-----)?", 20, 0),
+    ("code_host", r"gh[opsur]_[A-Za-z0-9]+", 40, 0),
+    ("code_host_fine", r"github_pat_[A-Za-z0-9_]+", 80, 0),
+    ("code_host_lab", r"gl(pat|dt|rt|cbt|ptt)-[A-Za-z0-9_-]+", 25, 0),
+    ("chat", r"xox[abprs]-[A-Za-z0-9-]+", 16, 0),
+    ("chat_hook", r"hooks\.slack\.com/services/[A-Za-z0-9]+/[A-Za-z0-9]+/[A-Za-z0-9]+", 60, 0),
+    ("chat_hook_other", r"discord(app)?\.com/api/webhooks/[0-9]+/[A-Za-z0-9_-]+", 80, 0),
+    ("chat_bot", r"[0-9]+:AA[A-Za-z0-9_-]+", 44, 0),
+    ("web_token", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30, 0),
+    ("maps_key", r"AIza[A-Za-z0-9_-]+", 39, 0),
+    ("oauth_secret", r"GOCSPX-[A-Za-z0-9_-]+", 30, 0),
+    ("oauth_access", r"ya29\.[A-Za-z0-9_-]+", 40, 0),
+    ("session_access", r"ASIA[A-Z0-9]+", 20, 0),
+    ("storage_key", r"AccountKey=[A-Za-z0-9+/]+==", 90, 0),
+    ("payment", r"[rs]k_(live|test)_[A-Za-z0-9]+", 24, 0),
+    ("payment_point", r"sq0(atp|csp|idp)-[A-Za-z0-9_-]+", 29, 0),
+    ("mail_grid", r"SG\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 60, 0),
+    ("mail_gun", r"key-[0-9a-f]+", 36, 0),
+    ("mail_list", r"[0-9a-f]+-us[0-9]+", 36, 0),
+    ("phone_key", r"SK[0-9a-f]+", 34, 0),
+    ("package_js", r"npm_[A-Za-z0-9]+", 40, 0),
+    ("package_py", r"pypi-AgE[A-Za-z0-9_-]+", 60, 0),
+    ("package_rb", r"rubygems_[0-9a-f]+", 57, 0),
+    ("shop", r"shp(at|ca|pa|ss)_[A-Fa-f0-9]+", 38, 0),
+    ("cloud_ocean", r"do[opr]_v1_[a-f0-9]+", 71, 0),
+    ("vault", r"hv[bs]\.[A-Za-z0-9_-]+", 28, 0),
+    ("lakehouse", r"dapi[0-9a-f]+", 36, 0),
+    ("models", r"hf_[A-Za-z]+", 37, 0),
+    ("issues", r"lin_api_[A-Za-z0-9]+", 48, 0),
+    ("requests", r"PMAK-[0-9a-f]+-[0-9a-f]+", 60, 0),
+    ("file_key", r"AGE-SECRET-KEY-1[0-9A-Z]+", 74, 0),
+    ("dashboards", r"glsa_[A-Za-z0-9]+_[A-Fa-f0-9]+", 46, 0),
+    ("monitoring", r"NRAK-[A-Z0-9]+", 32, 0),
+    ("stack", r"pul-[0-9a-f]+", 44, 0),
+)
 
 
 def secrets_sql() -> str:
     """Matches and the stretches between them give the places of the matches."""
     kinds = []
-    for order, rule in enumerate(RULES):
-        head, _, tail = rule.pattern.partition(r"\x20*[:=]")
-        pattern = (_folded(head) + r"\x20*[:=]" + tail) if rule.fold_case else rule.pattern
-        kept = f"length(regexp_extract(m[i], $re${pattern}$re$, {rule.group})) >= {rule.least}"
+    for order, (kind, pattern, least, group) in enumerate(SECRETS):
+        kept = f"length(regexp_extract(m[i], $re${pattern}$re$, {group})) >= {least}"
         kinds.append(
-            f"SELECT r, {order} AS o, '{rule.kind}' AS kind, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a, length(m[i]) AS n "
+            f"SELECT r, {order} AS o, '{kind}' AS kind, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a, length(m[i]) AS n "
             f"FROM (SELECT r, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r, regexp_extract_all(t, $re${pattern}$re$) AS m, string_split_regex(t, $re${pattern}$re$) AS g FROM d)) WHERE {kept}"
         )
-    base = ", ".join(f"'{r.kind}'" for r in BASE_RULES)
+    base = "'assign', 'access', 'hex'"
     told = "kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT)"
-    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in ("assign", "access", "hex"))
     return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 s AS ({' UNION ALL '.join(kinds)}),
 j AS (SELECT r, {counts}, string_agg({told}, ',' ORDER BY a, o) FILTER (kind IN ({base})) AS b, string_agg({told}, ',' ORDER BY a, o) AS spans FROM s GROUP BY r)
-SELECT doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in BASE_RULES)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN j USING (r)"""
 
 
