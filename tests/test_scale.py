@@ -109,7 +109,7 @@ def test_vector_search_blocks_and_edges(spark):
     items = spark.createDataFrame(data, "pos long, vector array<double>, domain string")
     asked = spark.createDataFrame([(i, d[1], d[2] if i % 3 else None) for i, d in enumerate(data)], "query_id long, embedding array<double>, domain string")
     shipped = vectors.exact_search(items, asked, 6)
-    blocked = vectors.exact_search(items, asked, 6, broadcast_queries=10)
+    blocked = vectors.exact_search(items, asked, 6, per_cell=7)
     columns = ("query_id", "pos", "rank", "score")
     assert _rows(shipped, *columns) == _rows(blocked, *columns)
     assert shipped.filter("query_id = 80").count() == 0

@@ -252,66 +252,6 @@ def test_vector_edges(spark):
     assert vectors.map_across_domains(asked, matrix.limit(0)).first().embedding == [1.0, 0.0, 0.0]
 
 
-def test_approximate_search_recall(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    centers = rng.normal(size=(20, 8))
-    data = [(i, (centers[i % 20] + 0.05 * rng.normal(size=8)).tolist()) for i in range(400)]
-    items = spark.createDataFrame(data, "pos long, vector array<double>")
-    asked = items.select(F.col("pos").alias("query_id"), F.col("vector").alias("embedding"))
-    exact = {(r.query_id, r.pos) for r in vectors.exact_search(items, asked, 5).collect()}
-    near = {(r.query_id, r.pos) for r in vectors.approximate_search(items, asked, 5).collect()}
-    assert len(exact & near) / len(exact) > 0.9
-    hot = items.union(items.limit(1).selectExpr("explode(sequence(1000L, 1400L)) AS pos", "vector"))
-    got = vectors.approximate_search(hot, asked.limit(1), 5).orderBy("rank").collect()
-    assert [r.pos for r in got] == [asked.first().query_id, 1000, 1001, 1002, 1003] and {r.score for r in got} == {1.0}
-
-
-def test_approximate_candidates_stay_few(spark):
-    """A query meets a bounded number of vectors, however many there are."""
-    rng = np.random.default_rng(0)
-    few = vectors.SignTables(tables=4, bucket=16, probes=2)
-    means = []
-    for rows in (500, 4000):
-        items = spark.createDataFrame([(i, rng.normal(size=16).tolist()) for i in range(rows)], "pos long, vector array<double>")
-        asked = items.limit(100).select(F.col("pos").alias("query_id"), F.col("vector").alias("embedding"))
-        means.append(vectors.approximate_candidates(items, asked, few).count() / 100)
-    assert means[1] < 2 * means[0] < 2 * 4 * 3 * 32
-
-
-@pytest.mark.parametrize("cost", [1e-9, 50])
-@pytest.mark.parametrize("bits", [13, 19])
-def test_approximate_search_recall_of_large_tables(spark, monkeypatch, bits, cost):
-    """With the bit counts of 10^5 and 10^7 rows, on the embeddings, by hashing alone (if it can) and by the cheaper way."""
-    monkeypatch.setattr(vectors, "PAIR_COST", cost)
-    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    items = table.select(F.col("vec_id").alias("pos"), F.col("embedding").cast("array<double>").alias("vector"))
-    asked = items.orderBy("pos").limit(60).select(F.col("pos").alias("query_id"), F.col("vector").alias("embedding"))
-    tables = vectors.SignTables(bucket=items.count() / 2**bits)
-    assert vectors.sign_bits(items.count(), tables.bucket) == bits
-    if bits == 13 and cost < 1:
-        assert vectors.enough_tables(items, asked, 10, tables).tables > tables.tables
-    exact = {(r.query_id, r.pos) for r in vectors.exact_search(items, asked, 10).collect()}
-    near = {(r.query_id, r.pos) for r in vectors.approximate_search(items, asked, 10, tables).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
-
-
-def test_approximate_search_by_hashing_alone(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "PAIR_COST", 1e-9)
-    test_approximate_search_recall(spark)
-
-
-def test_approximate_search_without_enough_tables_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "MOST_TABLES", 2)
-    rng = np.random.default_rng(2)
-    items = spark.createDataFrame([(i, rng.normal(size=16).tolist()) for i in range(300)], "pos long, vector array<double>")
-    asked = items.limit(20).select(F.col("pos").alias("query_id"), F.col("vector").alias("embedding"))
-    tables = vectors.SignTables(tables=1, bucket=1, probes=1)
-    assert vectors.enough_tables(items, asked, 5, tables) is None
-    assert sorted(vectors.approximate_search(items, asked, 5, tables).collect()) == sorted(vectors.exact_search(items, asked, 5).collect())
-
-
 def test_eventlog(spark):
     samples = spark.createDataFrame([("k", float(v), v) for v in range(1, 7)], "key string, value double, seq long")
     row = eventlog.percentiles(samples).first()
