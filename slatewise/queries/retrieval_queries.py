@@ -236,18 +236,28 @@ def bag_of_words(spark: SparkSession, folder: str) -> DataFrame:
     return text_similarity.bag_of_words(table(spark, folder, "documents"))
 
 
-@query(
-    "text_similarity_top_k",
-    f"""WITH {_TF_SQL}, dn AS (SELECT doc_id, sqrt(sum(tf * tf)) AS n FROM dtf GROUP BY doc_id), qn AS (SELECT item_id, sqrt(sum(tf * tf)) AS n FROM qtf GROUP BY item_id),
+_TEXT_TOP_K_SQL = f"""WITH {_TF_SQL}, dn AS (SELECT doc_id, sqrt(sum(tf * tf)) AS n FROM dtf GROUP BY doc_id), qn AS (SELECT item_id, sqrt(sum(tf * tf)) AS n FROM qtf GROUP BY item_id),
       dots AS (SELECT item_id, doc_id, sum(q.tf * d.tf) AS s FROM qtf q JOIN dtf d USING (w) GROUP BY item_id, doc_id),
       sims AS (SELECT b.item_id AS query_id, d.doc_id AS pos, round(coalesce(s / (qn.n * dn.n), 0.0), 12) AS score FROM benchmark b CROSS JOIN documents d
         LEFT JOIN dots ON dots.item_id = b.item_id AND dots.doc_id = d.doc_id LEFT JOIN qn ON qn.item_id = b.item_id LEFT JOIN dn ON dn.doc_id = d.doc_id)
-      SELECT query_id, pos, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM sims) WHERE rank <= 10""",
-)
-def text_similarity_top_k(spark: SparkSession, folder: str) -> DataFrame:
+      SELECT query_id, pos, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM sims) WHERE rank <= 10"""
+
+
+def _texts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("pos"), "text")
-    asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return text_similarity.text_top_k(docs, asked, 10).select("query_id", "pos", r6("score", "score"), "rank")
+    return docs, table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+@query("text_similarity_top_k", _TEXT_TOP_K_SQL)
+def text_similarity_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return text_similarity.text_top_k(*_texts(spark, folder), 10).select("query_id", "pos", r6("score", "score"), "rank")
+
+
+@query("text_postings_top_k", _TEXT_TOP_K_SQL)
+def text_postings_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The same answers by pruned postings, the way of query sets that are too large to travel."""
+    found = text_similarity.text_top_k(*_texts(spark, folder), 10, broadcast_queries=0)
+    return found.select("query_id", "pos", r6("score", "score"), "rank")
 
 
 # Text channel: every distinct title asks from its first catalogue row; text = title, type and brand.

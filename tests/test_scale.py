@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from slatewise.operators import graph, losses, policy, text_similarity, vectors
@@ -119,14 +120,40 @@ def test_vector_search_blocks_and_edges(spark):
     assert got == want
 
 
-def test_text_search_blocks(spark):
+def _plain_text_search(texts, asked, k):
+    """(query, pos, score) of the best k by cosine of word counts, over every text; ``asked``: id, text, position or group left out."""
+    import re
+    from collections import Counter
+
+    bag = lambda t: Counter(re.findall(r"\w{2,}", t.lower()))
+    size = lambda c: sum(n * n for n in c.values()) ** 0.5 or 1.0
+    bags = {t: bag(t) for _, t, _ in texts}
+    out = []
+    for query, text, position, group in asked:
+        mine = bag(text)
+        scored = [(-round(sum(n * bags[t][w] for w, n in mine.items()) / (size(mine) * size(bags[t])), 12), p) for p, t, g in texts if p != position and (group is None or g != group)]
+        out += [(query, p, round(-s, 9), r) for r, (s, p) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("batch, part_rows", [(4096, 1), (0, 5), (0, 65536)])
+def test_text_search_against_all_pairs(spark, batch, part_rows):
+    """Frequent and rare words, equal texts in any word order, empty texts, fewer texts with a common word than wanted."""
     rng = random.Random(8)
-    texts = [(i, " ".join(rng.choice(["red", "blue", "the", "the", "bolt", "x"]) for _ in range(rng.randrange(0, 9)))) for i in range(60)]
-    items = spark.createDataFrame(texts, "pos long, text string")
-    asked = items.select(F.col("pos").alias("query_id"), "text")
-    one = text_similarity.text_top_k(items, asked, 5)
-    two = text_similarity.text_top_k(items, asked, 5, broadcast_queries=10)
-    assert _rows(one, "query_id", "pos", "rank", "score") == _rows(two, "query_id", "pos", "rank", "score")
+    pool = ["red", "blue", "the", "the", "the", "of", "bolt", "nut", "x", *[f"rare{i}" for i in range(40)]]
+    texts = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(0, 9))), f"g{i % 5}") for i in range(150)]
+    texts += [(200 + i, "the of the red", "g1") for i in range(40)] + [(300 + i, "red the the of", "hot") for i in range(40)]
+    items = spark.createDataFrame(texts, "pos long, text string, item_group string").repartition(3)
+    plain = [(i, t, None, None) for i, t, _ in texts] + [(900, "nothing known", None, None), (901, "", None, None), (902, "rare1 rare2", None, None)]
+    asked = spark.createDataFrame([(i, t) for i, t, _, _ in plain], "query_id long, text string")
+    got = text_similarity.text_top_k(items.drop("item_group"), asked, 6, broadcast_queries=batch, part_rows=part_rows)
+    assert _rows(got, "query_id", "pos", "score", "rank") == _plain_text_search(texts, plain, 6)
+    found = text_similarity.similar_titles(items.select("pos", "text"), 4)
+    assert _rows(found, "query_id", "pos", "score", "rank") == _plain_text_search(texts, [(i, t, i, None) for i, t, _ in texts], 4)
+    grouped = [(i, t, None, g) for i, t, g in texts[::3]] + [(999, "the of", None, "hot"), (998, "zz", None, "g0")]
+    own = spark.createDataFrame([(i, t, g) for i, t, _, g in grouped], "query_id long, text string, own_group string")
+    left_out = text_similarity.text_top_k(items, own, 5, broadcast_queries=batch, part_rows=part_rows)
+    assert _rows(left_out, "query_id", "pos", "score", "rank") == _plain_text_search(texts, grouped, 5)
 
 
 def test_structural_search_hot_neighbours(spark):
