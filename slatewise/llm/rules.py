@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.llm.common import ROWS_AT_ONCE, map_rows, stored
-from slatewise.operators.scale import top_n_per_group
+from slatewise.operators.scale import bounded_broadcast, top_n_per_group
 
 CHARACTERS = ("lower", "upper", "digit", "space", "stop", "quote", "symbol", "control", "beyond")
 SYMBOLS = b"#*$%&|<>"
@@ -158,7 +158,7 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> dict[str, Referenc
     frequent words the smaller one in byte order is the more common. A few dozen numbers a language reach the driver."""
     counts = language_counts(docs)
     enough = counts.filter((F.col("part") == "t") & (F.col("n") >= limits.reference_words)).select("lang", F.col("n").alias("total"))
-    known = counts.join(enough, "lang")
+    known = counts.join(bounded_broadcast(enough), "lang")
     top = top_n_per_group(known.filter("part = 'w'"), ["lang"], [F.col("n").desc(), F.col("key")], limits.common)
     rows = known.filter("part = 'c'").withColumn("rank", F.lit(0).cast("long")).unionByName(top).orderBy("lang", "part", "rank", "key").collect()
     out: dict[str, Reference] = {}
