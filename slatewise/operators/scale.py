@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from slatewise.session import written
+
 # Spark prunes ``row_number() <= n`` before the shuffle up to this n (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT_PUSHDOWN = 1000
 # A window over a group up to this size is sorted by one task without trouble.
@@ -68,23 +70,27 @@ def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column
     return condition
 
 
+def _folded(df: DataFrame, window, sums: dict[str, str], fold) -> DataFrame:
+    for name, source in sums.items():
+        df = df.withColumn(name, fold(source).over(window))
+    return df
+
+
 def running_sums(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     sums: dict[str, str],
     hot_rows: int | None = HOT_GROUP_ROWS,
-    buckets: int = 64,
     least: bool = False,
 ) -> DataFrame:
-    """Inclusive running sums (or, with ``least``, running minima) per group along ``order`` (numeric columns, ascending,
-    unique within a group).
-
-    ``sums`` maps output column to input column. A plain window does this with one task per group, so groups above
-    ``hot_rows`` are cut into ordered buckets first: bucket borders come from a hash sample of the group and travel as
-    a small table (one row per hot group), each bucket is folded by its own task, and the totals of the earlier buckets
-    are added. The result is the same either way. ``hot_rows=None`` skips the size check where the caller has already cut
-    every group to a few rows.
+    """Inclusive running sums (or, with ``least``, running minima) per group along ``order`` (columns, ascending, unique
+    within a group).
+
+    ``sums`` maps output column to input column. A plain window does this with one task per group. When a group is larger
+    than ``hot_rows``, all rows are laid out by ranges of (keys, order) instead, see ``_running_over_ranges``. The result
+    is the same either way. ``hot_rows=None`` skips the size check where the caller has already cut every group to a few
+    rows.
     """
     keys = list(keys)
     fold = F.min if least else F.sum
@@ -92,65 +98,55 @@ def running_sums(
     if not keys:
         work = df.withColumn("__all", F.lit(0))
         keys = ["__all"]
-    hot = []
     if hot_rows is not None:
         sizes = work.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        # At most rows / hot_rows groups can be this large.
-        hot = sizes.filter(F.col("__n") > hot_rows).collect()
-    if not hot:
-        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        for name, source in sums.items():
-            work = work.withColumn(name, fold(source).over(window))
-        return work.drop("__all")
-
-    spark = df.sparkSession
-    key_schema = T.StructType([T.StructField(f"__r_{k}", work.schema[k].dataType) for k in keys])
-    hot_keys = spark.createDataFrame([tuple(row[k] for k in keys) for row in hot], key_schema)
-    stride = max(1, max(row["__n"] for row in hot) // (buckets * 32))
-    point = F.struct(*[F.col(c) for c in order])
-    sampled = (
-        work.join(F.broadcast(hot_keys), _same_keys(work, hot_keys, keys), "left_semi")
-        .filter(F.pmod(F.xxhash64(*order), F.lit(stride)) == 0)
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(point)).alias("__points"))
-        .withColumn("__step", F.greatest(F.lit(1), F.floor(F.size("__points") / buckets)).cast("int"))
-        .select(
-            *[F.col(k).alias(f"__r_{k}") for k in keys],
-            F.filter("__points", lambda p, i: F.pmod(i, F.col("__step")) == 0).alias("__borders"),
-        )
-    )
-    # One row of about ``buckets`` border points per hot group; fixed here so that a re-run task sees the same borders.
-    borders = spark.createDataFrame(sampled.collect(), sampled.schema)
-    placed = work.join(F.broadcast(borders), _same_keys(work, borders, keys), "left").drop(*[f"__r_{k}" for k in keys])
-    placed = placed.withColumn(
-        "__bucket",
-        F.when(F.col("__borders").isNull(), F.lit(0)).otherwise(F.size(F.filter("__borders", lambda b: b < point))),
-    ).drop("__borders")
-    local = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    for name, source in sums.items():
-        placed = placed.withColumn(name, fold(source).over(local))
-    earlier = Window.partitionBy(*[f"__r_{k}" for k in keys]).orderBy("__r_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        placed.groupBy(*keys, "__bucket")
-        .agg(*[fold(source).alias(f"__t_{name}") for name, source in sums.items()])
-        .withColumnsRenamed({**{k: f"__r_{k}" for k in keys}, "__bucket": "__r_bucket"})
+        largest, rows = sizes.agg(F.max("__n"), F.sum("__n")).first()
+        if (largest or 0) > hot_rows:
+            return _running_over_ranges(work, keys, order, sums, fold, ranges_of(rows, hot_rows)).select(*df.columns, *sums)
+    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return _folded(work, window, sums, fold).drop("__all")
+
+
+def ranges_of(rows: int, hot_rows: int) -> int:
+    """How many ranges ``rows`` are laid out in: two for every ``hot_rows`` rows, since sampled borders are uneven."""
+    return max(2, -(-2 * rows // hot_rows))
+
+
+def _running_over_ranges(work: DataFrame, keys: list[str], order: Sequence[str], sums: dict[str, str], fold, ranges: int) -> DataFrame:
+    """Running folds of groups of any size: tasks grow with the rows, not with the groups.
+
+    Spark samples the borders of ``ranges`` ranges of (keys, order). The ranges are written once, so that a lost task finds
+    the same ones, and each is folded for itself. A group that crosses a border is the last of one range and the first of
+    the next; so one row per range (its first group, its last group and what that has summed up to) is enough to carry
+    every group on.
+    """
+    laid = written(work.repartitionByRange(ranges, *keys, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    local = Window.partitionBy("__range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = _folded(laid, local, sums, fold)
+
+    group = F.struct(*keys)
+    totals = laid.groupBy("__range", *keys).agg(*[fold(source).alias(name) for name, source in sums.items()])
+    edges = totals.groupBy("__range").agg(
+        F.min(group).alias("first"), F.max(group).alias("last"), F.max_by(F.struct(*sums), group).alias("total")
     )
-    offsets = totals.select(
-        *[f"__r_{k}" for k in keys],
-        "__r_bucket",
-        *[fold(f"__t_{name}").over(earlier).alias(f"__o_{name}") for name in sums],
-    ).filter(F.col("__r_bucket") > 0)
-    joined = placed.join(
-        F.broadcast(offsets),
-        _same_keys(placed, offsets, keys) & (placed["__bucket"] == offsets["__r_bucket"]),
-        "left",
+    ends = edges.select("__range", "last.*", *[F.col("total")[name].alias(name) for name in sums])
+    starts = edges.filter(~F.col("first").eqNullSafe(F.col("last"))).select("__range", "first.*")
+    carried = ends.unionByName(starts, allowMissingColumns=True)
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carries = carried.select(
+        F.col("__range").alias("__r_range"),
+        *[F.col(k).alias(f"__r_{k}") for k in keys],
+        *[fold(name).over(earlier).alias(f"__o_{name}") for name in sums],
     )
+    # At most two rows per range.
+    small = F.broadcast(carries) if 2 * ranges <= BROADCAST_ROWS else carries
+    joined = placed.join(small, (placed["__range"] == small["__r_range"]) & _same_keys(placed, small, keys), "left")
     for name in sums:
         mine, before = F.col(name), F.col(f"__o_{name}")
-        # A bucket or a prefix holding only nulls has no value yet.
-        both = F.least(mine, before) if least else F.when(mine.isNull(), before).otherwise(mine + F.coalesce(before, F.lit(0)))
+        # A range or a prefix holding only nulls has no value yet.
+        both = F.least(mine, before) if fold is F.min else F.when(mine.isNull(), before).otherwise(mine + F.coalesce(before, F.lit(0)))
         joined = joined.withColumn(name, both)
-    return joined.select(*df.columns, *sums.keys())
+    return joined
 
 
 def settle(df: DataFrame, keys: Sequence[str], hot_rows: int | None) -> int | None:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slatewise.operators import graph, losses, policy, text_similarity, vectors
-from slatewise.operators.scale import numbered, running_sums, top_n_per_group
+from slatewise.operators.scale import _running_over_ranges, numbered, ranges_of, running_sums, top_n_per_group
 
 
 def _rows(df, *columns):
@@ -23,18 +23,39 @@ def _skewed(spark, n=3000, seed=1):
 def test_running_sums_hot_groups(spark):
     df = _skewed(spark)
     plain = running_sums(df, ["k"], ["v", "pos"], {"s": "x"}, hot_rows=None)
-    cut = running_sums(df, ["k"], ["v", "pos"], {"s": "x"}, hot_rows=100, buckets=7)
+    cut = running_sums(df, ["k"], ["v", "pos"], {"s": "x"}, hot_rows=100)
     assert _rows(plain.fillna("-"), "k", "pos", "s") == _rows(cut.fillna("-"), "k", "pos", "s")
 
 
 def test_running_minimum_hot_groups(spark):
     df = _skewed(spark).withColumn("x", F.when(F.col("x") < 40, F.col("x")))
     plain = running_sums(df, ["k"], ["v", "pos"], {"s": "x"}, hot_rows=None, least=True)
-    cut = running_sums(df, ["k"], ["v", "pos"], {"s": "x"}, hot_rows=100, buckets=7, least=True)
+    cut = running_sums(df, ["k"], ["v", "pos"], {"s": "x"}, hot_rows=100, least=True)
     read = lambda d: sorted((r.pos, r.s) for r in d.fillna({"s": -1}).collect())
     assert read(plain) == read(cut)
 
 
+def test_running_sums_of_awkward_rows(spark):
+    schema = "a string, b long, at double, x double"
+    rows = [("k", None, float(i), None if i % 3 else float(i)) for i in range(40)] + [(None, 1, -float(i), 1.0) for i in range(40)] + [("k", 2, 0.5, None)]
+    df = spark.createDataFrame(rows, schema)
+    read = lambda d: sorted((str(r.a), str(r.b), r["at"], str(r.s), str(r.t)) for r in d.collect())
+    for least in (False, True):
+        plain = running_sums(df, ["a", "b"], ["at"], {"s": "x", "t": "at"}, None, least)
+        assert read(running_sums(df, ["a", "b"], ["at"], {"s": "x", "t": "at"}, 5, least)) == read(plain)
+    nothing = running_sums(df.limit(0), ["a"], ["at"], {"s": "x"}, 5)
+    assert nothing.columns == ["a", "b", "at", "x", "s"] and nothing.count() == 0
+    words = df.select(F.col("at").cast("string").alias("w"), F.lit(1).alias("one")).distinct()
+    assert sorted(r.n for r in running_sums(words, [], ["w"], {"n": "one"}, 5).collect()) == list(range(1, words.count() + 1))
+
+
+def test_ranges_grow_with_rows(spark):
+    assert [ranges_of(n, 1000) for n in (1001, 10_000, 1_000_000)] == [3, 20, 2000]
+    for rows in (1000, 4000):
+        laid = _running_over_ranges(spark.range(rows).withColumn("__all", F.lit(0)), ["__all"], ["id"], {"s": "id"}, F.sum, ranges_of(rows, 200))
+        assert max(r["count"] for r in laid.groupBy("__range").count().collect()) <= 200
+
+
 def test_global_numbers_are_dense(spark):
     df = numbered(_skewed(spark), [], ["v", "pos"], "n", hot_rows=200)
     assert sorted(r.n for r in df.collect()) == list(range(1, 3001))
