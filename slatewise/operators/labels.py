@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slatewise.functions import expressions as X
-from slatewise.operators.scale import HOT_GROUP_ROWS, running_sums
+from slatewise.operators.scale import BROADCAST_ROWS, HOT_GROUP_ROWS, running_sums
 
 # Names of the strategies, and the default weights.
 STRATEGIES = ("cdf", "survival_weighted", "defer", "defuse")
@@ -45,24 +49,72 @@ def _reached(delays: DataFrame, distribution: DataFrame, hot_rows: int | None) -
     return met.filter("kind = 1").select(F.col("hours").alias("delay_hours"), "__cdf")
 
 
-def adjust_labels(labels: DataFrame, distribution: DataFrame, strategy: str = "cdf", config: DelayWeights = DelayWeights(), hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
-    """Adds weight and reason to (label, delay_hours). A delay beyond the last bucket has the whole mass behind it."""
-    name = strategy.strip().lower()
-    if name not in STRATEGIES:
-        raise ValueError(f"unsupported delayed feedback strategy: {strategy}")
-    last = distribution.agg(F.max("cdf").alias("__last"))  # one row
-    labels = labels.withColumn("delay_hours", F.col("delay_hours").cast("double"))
-    joined = labels.join(_reached(labels, distribution, hot_rows), "delay_hours", "left").select(*labels.columns, "__cdf").join(F.broadcast(last))
-    joined = joined.withColumn("__cdf", F.coalesce("__cdf", "__last", F.lit(0.0)))
-    survival = F.greatest(F.lit(0.0), 1.0 - F.col("__cdf"))
+def shipped_share(distribution: DataFrame, most: int = BROADCAST_ROWS) -> Callable[[Column], Column] | None:
+    """Looks up the cumulated share behind a delay in a histogram that travels with the tasks, so that nothing is joined or
+    sorted and streams can ask as well. None when the histogram, which is counted, has more than ``most`` buckets.
+
+    A delay is behind the first bucket that holds it; beyond the last bucket the whole mass is; an empty histogram has none.
+    """
+    rows = distribution.filter(F.col("max_hours").isNotNull()).select(F.col("max_hours").cast("double"), "cdf").limit(most + 1).collect()
+    if len(rows) > most:
+        return None
+    rows.sort()
+    borders = np.array([r[0] for r in rows])
+    shares = np.array([r[1] for r in rows] or [0.0])
+
+    @F.pandas_udf(T.DoubleType())
+    def share(delays: pd.Series) -> pd.Series:
+        return pd.Series(shares[np.minimum(np.searchsorted(borders, delays.to_numpy(dtype=float)), len(shares) - 1)])
+
+    return share
+
+
+def _weight(strategy: str, share: Column, config: DelayWeights) -> Column:
+    survival = F.greatest(F.lit(0.0), 1.0 - share)
     by_survival = 1.0 - F.pow(survival, F.lit(max(config.survival_power, 0.0)))
-    by_defer = F.pow(F.col("__cdf"), F.lit(max(config.defer_power, 0.0)))
+    by_defer = F.pow(share, F.lit(max(config.defer_power, 0.0)))
     alpha = min(max(config.defuse_alpha, 0.0), 1.0)
-    raw = {"cdf": F.col("__cdf"), "survival_weighted": by_survival, "defer": by_defer, "defuse": alpha * by_defer + (1.0 - alpha) * by_survival}[name]
-    positive, missing = F.col("label") == 1, F.col("delay_hours").isNull()
-    weight = F.when(positive, 1.0).when(missing, config.floor).otherwise(X.clip(raw, config.floor, config.cap))
-    reason = F.when(positive, "positive").when(missing, "missing_delay").otherwise(f"delayed_negative:{name}")
-    return joined.withColumn("weight", weight).withColumn("reason", reason).drop("__last", "__cdf")
+    raw = {"cdf": share, "survival_weighted": by_survival, "defer": by_defer, "defuse": alpha * by_defer + (1.0 - alpha) * by_survival}[strategy]
+    held = X.clip(raw, config.floor, config.cap)
+    return F.when(F.col("label") == 1, 1.0).when(F.col("delay_hours").isNull(), config.floor).otherwise(held)
+
+
+def _reason(strategy: str) -> Column:
+    # Fixed output values.
+    return F.when(F.col("label") == 1, "positive").when(F.col("delay_hours").isNull(), "missing_delay").otherwise(f"delayed_negative:{strategy}")
+
+
+def adjust_by_strategies(
+    labels: DataFrame, distribution: DataFrame, strategies: Sequence[str] = STRATEGIES, config: DelayWeights = DelayWeights(),
+    hot_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """One row per (label, delay_hours) and strategy, with strategy, weight and reason; the share is looked up once.
+
+    Histograms of up to ``hot_rows`` buckets travel with the tasks. Larger ones meet the distinct delays in a running
+    minimum; on a stream they are an error.
+    """
+    names = [s.strip().lower() for s in strategies]
+    for name, given in zip(names, strategies):
+        if name not in STRATEGIES:
+            raise ValueError(f"unsupported delayed feedback strategy: {given}")
+    labels = labels.withColumn("delay_hours", F.col("delay_hours").cast("double"))
+    look_up = shipped_share(distribution, hot_rows)
+    if look_up is not None:
+        joined = labels.withColumn("__cdf", look_up(F.col("delay_hours")))
+    elif labels.isStreaming:
+        raise ValueError(f"a stream takes at most {hot_rows} buckets of delays")
+    else:
+        last = distribution.agg(F.max("cdf").alias("__last"))  # one row
+        reached = _reached(labels, distribution, hot_rows)
+        joined = labels.join(reached, "delay_hours", "left").select(*labels.columns, "__cdf").join(F.broadcast(last))
+        joined = joined.withColumn("__cdf", F.coalesce("__cdf", "__last", F.lit(0.0))).drop("__last")
+    each = [F.struct(F.lit(n).alias("strategy"), _weight(n, F.col("__cdf"), config).alias("weight"), _reason(n).alias("reason")) for n in names]
+    return joined.select(*labels.columns, F.inline(F.array(*each)))
+
+
+def adjust_labels(labels: DataFrame, distribution: DataFrame, strategy: str = "cdf", config: DelayWeights = DelayWeights(), hot_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Adds weight and reason to (label, delay_hours). A delay beyond the last bucket has the whole mass behind it."""
+    return adjust_by_strategies(labels, distribution, (strategy,), config, hot_rows).drop("strategy")
 
 
 def survival_weight(label: Column, elapsed: Column, rate: float = 0.1) -> Column:

@@ -417,10 +417,7 @@ def delay_distribution(spark: SparkSession, folder: str) -> DataFrame:
 def delayed_label_weights(spark: SparkSession, folder: str) -> DataFrame:
     rows, distribution = _delays(spark, folder)
     rows = rows.withColumn("label", F.coalesce(F.col("delay_hours") > 24, F.lit(False)).cast("int"))
-    parts = [labels.adjust_labels(rows, distribution, s).withColumn("strategy", F.lit(s)) for s in labels.STRATEGIES]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
+    merged = labels.adjust_by_strategies(rows, distribution)
     return merged.select("event_id", "strategy", r6("weight", "weight"), "reason")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from slatewise.operators import labels
 from slatewise.operators.bandits import beta_state
 from slatewise.operators.eventlog import request_counters
 
@@ -48,6 +49,18 @@ def delayed_labels(impressions: DataFrame, conversions: DataFrame, horizon: str,
     )
 
 
+def weighted_labels(labelled: DataFrame, delays: DataFrame, early_hours: float, strategy: str = "cdf") -> DataFrame:
+    """Adds weight to the rows of ``delayed_labels`` as they come out. ``delays``: max_hours, n of earlier conversions.
+
+    A conversion within ``early_hours`` is a sure positive; a later one counts as a negative that came late, weighted by the
+    share of conversions that are in by then.
+    """
+    early = F.coalesce(F.col("delay_hours") <= early_hours, F.lit(False)).cast("int")
+    known = labelled.withColumnRenamed("label", "__found").withColumn("label", early)
+    weighted = labels.adjust_labels(known, labels.delay_distribution(delays), strategy)
+    return weighted.drop("label", "reason").withColumnRenamed("__found", "label")
+
+
 def windowed_counters(requests: DataFrame, time: str, delay: str, width: str, slide: str | None = None) -> DataFrame:
     """Requests, errors and latency violations per tumbling or sliding window and profile."""
     span = F.window(time, width, slide) if slide else F.window(time, width)
