@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,15 +41,64 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.concat(*runs))
 
 
-def contained_pairs(needles: DataFrame, bodies: DataFrame) -> DataFrame:
+#: Letters of all names that one matcher takes; every Python worker holds one, of about 50 bytes a letter.
+MATCHER_LETTERS = 2_000_000
+
+
+def _shipped_names(names: DataFrame, letters: int) -> list[str] | None:
+    """``needle`` of all rows in their order, or None when together they have more than ``letters`` letters."""
+    size = names.agg(F.coalesce(F.sum(F.length("needle") + 1), F.lit(0))).first()[0]
+    return [row[0] for row in names.select("needle").collect()] if size <= letters else None
+
+
+def _scan(names: list[str], bodies: DataFrame, first_only: bool = False) -> DataFrame:
+    """(needle, body_id) for every name, or only the first listed one, that occurs in a body: one pass over each body by a
+    matcher with failure links over all names."""
+    schema = T.StructType([T.StructField("needle", T.StringType()), T.StructField("body_id", bodies.schema["body_id"].dataType)])
+    if not names:
+        return bodies.sparkSession.createDataFrame([], schema)
+    shipped = bodies.sparkSession.sparkContext.broadcast(names)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        listed, matcher = shipped.value, ahocorasick.Automaton()
+        for number, name in enumerate(listed):
+            matcher.add_word(name, number)
+        matcher.make_automaton()
+        for batch in batches:
+            rows, found = [], []
+            for row, body in enumerate(batch.column(1).to_pylist()):
+                hits = {number for _, number in matcher.iter(body)} if body else set()
+                hits = [min(hits)] if first_only and hits else sorted(hits)
+                found += [listed[number] for number in hits]
+                rows += [row] * len(hits)
+            ids = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), ids], names=["needle", "body_id"])
+
+    return spread(bodies.select("body_id", "body")).mapInArrow(scan, schema)
+
+
+def contained_pairs(needles: DataFrame, bodies: DataFrame, letters: int = MATCHER_LETTERS) -> DataFrame:
     """(needle, body_id) for every needle that occurs literally in a body. ``needles``: needle; ``bodies``: body_id, body.
+    Null and empty needles and null bodies give nothing.
+
+    Needles of together at most ``letters`` letters, which is counted, travel to the bodies as one matcher. More are found by
+    their rarest letter group, see ``_pairs_by_groups``.
+    """
+    needles = needles.select("needle").filter(F.col("needle") != "").distinct()
+    names = _shipped_names(needles, letters)
+    return _pairs_by_groups(needles, bodies) if names is None else _scan(names, bodies)
+
+
+def _pairs_by_groups(needles: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``contained_pairs`` for any number of needles.
 
     A body can hold a needle only when it holds the needle's rarest letter group, so that group is the join key and only
     those candidates are checked. Ids travel through the join, texts do not. Needles shorter than a group use their
     rarest letter.
     """
-    needles = needles.select("needle").filter(F.col("needle") != "").distinct()
-    bodies = spread(bodies)
+    bodies = spread(bodies.select("body_id", "body"))
     candidates = None
     short = F.length("needle") < GRAM
     for size, part in ((GRAM, ~short), (1, short)):
@@ -102,15 +153,18 @@ def titles_of_items(ids: DataFrame, catalog: DataFrame) -> DataFrame:
     return joined.join(by_title, "item_id", "left").withColumn("title", F.coalesce("by_pos", "by_title")).drop("by_pos", "by_title")
 
 
-def longest_mention(texts: DataFrame, names: DataFrame, fold: bool = True) -> DataFrame:
+def longest_mention(texts: DataFrame, names: DataFrame, fold: bool = True, letters: int = MATCHER_LETTERS) -> DataFrame:
     """Longest name contained in each text, after normalising both; earlier name on equal length.
 
-    ``texts``: text_id, text; ``names``: pos, name. Returns text_id, name, pos.
+    ``texts``: text_id, text; ``names``: pos, name. Returns text_id, name, pos. A matcher
+    of counted size finds each text's best name in one pass; more names than it takes go by letter groups.
     """
     form = match_form if fold else (lambda c: F.lower(c))
     table = names.select("pos", "name", form(F.col("name")).alias("needle")).filter(F.col("needle") != "")
     # Of names that look the same only the longest, earliest one can win.
     table = table.groupBy("needle").agg(F.min(F.struct((-F.length("name")).alias("neg"), "pos", "name")).alias("n"))
     bodies = texts.select(F.col("text_id").alias("body_id"), form(F.col("text")).alias("body"))
-    hits = contained_pairs(table, bodies).join(table, "needle")
+    listed = _shipped_names(table.orderBy("n"), letters)
+    pairs = contained_pairs(table, bodies, letters) if listed is None else _scan(listed, bodies, first_only=True)
+    hits = pairs.join(table, "needle")
     return hits.groupBy("body_id").agg(F.min("n").alias("n")).select(F.col("body_id").alias("text_id"), F.col("n.name").alias("name"), F.col("n.pos").alias("pos"))

@@ -297,6 +297,23 @@ def longest_mention(spark: SparkSession, folder: str) -> DataFrame:
     return search.longest_mention(texts, names, fold=False)
 
 
+_FOLD_SQL = r"replace(replace(lower(regexp_replace(strip_accents({}), '[^\x00-\x7F]', '', 'g')), ' ', ''), '.', '')"
+
+
+@query(
+    "longest_mention_folded",
+    f"""WITH w AS (SELECT unnest(string_split(text, ' ')) AS name, item_id FROM benchmark), n AS (SELECT name, min(item_id) AS pos, any_value({_FOLD_SQL.format('name')}) AS needle FROM w WHERE length(name) >= 6 GROUP BY name),
+      t AS (SELECT doc_id AS text_id, {_FOLD_SQL.format('text')} AS body FROM documents)
+      SELECT text_id, name, pos FROM (SELECT text_id, name, pos, row_number() OVER (PARTITION BY text_id ORDER BY length(name) DESC, pos, name) AS k FROM t JOIN n ON needle <> '' AND contains(body, needle)) WHERE k = 1""",
+)
+def longest_mention_folded(spark: SparkSession, folder: str) -> DataFrame:
+    """Names: every word of six or more characters in the benchmark texts; bodies: whole documents, both without accents."""
+    words = table(spark, folder, "benchmark").select(F.explode(F.split("text", " ")).alias("name"), F.col("item_id").alias("pos"))
+    names = words.filter(F.length("name") >= 6).groupBy("name").agg(F.min("pos").alias("pos"))
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return search.longest_mention(texts, names)
+
+
 @query(
     "mentioned_entities",
     """WITH p AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), q AS (SELECT p.*, list_distinct(regexp_extract_all(lower(s_name || ' small ' || n_name || ' bolt'), '[a-z0-9]+')) AS q, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS n

@@ -121,6 +121,25 @@ def test_longest_mention_folds_accents(spark):
     assert got == {1: "José Ánn", 2: "J. R. R. T"}
 
 
+def test_matcher_equals_letter_groups(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcé ") for _ in range(n))
+    needles = [word(rng.randrange(1, 6)) for _ in range(80)] + ["", None, "aa", "aaa", "a" * 40]
+    texts = [word(rng.randrange(0, 60)) for _ in range(60)] + ["", None, "a" * 300, "a" * 300]
+    named = spark.createDataFrame([(n, i) for i, n in enumerate(needles)], "needle string, body long")
+    bodies = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "body_id long, body string, needle int")
+    want = sorted({(n, i) for n in needles if n for i, t in enumerate(texts) if t and n in t})
+    for letters in (search.MATCHER_LETTERS, 0):
+        got = search.contained_pairs(named, bodies, letters)
+        assert sorted((r.needle, r.body_id) for r in got.collect()) == want
+        assert search.contained_pairs(named.limit(0), bodies, letters).count() == 0
+        assert search.contained_pairs(named, bodies.limit(0), letters).count() == 0
+    names = spark.createDataFrame([(i, n) for i, n in enumerate(needles)], "pos long, name string")
+    asked = bodies.select(F.col("body_id").alias("text_id"), F.col("body").alias("text"))
+    read = lambda letters: sorted(map(tuple, search.longest_mention(asked, names, letters=letters).collect()))
+    assert read(search.MATCHER_LETTERS) == read(0)
+
+
 def test_recommend_unknown_and_known(spark):
     titles = ["red storm", "red storm two", "blue night", "old night saga", "green field", "blue field", "red dawn", "dark dawn", "light dawn", "calm sea"]
     catalog = spark.createDataFrame([(i, str(i), t, f"{t} film", 1) for i, t in enumerate(titles)], "pos long, item_id string, title string, text string, attribute_count int")
