@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slatewise.functions import expressions as X
-from slatewise.operators.scale import bounded_broadcast, running_sums, top_n_per_group
+from slatewise.operators.scale import HOT_GROUP_ROWS, bounded_broadcast, running_sums, top_n_per_group
+from slatewise.operators.vectors import exact_search
+from slatewise.session import written
 
 
 def _clean(column: str) -> Column:
@@ -144,21 +152,102 @@ def neighbour_mean(edges: DataFrame, features: DataFrame, hops: int = 1) -> Data
     return current
 
 
-def random_walk(edges: DataFrame, starts: DataFrame, steps: int, seed: int = 3) -> DataFrame:
-    """Uniform walks as rows (walk_id, step, node); a walk ends at a vertex without edges. ``starts``: walk_id, node.
+@dataclass(frozen=True)
+class GraphLayer:
+    """One round of messages: ``weights`` holds one row of 2 d numbers per output, for [own vector, mean of the neighbours]."""
+
+    weights: Sequence[Sequence[float]]
+    bias: Sequence[float] | None = None
+
+
+def _linear(layer: GraphLayer, last: bool) -> Callable[[Column], Column]:
+    matrix = np.array(layer.weights, dtype=float)
+    bias = np.zeros(len(matrix)) if layer.bias is None else np.array(layer.bias, dtype=float)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def apply(both: pd.Series) -> pd.Series:
+        if not len(both):
+            return pd.Series([], dtype=object)
+        out = np.stack(both.to_numpy()) @ matrix.T + bias
+        if not last:
+            return pd.Series(list(np.maximum(out, 0.0)))
+        norms = np.linalg.norm(out, axis=1, keepdims=True)
+        return pd.Series(list(out / np.where(norms > 0.0, norms, 1.0)))
+
+    return apply
 
-    The next edge is picked by its number among the vertex's edges, from a hash of (seed, walk, step).
+
+def graph_embeddings(edges: DataFrame, features: DataFrame, layers: Sequence[GraphLayer]) -> DataFrame:
+    """(node, vector) after the layers: each maps [own vector, mean of the neighbours'] linearly; all but the last cut at zero,
+    the last gives unit vectors (a zero vector stays zero).
+
+    ``features``: node, vector; nodes without one take no part. Repeated edges count repeatedly; a node whose neighbours
+    have no vector gets zeros for their mean. One row per link carries a whole vector, and map tasks sum what they hold
+    before the shuffle, so a node of many links costs no more than one row per task.
+    """
+    links = written(neighbours(edges).groupBy("node", "neighbour").agg(F.count(F.lit(1)).alias("times")), "links")
+    current = features.select("node", "vector").filter(F.col("vector").isNotNull())
+    for number, layer in enumerate(layers):
+        width, last = len(layer.weights[0]) // 2, number == len(layers) - 1
+        met = links.join(current.select(F.col("node").alias("neighbour"), "vector"), "neighbour")
+        mean = lambda i: (F.sum(F.col("vector")[i] * F.col("times")) / F.sum("times")).alias(f"__{i}")
+        means = met.groupBy("node").agg(*[mean(i) for i in range(width)])
+        means = means.select("node", F.array(*[F.col(f"__{i}") for i in range(width)]).alias("mean"))
+        nothing = F.array(*[F.lit(0.0)] * width)
+        both = current.join(means, "node", "left").select("node", F.concat("vector", F.coalesce("mean", nothing)).alias("both"))
+        current = both.select("node", _linear(layer, last)(F.col("both")).alias("vector"))
+        if not last:
+            current = written(current, "layer")
+    return current
+
+
+def embedding_search(embeddings: DataFrame, query_nodes: DataFrame, k: int = 50, candidate_type: str = "movie") -> DataFrame:
+    """Best ``k`` vertices of ``candidate_type`` per query vertex by the inner product of their unit vectors, the vertex itself
+    left out. ``query_nodes``: query_id, type, id. Candidate ids are numbers and give the tie order. A query without a
+    vector, or with a zero one, finds nothing."""
+    prefix = candidate_type + "\u001f"
+    number = F.expr(f"cast(substring(node, {len(prefix) + 1}) as bigint)")
+    embeddings = written(embeddings, "embeddings")
+    items = embeddings.filter(F.col("node").startswith(prefix)).select(number.alias("pos"), "vector", F.col("node").alias("item_group"))
+    asked = query_nodes.select("query_id", _vertex("type", "id").alias("node")).join(embeddings, "node")
+    return exact_search(items, asked.select("query_id", F.col("vector").alias("embedding"), F.col("node").alias("own_group")), k)
+
+
+# Edges that one part of a vertex's edges holds on average.
+EDGES_A_PART = 16
+
+
+def _drawable_edges(edges: DataFrame, hot_rows: int) -> DataFrame:
+    """(node, part, low, high, neighbour, degree, width): the draws low .. high - 1 of a vertex lead to the neighbour.
+
+    The edges of a vertex stand one after the other on the line from 0 to its degree, parallel ones as one long edge. Parts
+    of ``width`` draws cut that line, so that the edges of a hub spread over many keys; an edge is listed in each part that it
+    touches. degree and width are those of the neighbour, where the walk is after the step.
     """
     links = neighbours(edges).groupBy("node", "neighbour").agg(F.count(F.lit(1)).alias("times"))
-    links = links.withColumn("__h", F.xxhash64("neighbour"))
-    degree = links.groupBy("node").agg(F.sum("times").alias("degree"))
-    numbered_edges = running_sums(links, ["node"], ["__h"], {"upto": "times"}).select(
-        "node", F.explode(F.sequence(F.col("upto") - F.col("times"), F.col("upto") - 1)).alias("pick"), "neighbour"
-    )
-    now = starts.select("walk_id", "node").withColumn("step", F.lit(0))
-    path = now
+    placed = written(running_sums(links, ["node"], ["neighbour"], {"high": "times"}, hot_rows), "edges")
+    ends = placed.groupBy("node").agg(F.sum("times").alias("degree"), F.count(F.lit(1)).alias("__n"))
+    ends = ends.select("node", "degree", F.ceil(EDGES_A_PART * F.col("degree") / F.col("__n")).alias("width"))
+    own = placed.join(ends.select("node", F.col("width").alias("__own")), "node").withColumn("low", F.col("high") - F.col("times"))
+    part = lambda draw: F.floor(draw / F.col("__own"))
+    parts = own.select("node", "neighbour", "low", "high", F.explode(F.sequence(part(F.col("low")), part(F.col("high") - 1))).alias("part"))
+    return parts.join(ends.withColumnRenamed("node", "neighbour"), "neighbour")
+
+
+def random_walk(edges: DataFrame, starts: DataFrame, steps: int, seed: int = 3, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+    """Uniform walks as rows (walk_id, step, node); a walk ends at a vertex without edges. ``starts``: walk_id, node.
+
+    The draw of a step is the MD5 of (seed, step, walk) modulo the vertex's degree, and leads to the neighbour whose edges,
+    in the order of the neighbours' names, hold it.
+    """
+    table = written(_drawable_edges(edges, hot_rows), "walk-edges")
+    known = table.select(F.col("neighbour").alias("node"), "degree", "width").distinct()
+    now = starts.select("walk_id", "node").join(known, "node", "left").withColumn("step", F.lit(0))
+    path = now.select("walk_id", "node", "step")
     for step in range(1, steps + 1):
-        picked = now.join(degree, "node").withColumn("pick", F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "walk_id"), F.col("degree")))
-        now = picked.join(numbered_edges, ["node", "pick"]).select("walk_id", F.col("neighbour").alias("node"), F.lit(step).alias("step"))
-        path = path.unionByName(now)
+        drawn = now.filter(F.col("degree").isNotNull()).withColumn("draw", F.pmod(X.hex_number(seed, step, "walk_id"), F.col("degree")))
+        asked = drawn.select("walk_id", "node", "draw", F.floor(F.col("draw") / F.col("width")).alias("part"))
+        met = asked.join(table, ["node", "part"]).filter((F.col("draw") >= F.col("low")) & (F.col("draw") < F.col("high")))
+        now = written(met.select("walk_id", F.col("neighbour").alias("node"), "degree", "width", F.lit(step).alias("step")), "walk")
+        path = path.unionByName(now.select("walk_id", "node", "step"))
     return path

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -77,6 +78,7 @@ def recommend(
     metadata: DataFrame | None = None,
     model: ranking.LinearModel | None = None,
     config: RecommendConfig = RecommendConfig(),
+    explore: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
     """Ranked items for each query title.
 
@@ -85,6 +87,10 @@ def recommend(
 
     A title of the catalogue is answered by the text, vector and graph channels, topped up from cold start when they
     give fewer than ``final_k`` items. Any other title is answered by cold start alone.
+
+    ``explore`` orders the merged candidates before they are ranked, for instance
+    ``lambda rows, k: ucb_select(rows, state, k)``: it gets query_id, item_id, pos, score and more, with at most ``k`` rows of
+    a query, and adds ``rank``. That order is the place that decides ties of the rankers; scores stay.
     """
     asked = queries.withColumn("__title", F.lower(F.trim("query_title")))
     first = catalog.groupBy("title").agg(F.min("pos").alias("self_pos")).withColumnRenamed("title", "__title")
@@ -135,6 +141,9 @@ def recommend(
         kept = coldstart.cold_start_signals(kept).withColumn("list_pos", F.col("rank") + 9 * CHANNEL_STRIDE)
         candidates = primary.unionByName(kept.select(*CANDIDATE_COLUMNS))
 
+    if explore is not None:
+        ordered = explore(candidates.withColumnRenamed("list_pos", "pos"), config.text_k + config.vector_k + config.graph_k + config.cold_start.top_k)
+        candidates = ordered.withColumn("list_pos", F.col("rank")).select(*CANDIDATE_COLUMNS)
     slates = rerank(candidates, metadata, config, model)
     shown = slates.join(asked.select("query_id", "query_title"), "query_id")
     final = top_n_per_group(shown.withColumnRenamed("rank", "__rank"), ["query_id"], [F.col("__rank")], config.final_k)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewise.operators import graph
+from slatewise.operators import bandits, graph
 from slatewise.plans.recommend import RecommendConfig, recommend
 from slatewise.queries.inputs import catalog, r6, table
+from slatewise.queries.ranking_queries import _UCB_SQL, _rewards
 from slatewise.queries.registry import query
 from slatewise.queries.retrieval_queries import _COMB_SQL, _STRUCT_SQL
 
@@ -36,13 +37,34 @@ def _parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Data
     return items, edges, metadata
 
 
+def _title_requests(items: DataFrame) -> DataFrame:
+    return items.select(
+        F.col("title").alias("query_id"), F.col("title").alias("query_title"), F.lit(None).cast("string").alias("user_id"), F.lit(0.1).alias("meta_score")
+    ).distinct()
+
+
 @query("recommend_known_titles", _RECOMMEND_SQL)
 def recommend_known_titles(spark: SparkSession, folder: str) -> DataFrame:
     items, edges, metadata = _parts(spark, folder)
-    asked = items.select(
-        F.col("title").alias("query_id"), F.col("title").alias("query_title"), F.lit(None).cast("string").alias("user_id"), F.lit(0.1).alias("meta_score")
-    ).distinct()
-    done = recommend(asked, items, edges, metadata=metadata)
+    done = recommend(_title_requests(items), items, edges, metadata=metadata)
+    return done.select("query_title", F.col("item_id").cast("long").alias("pos"), r6("score", "score"), "channel", "rank")
+
+
+# The bandit's order of the merged candidates takes the place of the order in which they were listed.
+_EXPLORED_SQL = _RECOMMEND_SQL.replace("WITH ", f"WITH {_UCB_SQL}, ", 1).replace(
+    " tot AS (SELECT *, score + 0.4 * text + 0.4 * mm AS total FROM merged WHERE w = 1),",
+    """ pulled AS (SELECT merged.*, 0.5 * score + 0.5 * coalesce(least(1.0, mean_reward + sqrt(2.0) * sqrt(ln((SELECT sum(pulls) FROM state)::DOUBLE) / pulls)), 1.0) AS blended
+   FROM merged LEFT JOIN state ON item_id = pos WHERE w = 1),
+ tot AS (SELECT * EXCLUDE (place), row_number() OVER (PARTITION BY query_id ORDER BY blended DESC, place) AS place, score + 0.4 * text + 0.4 * mm AS total FROM pulled),""",
+)
+
+
+@query("recommend_explored_titles", _EXPLORED_SQL)
+def recommend_explored_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """All catalogue titles, with a UCB policy between merging and ranking."""
+    items, edges, metadata = _parts(spark, folder)
+    state = bandits.ucb_state(_rewards(spark, folder).withColumn("item_id", F.col("item_id").cast("string")))
+    done = recommend(_title_requests(items), items, edges, metadata=metadata, explore=lambda rows, k: bandits.ucb_select(rows, state, k))
     return done.select("query_title", F.col("item_id").cast("long").alias("pos"), r6("score", "score"), "channel", "rank")
 
 

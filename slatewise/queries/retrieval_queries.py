@@ -368,10 +368,72 @@ def graph_neighbour_mean(spark: SparkSession, folder: str) -> DataFrame:
     return mine.unionByName(theirs)
 
 
-@query("graph_random_walk")
-def graph_random_walk(spark: SparkSession, folder: str) -> DataFrame:
+_WALK_SQL = f"""WITH {_GRAPH_SQL}, t AS (SELECT a, b, count(*)::BIGINT AS times FROM adj GROUP BY a, b),
+ c AS (SELECT a, b, times, sum(times) OVER (PARTITION BY a ORDER BY b)::BIGINT AS high, sum(times) OVER (PARTITION BY a)::BIGINT AS degree FROM t),
+ w0 AS (SELECT p_partkey AS walk_id, 0 AS step, 'movie/' || p_partkey AS node FROM part)""" + "".join(
+    f""", w{step} AS (SELECT w.walk_id, {step} AS step, c.b AS node FROM w{step - 1} w
+   JOIN c ON c.a = w.node AND ('0x' || substr(md5('3_{step}_' || walk_id), 1, 15))::BIGINT % c.degree >= c.high - c.times AND ('0x' || substr(md5('3_{step}_' || walk_id), 1, 15))::BIGINT % c.degree < c.high)"""
+    for step in (1, 2, 3)
+) + " SELECT * FROM w0 UNION ALL SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3"
+
+
+def _walk(spark: SparkSession, folder: str, **how) -> DataFrame:
     starts = catalog(spark, folder).select(F.col("pos").alias("walk_id"), F.concat(F.lit("movie\u001f"), F.col("item_id")).alias("node"))
-    return graph.random_walk(_edges(spark, folder), starts, 3)
+    return graph.random_walk(_edges(spark, folder), starts, 3, **how).select("walk_id", "step", F.translate("node", "\u001f", "/").alias("node"))
+
+
+@query("graph_random_walk", _WALK_SQL)
+def graph_random_walk(spark: SparkSession, folder: str) -> DataFrame:
+    return _walk(spark, folder)
+
+
+@query("graph_random_walk_ranges", _WALK_SQL)
+def graph_random_walk_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """The same walks with hubs of more than 50 edges laid out in ranges."""
+    return _walk(spark, folder, hot_rows=50)
+
+
+# Two layers: three features to four numbers, and those to four. Fixed numbers, so that SQL can say the same.
+_LAYERS = [
+    [[0.9, -0.4, 0.2, 0.7, 0.3, -0.2], [-0.5, 0.8, 0.1, -0.3, 0.9, 0.4], [0.3, 0.6, -0.7, 0.8, -0.5, 0.6], [-0.2, 0.5, 0.6, 0.4, 0.2, -0.9]],
+    [[0.7, -0.3, 0.5, 0.2, 0.4, -0.6, 0.1, 0.8], [-0.4, 0.9, 0.2, -0.5, 0.6, 0.3, -0.7, 0.1], [0.2, 0.4, -0.8, 0.6, -0.3, 0.5, 0.9, -0.2], [0.5, -0.2, 0.3, 0.9, -0.1, 0.7, -0.4, 0.6]],
+]
+
+
+def _layer_sql(weights: list[list[float]], source: str, target: str, out: str) -> str:
+    width = len(weights[0]) // 2
+    means = ", ".join(f"avg(f.v{i}) AS m{i}" for i in range(width))
+    lines = [
+        " + ".join([f"{w}::DOUBLE * f.v{i}" for i, w in enumerate(row[:width])] + [f"{w}::DOUBLE * coalesce(m.m{i}, 0.0)" for i, w in enumerate(row[width:])])
+        for row in weights
+    ]
+    values = ", ".join(f"{out.format(line)} AS v{j}" for j, line in enumerate(lines))
+    return f"{target}_m AS (SELECT a AS node, {means} FROM adj JOIN {source} f ON f.node = adj.b GROUP BY a), {target} AS (SELECT f.node, {values} FROM {source} f LEFT JOIN {target}_m m USING (node))"
+
+
+@query(
+    "graph_embedding_search",
+    f"""WITH {_GRAPH_SQL}, vertices AS (SELECT a AS node FROM adj GROUP BY a),
+      f0 AS (SELECT node, coalesce(p_size / 50.0::DOUBLE, 0.5::DOUBLE) AS v0, coalesce(p_retailprice / 2000.0::DOUBLE, 0.25::DOUBLE) AS v1, CASE WHEN p_partkey IS NULL THEN 1.0::DOUBLE ELSE (p_partkey % 97) / 97.0::DOUBLE END AS v2
+        FROM vertices LEFT JOIN part ON node = 'movie/' || p_partkey),
+      {_layer_sql(_LAYERS[0], "f0", "f1", "greatest({}, 0.0)")}, {_layer_sql(_LAYERS[1], "f1", "f2", "({})")},
+      u AS (SELECT node, sqrt(v0 * v0 + v1 * v1 + v2 * v2 + v3 * v3) AS n, v0, v1, v2, v3 FROM f2),
+      p AS (SELECT substr(q.node, 13) AS query_id, CAST(substr(c.node, 7) AS BIGINT) AS pos, (q.v0 * c.v0 + q.v1 * c.v1 + q.v2 * c.v2 + q.v3 * c.v3) / (q.n * c.n) AS score FROM u q JOIN u c ON q.node LIKE 'movie_title/%' AND c.node LIKE 'movie/%')
+      SELECT query_id, pos, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, pos) AS rank FROM p) WHERE rank <= 10""",
+)
+def graph_embedding_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Size, price and number of a part as its features; every other vertex has the same fixed ones."""
+    edges, items = _edges(spark, folder), catalog(spark, folder)
+    own = items.select(
+        F.concat(F.lit("movie\u001f"), F.col("item_id")).alias("node"),
+        F.array(F.col("size") / 50.0, F.col("price") / 2000.0, (F.col("pos") % 97) / 97.0).alias("vector"),
+    )
+    vertices = graph.catalog_vertices(edges).select(F.concat_ws("\u001f", "type", "id").alias("node"))
+    others = F.array(F.lit(0.5), F.lit(0.25), F.lit(1.0))
+    features = vertices.join(own, "node", "left").select("node", F.coalesce("vector", others).alias("vector"))
+    embeddings = graph.graph_embeddings(edges, features, [graph.GraphLayer(w) for w in _LAYERS])
+    titles = items.select(F.col("title").alias("query_id"), F.lit("movie_title").alias("type"), F.col("title").alias("id")).distinct()
+    return graph.embedding_search(embeddings, titles, 10).select("query_id", "pos", r6("score", "score"), "rank")
 
 
 # Channels for blending: the score and the discount of an order line are two channels of one list.
