@@ -38,6 +38,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= 4 * cores else df.repartition(2 * cores)
 
 
+def spread_by(df: DataFrame, *columns: str) -> DataFrame:
+    """Partition by ``columns`` over all cores, where a shuffle by them follows anyway and heavy per-row work after it: small
+    shuffles are otherwise merged into few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *columns)
+
+
 def top_n_per_group(
     df: DataFrame,
     keys: Sequence[str],

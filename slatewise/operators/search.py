@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slatewise.functions import expressions as X
-from slatewise.operators.scale import bounded_broadcast, spread
+from slatewise.operators.scale import bounded_broadcast, spread, spread_by
 
 
 @F.pandas_udf(T.StringType())
@@ -76,7 +76,7 @@ def _scan(names: list[str], bodies: DataFrame, first_only: bool = False) -> Data
             ids = batch.column(0).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), ids], names=["needle", "body_id"])
 
-    return spread(bodies.select("body_id", "body")).mapInArrow(scan, schema)
+    return bodies.select("body_id", "body").mapInArrow(scan, schema)
 
 
 def contained_pairs(needles: DataFrame, bodies: DataFrame, letters: int = MATCHER_LETTERS) -> DataFrame:
@@ -98,7 +98,7 @@ def _pairs_by_groups(needles: DataFrame, bodies: DataFrame) -> DataFrame:
     those candidates are checked. Ids travel through the join, texts do not. Needles shorter than a group use their
     rarest letter.
     """
-    bodies = spread(bodies.select("body_id", "body"))
+    bodies = bodies.select("body_id", "body")
     candidates = None
     short = F.length("needle") < GRAM
     for size, part in ((GRAM, ~short), (1, short)):
@@ -122,7 +122,7 @@ def search_titles(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     text and distinct title.
     """
     asked = queries.select("query_id", F.lower("query_text").alias("needle"))
-    titles = catalog.select(F.lower("title").alias("body")).distinct()
+    titles = spread_by(catalog.select(F.lower("title").alias("body")), "body").distinct()
     pairs = contained_pairs(asked, titles.select(F.col("body").alias("body_id"), "body")).withColumnRenamed("body_id", "hay")
     pairs = pairs.withColumn("exact", F.col("needle") == F.col("hay"))
     any_exact = pairs.groupBy("needle").agg(F.max("exact").alias("any_exact"))
@@ -163,7 +163,7 @@ def longest_mention(texts: DataFrame, names: DataFrame, fold: bool = True, lette
     table = names.select("pos", "name", form(F.col("name")).alias("needle")).filter(F.col("needle") != "")
     # Of names that look the same only the longest, earliest one can win.
     table = table.groupBy("needle").agg(F.min(F.struct((-F.length("name")).alias("neg"), "pos", "name")).alias("n"))
-    bodies = texts.select(F.col("text_id").alias("body_id"), form(F.col("text")).alias("body"))
+    bodies = spread(texts.select("text_id", "text")).select(F.col("text_id").alias("body_id"), form(F.col("text")).alias("body"))
     listed = _shipped_names(table.orderBy("n"), letters)
     pairs = contained_pairs(table, bodies, letters) if listed is None else _scan(listed, bodies, first_only=True)
     hits = pairs.join(table, "needle")

@@ -225,12 +225,26 @@ def distinct_items(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("item_id", "l_orderkey", "l_linenumber")
 
 
-@query("record_limit", "SELECT l_orderkey, l_partkey FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem) WHERE n <= 1000")
-def record_limit(spark: SparkSession, folder: str) -> DataFrame:
-    ordered = numbered(table(spark, folder, "lineitem"), [], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "row_index")
+_RECORD_LIMIT_SQL = "SELECT l_orderkey, l_partkey FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem) WHERE n <= 1000"
+
+
+def _limited(spark: SparkSession, folder: str, **how) -> DataFrame:
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    ordered = numbered(lines, [], lines.columns, "row_index", **how)
     return ingestion.limit_records(ordered.withColumn("row_index", F.col("row_index") - 1), 1000).select("l_orderkey", "l_partkey")
 
 
+@query("record_limit", _RECORD_LIMIT_SQL)
+def record_limit(spark: SparkSession, folder: str) -> DataFrame:
+    return _limited(spark, folder)
+
+
+@query("record_limit_ranges", _RECORD_LIMIT_SQL)
+def record_limit_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """The same numbers over ranges of at most 20,000 lines or so."""
+    return _limited(spark, folder, hot_rows=20_000)
+
+
 @query(
     "snapshot_registry",
     """WITH r AS (SELECT DISTINCT p_brand || ':' || p_size || '/' || CAST(floor(p_retailprice / 100) AS BIGINT) AS k FROM part WHERE p_type = 'PROMO'), b AS (SELECT p_brand || ':' || p_size || '/' || CAST(floor(p_retailprice / 100) AS BIGINT) AS k, count(*) AS n FROM part WHERE p_type <> 'PROMO' GROUP BY 1)

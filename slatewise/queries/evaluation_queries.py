@@ -100,15 +100,22 @@ def listwise_softmax_loss(spark: SparkSession, folder: str) -> DataFrame:
     return losses.listwise_softmax(slates(spark, folder)).select("query_id", r6("loss", "loss"))
 
 
-@query(
-    "listmle_loss",
-    f"""WITH {SLATES_SQL}, t AS (SELECT query_id, score, sum(exp(score)) OVER (PARTITION BY query_id ORDER BY label DESC, pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM slates)
-      SELECT query_id, round(avg(-ln(least(greatest(exp(score) / m, 1e-12), 1.0))), 6) AS loss FROM t GROUP BY query_id""",
-)
+_LISTMLE_SQL = f"WITH {SLATES_SQL}" + """, t AS (SELECT {g} AS g, score, sum(exp(score)) OVER (PARTITION BY {g} ORDER BY label DESC, {o} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM slates)
+      SELECT g AS query_id, round(avg(-ln(least(greatest(exp(score) / m, 1e-12), 1.0))), 6) AS loss FROM t GROUP BY g"""
+
+
+@query("listmle_loss", _LISTMLE_SQL.format(g="query_id", o="pos"))
 def listmle_loss(spark: SparkSession, folder: str) -> DataFrame:
     return losses.listmle(slates(spark, folder)).select("query_id", r6("loss", "loss"))
 
 
+@query("listmle_loss_ranges", _LISTMLE_SQL.format(g="pos", o="query_id"))
+def listmle_loss_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines in the same place of all orders as one list: a few long lists, laid out in ranges of at most 10,000 or so."""
+    lists = slates(spark, folder).select(F.col("pos").alias("query_id"), F.col("query_id").alias("pos"), "label", "score")
+    return losses.listmle(lists, hot_rows=10_000).select("query_id", r6("loss", "loss"))
+
+
 _GRADED_SQL = f"""{SLATES_SQL}, pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) - 1 AS place, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, pos) - 1 AS best FROM slates)"""
 
 
@@ -149,11 +156,20 @@ _AUC_SQL = """r AS (SELECT {g} AS g, label, rank() OVER (PARTITION BY {g} ORDER
  round(CASE WHEN sum((label > 0)::INT) = 0 OR sum((label <= 0)::INT) = 0 THEN 0.5 ELSE (sum(CASE WHEN label > 0 THEN k ELSE 0 END) - sum((label > 0)::INT) * (sum((label > 0)::INT) + 1) / 2.0) / (sum((label > 0)::INT) * sum((label <= 0)::INT)) END, 6) AS auc FROM r GROUP BY g"""
 
 
-@query("auc_overall", f"WITH {LABELS_SQL}, {_AUC_SQL.format(g='1', t='scored', o='')}")
+_AUC_OVERALL_SQL = f"WITH {LABELS_SQL}, {_AUC_SQL.format(g='1', t='scored', o='')}"
+
+
+@query("auc_overall", _AUC_OVERALL_SQL)
 def auc_overall(spark: SparkSession, folder: str) -> DataFrame:
     return losses.auc(scored_labels(spark, folder)).select("positives", "negatives", r6("auc", "auc"))
 
 
+@query("auc_overall_ranges", _AUC_OVERALL_SQL)
+def auc_overall_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """The same area over ranges of at most 100 scores or so."""
+    return losses.auc(scored_labels(spark, folder), hot_rows=100).select("positives", "negatives", r6("auc", "auc"))
+
+
 @query("auc_per_query", f"WITH {LABELS_SQL}, {_AUC_SQL.format(g='query_id', t='scored', o='g AS query_id, ')}")
 def auc_per_query(spark: SparkSession, folder: str) -> DataFrame:
     return losses.auc(scored_labels(spark, folder), group=("query_id",)).select("query_id", "positives", "negatives", r6("auc", "auc"))

@@ -389,8 +389,8 @@ def graph_random_walk(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("graph_random_walk_ranges", _WALK_SQL)
 def graph_random_walk_ranges(spark: SparkSession, folder: str) -> DataFrame:
-    """The same walks with hubs of more than 50 edges laid out in ranges."""
-    return _walk(spark, folder, hot_rows=50)
+    """The same walks with hubs of more than 300 edges laid out in ranges."""
+    return _walk(spark, folder, hot_rows=300)
 
 
 # Two layers: three features to four numbers, and those to four. Fixed numbers, so that SQL can say the same.
