@@ -10,19 +10,21 @@ from pyspark.sql import functions as F
 from slatewise.functions import expressions as X
 from slatewise.operators.scale import spread
 
+# A word's edge by ASCII letters, digits and underscore. Java's \b also counts other letters as part of a word.
+EDGE = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
 # Blocked patterns in the order they are tried.
 BLOCKED_PATTERNS = (
     ("script_injection", r"(?i)<\s*script"),
-    ("sql_injection", r"(?i)\b(select|union|drop|insert|delete|update)\b.+\b(from|table|into|where)\b"),
+    ("sql_injection", rf"(?i){EDGE}(select|union|drop|insert|delete|update){EDGE}.+{EDGE}(from|table|into|where){EDGE}"),
     ("path_traversal", r"\.\./|\.\.\\"),
     ("null_byte", r"\x00"),
     ("prompt_injection", r"(?i)ignore\s+previous\s+instructions|system\s+prompt"),
 )
 # Personal data patterns in the order they are redacted.
 PERSONAL_DATA = (
-    ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[REDACTED_EMAIL]"),
-    ("phone", r"\b\+?\d[\d\-() ]{8,}\d\b", "[REDACTED_PHONE]"),
-    ("card", r"\b(?:\d[ -]*){13,19}\b", "[REDACTED_CARD]"),
+    ("email", rf"{EDGE}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{EDGE}", "[REDACTED_EMAIL]"),
+    ("phone", rf"{EDGE}\+?\d[\d\-() ]{{8,}}\d{EDGE}", "[REDACTED_PHONE]"),
+    ("card", rf"{EDGE}(?:\d[ -]*){{13,19}}{EDGE}", "[REDACTED_CARD]"),
 )
 NON_PRINTABLE = r"[\p{C}\p{Zl}\p{Zp}   -   　]"
 

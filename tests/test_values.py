@@ -189,6 +189,14 @@ def test_screening_order(spark):
     assert got[9].sanitized == "plaintext here" and got[9].allowed
 
 
+def test_word_edges_are_ascii(spark):
+    texts = ["\u00e8. 27.204.213.132 4116106959541135\n\u00c9r\u00e9", "mail me@site.org\n\u00c9t\u00e9", "\u00e9select a from \u00e9b"]
+    got = {r.id: r for r in screening.screen_text(spark.createDataFrame(list(enumerate(texts)), "id int, text string")).collect()}
+    assert got[0].redactions == ["phone"] and got[0].reason == "pii_detected"
+    assert got[1].sanitized == "mail [REDACTED_EMAIL]\u00c9t\u00e9"
+    assert got[2].reason == "sql_injection"
+
+
 def test_forms(spark):
     field = lambda n, v: (n, v)
     forms = [(1, [field("a", "fine"), field("b", "../x"), field("c", "<script")]), (2, [field(f"f{i}", "v") for i in range(81)]), (3, [field("a", "ok")]), (4, [])]
@@ -241,6 +249,11 @@ def test_features(spark):
     assert one(spark, c=X.vector_checksum(F.array(F.lit(0.5), F.lit(-1.25)))).c == hashlib.sha256(b"0.50000000,-1.25000000").hexdigest()
 
 
+def test_checksum_rounds_the_exact_value(spark):
+    values = [0.103515625, -0.166015625, 2.5e-9, float("nan"), 1e20, None]
+    assert one(spark, c=X.vector_checksum(F.array(*[F.lit(v).cast("double") for v in values]))).c == hashlib.sha256(",".join("%.8f" % v for v in values[:-1]).encode()).hexdigest()
+
+
 def test_vector_edges(spark):
     items = spark.createDataFrame([(0, "a", [1.0, 0.0]), (1, "b", []), (2, "c", None)], "pos long, item_id string, vector array<double>")
     assert vectors.usable_vectors(items).count() == 1
