@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slatewise.operators import blending, coldstart, graph, text_similarity, vectors as V
 from slatewise.operators.cells import build_index, open_index
+from slatewise.operators.scale import by_shuffle
 from slatewise.queries.inputs import CATALOG_SQL, SLATES_SQL, VECTORS_SQL, catalog, r6, slates, table, vectors
 from slatewise.queries.registry import query
 from slatewise.session import work_folder
@@ -37,7 +38,7 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem")
     last = lines.groupBy("l_suppkey").agg(F.max(F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")).alias("m"))
     last = last.select(F.col("l_suppkey").alias("s_suppkey"), F.col("m.l_partkey").alias("p_partkey"))
-    joined = table(spark, folder, "supplier").join(last, "s_suppkey").join(table(spark, folder, "part"), "p_partkey")
+    joined = table(spark, folder, "supplier").join(by_shuffle(last), "s_suppkey").join(by_shuffle(table(spark, folder, "part")), "p_partkey")
     zero = F.lit(0.0)
     return joined.select(
         F.col("s_suppkey").alias("query_id"),

@@ -72,6 +72,35 @@ def test_cold_start_hot_title_and_small_catalogue(spark):
             assert [r.pos for r in got if r.query_id == q] == want[q]
 
 
+def _most_written(spark, run):
+    """The largest number of rows that one operator of the run's queries made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    rows = run()
+    most, found = 0, store.executionsList()
+    for i in range(found.size()):
+        execution = found.apply(i)
+        if execution.executionId() >= before:
+            values = store.executionMetrics(execution.executionId())
+            for j in range(execution.metrics().size()):
+                metric = execution.metrics().apply(j)
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return rows, most
+
+
+@pytest.mark.parametrize("user", [None, "u"])
+def test_cold_start_opens_only_what_can_count(spark, user):
+    """Requests of many copies of few titles: rows grow with the requests, not with requests times positions."""
+    items = spark.range(20000).select(F.col("id").alias("pos"), F.col("id").cast("string").alias("item_id"), F.concat(F.lit("red "), F.when(F.col("id") % 2 == 0, "bolt").otherwise("ring")).alias("title"))
+    who = F.lit(None).cast("string") if user is None else F.concat(F.lit(user), F.col("id").cast("string"))
+    asked = spark.range(300).select(F.col("id").alias("query_id"), F.lit("red bolt").alias("query_text"), who.alias("user_id"), F.lit(0.1).alias("meta_score"))
+    shown = spark.range(300).select(F.col("id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(49))).alias("pos"))
+    got, most = _most_written(spark, lambda: coldstart.top_up(asked, items, shown, 10).orderBy("query_id", "rank").collect())
+    assert [r.pos for r in got if r.query_id == 7] == [50 + 2 * i for i in range(10)]
+    assert most < 300 * 200
+
+
 def test_half_life_and_meta_prior(spark):
     row = spark.range(1).select(
         coldstart.X.popularity_decay(F.lit(50), 1000, 50.0).alias("d"), coldstart.X.popularity_decay(F.lit(5), 1, 50.0).alias("one"),
