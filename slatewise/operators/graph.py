@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slatewise.functions import expressions as X
-from slatewise.operators.scale import HOT_GROUP_ROWS, bounded_broadcast, running_sums, top_n_per_group
+from slatewise.operators.scale import HOT_GROUP_ROWS, bounded_broadcast, by_shuffle, running_sums, top_n_per_group
 from slatewise.operators.vectors import exact_search
 from slatewise.session import written
 
@@ -81,8 +81,8 @@ def structural_search(
 
     A neighbour shared by more than ``hot_degree`` candidates would pair every query with all of them. Candidates that
     meet a query only in such hot neighbours all score alike when they agree in their hot neighbours and in their
-    degree, so each such class stands for its first ``k`` members, which is exact for a top-k. All others are found
-    through their rare neighbours.
+    degree, so each such class stands for its first ``k`` members, and as many more as the query leaves out of it, which is
+    exact for a top-k. All others are found through their rare neighbours.
     """
     links = neighbours(edges).select("node", "neighbour").distinct()
     prefix = candidate_type + "\u001f"
@@ -92,13 +92,13 @@ def structural_search(
     spread = cand.groupBy("neighbour").agg(F.count(F.lit(1)).alias("__n"))
     hot = spread.filter(F.col("__n") > hot_degree).select("neighbour")
     wanted = query_nodes.select("query_id", _vertex("type", "id").alias("node"))
-    q = wanted.join(links, "node").select("query_id", "neighbour", F.col("node").alias("__self"))
+    q = wanted.join(by_shuffle(links), "node").select("query_id", "neighbour", F.col("node").alias("__self"))
     q_degree = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("qdeg"), F.first("__self").alias("__self"))
     # Hot neighbours are at most edges / hot_degree rows.
     hot = bounded_broadcast(hot)
     rare_pairs = (
         cand.join(hot, "neighbour", "left_anti")
-        .join(q.select("query_id", "neighbour"), "neighbour")
+        .join(by_shuffle(q.select("query_id", "neighbour")), "neighbour")
         .groupBy("query_id", "pos")
         .agg(F.count(F.lit(1)).alias("rare"))
     )
@@ -107,25 +107,38 @@ def structural_search(
     empty = F.array().cast("array<string>")
     both = F.size(F.array_intersect(F.coalesce("hot_set", empty), F.coalesce("q_hot", empty)))
     rare = (
-        rare_pairs.join(degree, "pos").join(hot_sets, "pos", "left").join(q_hot, "query_id", "left")
+        rare_pairs.join(by_shuffle(degree), "pos").join(by_shuffle(hot_sets), "pos", "left").join(by_shuffle(q_hot), "query_id", "left")
         .select("query_id", "pos", "deg", (F.col("rare") + both).alias("both"))
     )
-    most_out = 0 if exclude is None else exclude.groupBy("query_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    members = top_n_per_group(hot_sets.join(degree, "pos"), ["hot_set", "deg"], [F.col("pos")], k + 1 + most_out, "__m")
+    classed = hot_sets.join(by_shuffle(degree), "pos")
+    out_of = None
+    if exclude is not None:
+        exclude = written(exclude.select("query_id", "pos").distinct(), "exclude")
+        out_of = written(exclude.join(by_shuffle(classed), "pos").groupBy("query_id", "hot_set", "deg").agg(F.count(F.lit(1)).alias("__out")), "exclude")
+    most_out = 0 if out_of is None else out_of.agg(F.coalesce(F.max("__out"), F.lit(0))).first()[0]
+    members = top_n_per_group(classed, ["hot_set", "deg"], [F.col("pos")], k + 1 + most_out, "__m")
+    members = written(members.withColumn("__block", F.floor((F.col("__m") - 1) / (k + 1))), "members")
     classes = members.select("hot_set", "deg").distinct().withColumn("neighbour", F.explode("hot_set"))
     q_classes = (
-        q.select("query_id", "neighbour").join(classes, "neighbour").groupBy("query_id", "hot_set", "deg").agg(F.count(F.lit(1)).alias("both"))
+        q.select("query_id", "neighbour").join(by_shuffle(classes), "neighbour").groupBy("query_id", "hot_set", "deg").agg(F.count(F.lit(1)).alias("both"))
     )
-    common = q_classes.join(members.drop("__m"), ["hot_set", "deg"]).select("query_id", "pos", "deg", "both")
+    if out_of is None:
+        q_classes = q_classes.withColumn("__out", F.lit(0).cast("long"))
+    else:
+        q_classes = q_classes.join(by_shuffle(out_of), ["query_id", "hot_set", "deg"], "left").fillna(0, ["__out"])
+    # The first k + 1 + out members lie in so many blocks of k + 1.
+    opened = q_classes.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__out") + k) / (k + 1)))))
+    met = opened.join(by_shuffle(members), ["hot_set", "deg", "__block"]).filter(F.col("__m") <= F.col("__out") + (k + 1))
+    common = met.select("query_id", "pos", "deg", "both")
     pairs = rare.unionByName(common).groupBy("query_id", "pos").agg(F.first("deg").alias("deg"), F.max("both").alias("both"))
     scored = (
-        pairs.join(q_degree, "query_id")
+        pairs.join(by_shuffle(q_degree), "query_id")
         .filter(F.concat(F.lit(prefix), F.col("pos").cast("string")) != F.col("__self"))
         .withColumn("score", F.col("both") / (F.col("deg") + F.col("qdeg") - F.col("both")))
         .select("query_id", "pos", "score")
     )
     if exclude is not None:
-        scored = scored.join(exclude.select("query_id", "pos").distinct(), ["query_id", "pos"], "left_anti")
+        scored = scored.join(by_shuffle(exclude), ["query_id", "pos"], "left_anti")
     return top_n_per_group(scored, ["query_id"], [F.col("score").desc(), F.col("pos")], k)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from slatewise.functions import expressions as X
 from slatewise.operators.blocked_topk import BROADCAST_BYTES, SCORE_DIGITS, blocked_top_k, drop_own_group, own_groups
-from slatewise.operators.scale import spread, top_n_per_group
+from slatewise.operators.scale import by_shuffle, spread, top_n_per_group
 from slatewise.session import written
 
 #: Distinct queries that travel to the texts as one batch, if their counted size allows it too.
@@ -171,8 +171,8 @@ def text_top_k(
     same = F.col("bag").eqNullSafe(F.col("__bag"))
     for column in own:
         same = same & F.col(column).eqNullSafe(F.col(f"__{column}"))
-    askers = bags.join(named.select("query_id", "bag", *own), same).select("__id", "query_id", *(["self_pos"] if exclude_self else []))
-    answers = askers.join(complete, "query_id").drop("query_id").withColumnRenamed("__id", "query_id")
+    askers = bags.join(by_shuffle(named.select("query_id", "bag", *own)), same).select("__id", "query_id", *(["self_pos"] if exclude_self else []))
+    answers = askers.join(by_shuffle(complete), "query_id").drop("query_id").withColumnRenamed("__id", "query_id")
     if exclude_self:
         others = answers.filter(~F.col("pos").eqNullSafe(F.col("self_pos"))).drop("rank")
         answers = top_n_per_group(others, ["query_id"], [F.col("score").desc(), F.col("pos")], k)
@@ -188,7 +188,7 @@ def text_candidates(
     """
     found = text_top_k(items, queries, k, exclude_self="self_pos" in queries.columns)
     keep = ["pos", "item_id", "title", *([attribute_count] if attribute_count else [])]
-    joined = found.withColumnRenamed("score", "text").join(items.select(*keep), "pos")
+    joined = found.withColumnRenamed("score", "text").join(by_shuffle(items.select(*keep)), "pos")
     lift = F.col(attribute_count) * bonus if attribute_count else F.lit(0.0)
     return joined.withColumn("multimodal", lift).withColumn("score", F.col("text") + F.col("multimodal"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from slatewise.functions import expressions as X
 from slatewise.operators import coldstart, graph, policy, ranking, text_similarity, vectors as V
-from slatewise.operators.scale import top_n_per_group
+from slatewise.operators.scale import by_shuffle, top_n_per_group
 from slatewise.session import reliable_checkpoint
 
 SIGNALS = ranking.SIGNALS
@@ -62,7 +62,7 @@ def rerank(candidates: DataFrame, metadata: DataFrame | None, config: RecommendC
     if metadata is None:
         top = top.withColumn("cohort", F.lit(None).cast("string")).withColumn("category", F.lit(None).cast("string"))
     else:
-        top = top.join(metadata.select("item_id", "cohort", "category"), "item_id", "left")
+        top = top.join(by_shuffle(metadata.select("item_id", "cohort", "category")), "item_id", "left")
     penalized = policy.cohort_exposure_penalty(top, config.max_per_cohort, hot_rows=None)
     penalized = penalized.withColumn("score", F.col("penalized_score")).withColumn("rank", F.col("new_rank")).drop("penalized_score", "new_rank")
     grouped = penalized.withColumn("group_key", X.diversity_group(F.col("title"), F.col("category")))
@@ -94,49 +94,49 @@ def recommend(
     """
     asked = queries.withColumn("__title", F.lower(F.trim("query_title")))
     first = catalog.groupBy("title").agg(F.min("pos").alias("self_pos")).withColumnRenamed("title", "__title")
-    asked = asked.join(first, "__title", "left")
+    asked = asked.join(by_shuffle(first), "__title", "left")
     known, unknown = asked.filter(F.col("self_pos").isNotNull()), asked.filter(F.col("self_pos").isNull())
 
     # Equal titles have equal channels: they are searched once and joined back.
     titles = known.select("__title", "self_pos").distinct()
     # A title is never recommended to itself: its items are left out of every channel before that is cut.
     grouped = catalog.withColumn("item_group", F.col("title"))
-    texts = titles.join(catalog.select(F.col("pos").alias("self_pos"), "text"), "self_pos")
+    texts = titles.join(by_shuffle(catalog.select(F.col("pos").alias("self_pos"), "text")), "self_pos")
     texts = texts.select(F.col("self_pos").alias("query_id"), "self_pos", "text", F.col("__title").alias("own_group"))
     found = text_similarity.text_candidates(grouped, texts, config.text_k)
     channels = [_shape(found, "hybrid_text_multimodal", 0, text=F.col("text"), multimodal=F.col("multimodal"))]
     if vectors is not None:
-        asked_vectors = titles.join(vectors.select(F.col("pos").alias("self_pos"), F.col("vector").alias("embedding")), "self_pos")
+        asked_vectors = titles.join(by_shuffle(vectors.select(F.col("pos").alias("self_pos"), F.col("vector").alias("embedding"))), "self_pos")
         asked_vectors = asked_vectors.select(F.col("self_pos").alias("query_id"), "embedding", F.col("__title").alias("own_group"))
-        items = V.usable_vectors(vectors).join(grouped.select("pos", "item_group"), "pos")
+        items = V.usable_vectors(vectors).join(by_shuffle(grouped.select("pos", "item_group")), "pos")
         near = V.exact_search(items, asked_vectors, config.vector_k)
-        near = near.join(catalog.select("pos", "item_id", "title"), "pos")
+        near = near.join(by_shuffle(catalog.select("pos", "item_id", "title")), "pos")
         channels.append(_shape(near, "vector_index", 1, multimodal=F.col("score")))
     if edges is not None:
         nodes = titles.select(F.col("self_pos").alias("query_id"), F.lit("movie_title").alias("type"), F.col("__title").alias("id"))
-        own = titles.join(catalog.select(F.col("title").alias("__title"), "pos"), "__title").select(F.col("self_pos").alias("query_id"), "pos")
+        own = titles.join(by_shuffle(catalog.select(F.col("title").alias("__title"), "pos")), "__title").select(F.col("self_pos").alias("query_id"), "pos")
         linked = graph.structural_search(edges, nodes, config.graph_k, exclude=own).withColumn("score", F.col("score") * config.graph_weight)
-        channels.append(_shape(linked.join(catalog.select("pos", "item_id", "title"), "pos"), "graph", 2))
+        channels.append(_shape(linked.join(by_shuffle(catalog.select("pos", "item_id", "title")), "pos"), "graph", 2))
     merged = channels[0]
     for channel in channels[1:]:
         merged = merged.unionByName(channel)
     best = merge_channels(merged).withColumnRenamed("query_id", "self_pos")
-    primary = known.select("query_id", "self_pos").join(best, "self_pos").select(*CANDIDATE_COLUMNS)
+    primary = known.select("query_id", "self_pos").join(by_shuffle(best), "self_pos").select(*CANDIDATE_COLUMNS)
     # Read twice below: once to see which queries are short of items, once for the slates.
     primary = reliable_checkpoint(primary)
 
     counts = primary.groupBy("query_id").agg(F.count(F.lit(1)).alias("__n"))
-    short = known.join(counts, "query_id", "left").filter(F.coalesce("__n", F.lit(0)) < config.final_k)
+    short = known.join(by_shuffle(counts), "query_id", "left").filter(F.coalesce("__n", F.lit(0)) < config.final_k)
     needy = short.select("query_id", F.col("query_title").alias("query_text"), "user_id", "meta_score", (config.final_k - F.coalesce("__n", F.lit(0))).alias("__need"))
     fresh = unknown.select("query_id", F.col("query_title").alias("query_text"), F.lit(None).cast("string").alias("user_id"), "meta_score", F.lit(None).cast("long").alias("__need"))
     requests = reliable_checkpoint(fresh.unionByName(needy))
     candidates = primary
     if requests.limit(1).count():
-        short_titles = requests.select("query_id").join(known.select("query_id", "__title"), "query_id")
-        own = short_titles.join(catalog.select(F.col("title").alias("__title"), "pos"), "__title").select("query_id", "pos")
-        listed = primary.join(requests.select("query_id"), "query_id", "left_semi").join(catalog.select("item_id", "pos"), "item_id").select("query_id", "pos")
+        short_titles = requests.select("query_id").join(by_shuffle(known.select("query_id", "__title")), "query_id")
+        own = short_titles.join(by_shuffle(catalog.select(F.col("title").alias("__title"), "pos")), "__title").select("query_id", "pos")
+        listed = primary.join(by_shuffle(requests.select("query_id")), "query_id", "left_semi").join(by_shuffle(catalog.select("item_id", "pos")), "item_id").select("query_id", "pos")
         cold = coldstart.cold_start_candidates(requests.drop("__need"), catalog, config.cold_start, exclude=own.union(listed))
-        cold = cold.join(requests.select("query_id", "__need"), "query_id")
+        cold = cold.join(by_shuffle(requests.select("query_id", "__need")), "query_id")
         kept = cold.filter(F.col("__need").isNull() | (F.col("rank") <= F.col("__need")))
         kept = coldstart.cold_start_signals(kept).withColumn("list_pos", F.col("rank") + 9 * CHANNEL_STRIDE)
         candidates = primary.unionByName(kept.select(*CANDIDATE_COLUMNS))
@@ -145,7 +145,7 @@ def recommend(
         ordered = explore(candidates.withColumnRenamed("list_pos", "pos"), config.text_k + config.vector_k + config.graph_k + config.cold_start.top_k)
         candidates = ordered.withColumn("list_pos", F.col("rank")).select(*CANDIDATE_COLUMNS)
     slates = rerank(candidates, metadata, config, model)
-    shown = slates.join(asked.select("query_id", "query_title"), "query_id")
+    shown = slates.join(by_shuffle(asked.select("query_id", "query_title")), "query_id")
     final = top_n_per_group(shown.withColumnRenamed("rank", "__rank"), ["query_id"], [F.col("__rank")], config.final_k)
     shadowed = policy.shadow_score(final.withColumn("query_text", F.lit("")))
     keep = ["query_id", "query_title", "rank", "item_id", "title", "score", "shadow_score", "channel", "text", "multimodal", "popularity", "recency", "novelty"]

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from slatewise.queries.load import all_queries
 
@@ -41,3 +42,33 @@ def test_slate_windows_share_one_exchange(spark):
     plan = _plan(spark, "cohort_exposure_penalty")
     # candidates: numbering by supplier, join with the parts; all later windows reuse the partitioning by query.
     assert len(re.findall(r"Exchange hashpartitioning\(query_id", plan)) <= 1
+
+
+def test_no_side_that_grows_is_broadcast(spark):
+    """Known titles over many copies of few texts: what Spark broadcasts stays a few rows, whatever the compressed size says."""
+    from slatewise.operators import graph
+    from slatewise.plans.recommend import recommend
+
+    n = 4000
+    part = lambda words: F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("pos") % len(words) + 1).cast("int"))
+    base = spark.range(n).select(F.col("id").alias("pos"), F.col("id").cast("string").alias("item_id"))
+    base = base.withColumn("title", part(["red bolt", "blue ring", "old gear"])).withColumn("provider", part(["x", "y"])).withColumn("genre", F.lit("small"))
+    items = base.withColumn("text", F.concat_ws(" ", "title", "genre", "provider")).withColumn("attribute_count", F.lit(1))
+    edges = graph.catalog_edges(base, {"provider": "director"}, "genre")
+    metadata = base.select("item_id", F.col("provider").alias("cohort"), F.col("genre").alias("category"))
+    asked = base.select(F.col("title").alias("query_id"), F.col("title").alias("query_title"), F.lit(None).cast("string").alias("user_id"), F.lit(0.1).alias("meta_score")).distinct()
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    assert recommend(asked, items, edges, metadata=metadata).count() == 30
+    most, found = 0, store.executionsList()
+    for i in range(found.size()):
+        number = found.apply(i).executionId()
+        if number < before:
+            continue
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for j in range(nodes.size()):
+            metrics = nodes.apply(j).metrics()
+            for m in range(metrics.size() if nodes.apply(j).name() == "BroadcastExchange" else 0):
+                if metrics.apply(m).name() == "number of output rows" and values.contains(metrics.apply(m).accumulatorId()):
+                    most = max(most, int(values.apply(metrics.apply(m).accumulatorId()).replace(",", "")))
+    assert most < n // 4
