@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.functions import expressions as X
-from slatewise.operators.scale import top_n_per_group
+from slatewise.operators.scale import by_shuffle, top_n_per_group
 
 
 def beta_state(rewards: DataFrame, prior_alpha: float = 1.0, prior_beta: float = 1.0) -> DataFrame:
@@ -29,7 +29,7 @@ def ucb_state(rewards: DataFrame) -> DataFrame:
 def ucb_select(candidates: DataFrame, state: DataFrame, k: int, exploration: float = math.sqrt(2.0)) -> DataFrame:
     """Half score, half optimistic reward bound (at most 1; 1 for unseen items). Without any pull the input order stays."""
     pulls = state.agg(F.coalesce(F.sum("pulls"), F.lit(0)).alias("total_pulls"))
-    joined = candidates.join(state, "item_id", "left").join(F.broadcast(pulls))
+    joined = candidates.join(by_shuffle(state), "item_id", "left").join(F.broadcast(pulls))
     bound = F.coalesce(
         F.least(F.col("mean_reward") + exploration * F.sqrt(F.log(F.col("total_pulls").cast("double")) / F.col("pulls")), F.lit(1.0)),
         F.lit(1.0),
@@ -47,7 +47,7 @@ def thompson_select(candidates: DataFrame, state: DataFrame, k: int, seed: int =
         return pd.Series(values, dtype="float64")
 
     has_state = state.limit(1).count() > 0
-    joined = candidates.join(state, "item_id", "left").fillna(1.0, ["alpha", "beta"])
+    joined = candidates.join(by_shuffle(state), "item_id", "left").fillna(1.0, ["alpha", "beta"])
     if has_state:
         key = F.xxhash64(F.lit(seed), F.col("query_id").cast("string"), F.col("item_id").cast("string"))
         blended = 0.7 * F.col("score") + 0.3 * draw(key, F.col("alpha"), F.col("beta"))
