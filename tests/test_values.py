@@ -249,6 +249,24 @@ def test_features(spark):
     assert one(spark, c=X.vector_checksum(F.array(F.lit(0.5), F.lit(-1.25)))).c == hashlib.sha256(b"0.50000000,-1.25000000").hexdigest()
 
 
+def test_uniformity_numbers_ids_and_meets_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(150)] + [(150, None), (151, [1.0, None, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    ring = sorted(rows, key=lambda r: (int(hashlib.md5(str(r[0]).encode()).hexdigest()[:15], 16), r[0]))
+    unit = [None if v is None or None in v else np.array(v) / np.linalg.norm(v) for _, v in ring]
+    for n, partners, block in ((152, 32, 7), (152, 32, 64), (152, 32, 2048), (152, 500, 40)):
+        steps = min(partners, n - 1)
+        pairs = [(unit[i], unit[(i + s) % n]) for i in range(n) for s in range(1, steps + 1)]
+        want = math.log(np.mean([math.exp(-2.0 * ((a - b) ** 2).sum()) for a, b in pairs if a is not None and b is not None]))
+        got = embedding_quality.uniformity(df, partners, block=block)
+        assert got.first().rows == n and abs(got.first().uniformity - want) < 1e-9
+    from tests.test_coldstart_entities import _most_written
+
+    many = spark.range(3000).select("id", F.array(F.rand(1), F.rand(2)).alias("vector"))
+    assert _most_written(spark, lambda: embedding_quality.uniformity(many).first())[1] <= 2 * 3000
+
+
 def test_checksum_rounds_the_exact_value(spark):
     values = [0.103515625, -0.166015625, 2.5e-9, float("nan"), 1e20, None]
     assert one(spark, c=X.vector_checksum(F.array(*[F.lit(v).cast("double") for v in values]))).c == hashlib.sha256(",".join("%.8f" % v for v in values[:-1]).encode()).hexdigest()
