@@ -14,6 +14,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from slatewise.llm.common import map_rows
 
@@ -25,10 +26,11 @@ SAMPLE_PER_LANGUAGE = 300
 SAMPLE = 3000
 #: Every CHECK_FOLDS-th document, by the checksum of its id, is kept from learning.
 CHECK_FOLDS = 5
-#: Characters at which another limit of the score begins, the share of held-out documents beyond it that sets it, the parts in
-#: which a doubtful text is looked at again, and their least length.
+#: Characters at which another limit of the score begins, the share of held-out documents beyond it that sets it, the steps in
+#: which margins are counted for it, the parts in which a doubtful text is looked at again, and their least length.
 BANDS = (32, 128, 512)
 CLEAN_LOSS = 0.01
+STEPS = 1 << 16
 PASSAGES, LEAST_PASSAGE = 8, 100
 #: Text turned into trigrams at once.
 AT_ONCE = 1 << 20
@@ -137,10 +139,15 @@ def held_out(folds: int = CHECK_FOLDS, rest: int = 0) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == rest
 
 
-def _sample(docs: DataFrame, held: bool) -> list[tuple[str, np.ndarray, int]]:
-    """Language, trigrams and length of a hash sample of at most SAMPLE labelled rows, of the held-out ones or of the others."""
+def _labelled(docs: DataFrame, held: bool) -> DataFrame:
+    """The labelled rows whose text has a letter, the held-out ones or the others."""
     mine = held_out() if held else ~held_out()
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(mine & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(mine & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+
+
+def _sample(docs: DataFrame) -> list[tuple[str, np.ndarray]]:
+    """Language and trigrams of a hash sample of at most SAMPLE labelled rows that are not held out."""
+    labelled = _labelled(docs, held=False)
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE // 20).collect()
     each = min(SAMPLE_PER_LANGUAGE, SAMPLE // max(1, len(counts)))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
@@ -148,28 +155,43 @@ def _sample(docs: DataFrame, held: bool) -> list[tuple[str, np.ndarray, int]]:
     for row in counts:
         chance = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, each / row["count"]))).otherwise(chance)
     sample = labelled.filter(draw < chance).select("lang", "text").limit(2 * SAMPLE)
-    rows = map_rows(sample, "lang string, x binary, length bigint", lambda: lambda langs, texts: [(la, trigrams(t).tobytes(), len(t)) for la, t in zip(langs, texts)]).collect()
-    return [(la, np.frombuffer(x, dtype=np.float32), n) for la, x, n in sorted((r["lang"], bytes(r["x"]), r["length"]) for r in rows)]
+    rows = map_rows(sample, "lang string, x binary", lambda: lambda langs, texts: [(la, trigrams(t).tobytes()) for la, t in zip(langs, texts)]).collect()
+    return [(la, np.frombuffer(x, dtype=np.float32)) for la, x in sorted((r["lang"], bytes(r["x"])) for r in rows)]
 
 
 def fit_language_model(docs: DataFrame) -> LanguageModel:
     """Learn from text and lang of the documents that are not held out: a hash sample of at most SAMPLE rows in all."""
-    rows = _sample(docs, held=False)
+    rows = _sample(docs)
     x = np.stack([r[1] for r in rows]) if rows else np.empty((0, BUCKETS), dtype=np.float32)
     return LanguageModel(np.array([r[0] for r in rows], dtype=object), x)
 
 
 def fit_limits(model: LanguageModel, docs: DataFrame) -> np.ndarray:
     """The least score of a recognisable language for each band of lengths: that of half the margin which all but 1 % of the
-    held-out labelled documents of the band exceed (a hash sample of at most SAMPLE). A band without any has the limit 0."""
+    held-out labelled documents of the band exceed, of all of them. A band without any has the limit 0.
+
+    Spark counts the margins in steps of 1 / STEPS, so a band's running count has a bounded number of rows.
+    """
     limits = np.zeros(len(BANDS) + 1)
-    rows = _sample(docs, held=True) if model.languages else []
-    if rows:
-        scores = model.predict(np.stack([r[1] for r in rows]))[1]
-        bands = np.searchsorted(BANDS, [r[2] for r in rows], side="right")
-        for band in np.unique(bands):
-            low = np.clip(np.quantile(scores[bands == band], CLEAN_LOSS), 0.5, 1 - 1e-12)
-            limits[band] = 1 / (1 + np.exp(-np.log(low / (1 - low)) / 2))
+    if not model.languages:
+        return limits
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        label = sent.value.label
+        band = lambda text: int(np.searchsorted(BANDS, len(text), side="right"))
+        step = lambda score: int(np.floor(np.log(score / (1 - score)) * STEPS))
+        return lambda texts: [(band(t), step(np.clip(score, 1e-12, 1 - 1e-12))) for t, (_, score) in zip(texts, label(texts))]
+
+    steps = map_rows(_labelled(docs, held=True).select("text"), "band int, step bigint", make).groupBy("band", "step").agg(F.count(F.lit(1)).alias("n"))
+    placed = steps.withColumn("upto", F.sum("n").over(Window.partitionBy("band").orderBy("step"))).withColumn("all", F.sum("n").over(Window.partitionBy("band")))
+    place = (F.col("all") - 1) * CLEAN_LOSS
+    at = lambda number: F.min(F.when(F.col("upto") > number, F.col("step")))
+    found = placed.groupBy("band").agg(at(F.floor(place)).alias("below"), at(F.ceil(place)).alias("above"), F.max(place - F.floor(place)).alias("share"))
+    for row in found.collect():  # a row per band
+        below, above = (1 / (1 + np.exp(-row[name] / STEPS)) for name in ("below", "above"))
+        low = np.clip(below + (above - below) * row["share"], 0.5, 1 - 1e-12)
+        limits[row["band"]] = 1 / (1 + np.exp(-np.log(low / (1 - low)) / 2))
     return limits
 
 

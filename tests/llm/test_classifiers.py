@@ -185,3 +185,23 @@ def test_limit_of_words_lies_between_clean_texts_and_texts_without_common_words(
 def test_duplicate_lines(spark):
     row = judge(documents(spark, ["a b\n\n \na b\n \nc\nc \nc"])).first()
     assert row["n_dup_lines"] == 2 and row["n_words"] == 7
+
+
+def test_language_limits_come_from_all_held_out_documents(spark):
+    from slatewise.llm.language import BANDS, CHECK_FOLDS, CLEAN_LOSS, fit_language_model, fit_limits
+
+    rng = np.random.default_rng(6)
+    words = {"en": "the and with house river stone of that".split(), "fr": "le est avec maison pierre dans que une".split()}
+    rows = []
+    for i in range(8000):
+        lang, other = ("en", "fr") if i % 2 else ("fr", "en")
+        rows.append((i, " ".join(rng.choice(words[lang if rng.random() < rng.random() ** 0.1 else other]) for _ in range(rng.integers(3, 40))), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit_language_model(docs)
+    held = [text for i, text, _ in rows if zlib.crc32(str(i).encode()) % CHECK_FOLDS == 0]
+    scores, bands = np.array([score for _, score in model.label(held)]), np.searchsorted(BANDS, [len(t) for t in held], side="right")
+    limits = fit_limits(model, docs)
+    assert len(held) > 1500
+    for band in np.unique(bands):
+        low = np.clip(np.quantile(scores[bands == band], CLEAN_LOSS), 0.5, 1 - 1e-12)
+        assert abs(limits[band] - 1 / (1 + np.sqrt((1 - low) / low))) < 1e-4
