@@ -325,6 +325,21 @@ def test_factor_training(spark):
     assert sum(wins) / len(wins) > 0.7
 
 
+def test_negatives_are_held_against_the_history_where_it_is(spark):
+    """Picks move once, to the numbered items; rows without user or item are in nobody's history."""
+    rng = np.random.default_rng(4)
+    pairs = [(int(u), int(i)) for u, i in zip(rng.integers(0, 6, 90), rng.integers(0, 12, 90))] + [(None, 3), (2, None), (1, 99)]
+    df = spark.createDataFrame(pairs, "user_id long, item_id long")
+    number = lambda *parts: int(hashlib.md5("_".join(str(p) for p in parts if p is not None).encode()).hexdigest()[:15], 16)
+    items = sorted({i for _, i in pairs}, key=lambda i: number(5, i))
+    picks = [(u, i, items[number(5, 2, u, i, k) % len(items)]) for u, i in set(pairs) for k in range(3)]
+    want = [(u, i, n) for u, i, n in picks if None in (u, n) or (u, n) not in set(pairs)]
+    got = training.sample_negatives(df, round_no=2)
+    order = lambda rows: sorted(rows, key=str)
+    assert order(tuple(r) for r in got.collect()) == order(want)
+    assert "LeftAnti" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_embedding_quality(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [0.0, 0.0])], "id long, vector array<double>")
     pairs = spark.createDataFrame([(0, 1), (0, 9)], "a long, b long")
