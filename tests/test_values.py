@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -340,6 +341,32 @@ def test_negatives_are_held_against_the_history_where_it_is(spark):
     assert "LeftAnti" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_factor_blocks_hold_each_vector_once_and_add_up(spark):
+    """One epoch in blocks is the epoch over all triples, and no vector travels to a block more than once."""
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(int(u), int(i)) for u, i in zip(rng.integers(0, 40, 300), rng.integers(100, 130, 300))], "user_id int, item_id int")
+    laid = training.factor_training(df, block_rows=20)
+    assert laid.history.select("block").distinct().count() > 5
+    gather = lambda rows, factors: pa.table({"side": factors["side"], "id": factors["id"], "block": pa.array([rows["block"][0].as_py()] * len(factors), pa.int32())})
+    start = [{r[0]: np.array(r.vector) for r in side.collect()} for side in training.pairwise_factors(df, dim=4, epochs=0, laid=laid)]
+    flat = [(0, u, v.tolist()) for u, v in start[0].items()]
+    flat += [(1, r.number, start[1][r.negative_id].tolist()) for r in laid.items.collect()]
+    factors = spark.createDataFrame(flat, "side int, id long, vector array<double>")
+    moved = [tuple(r) for r in laid.over_blocks(factors, 0, 4, gather, "side int, id long, block int").collect()]
+    assert moved and len(moved) == len(set(moved))
+    sums, times = {}, {}
+    for u, p, n in training.sample_negatives(df).collect():
+        x, y, z = start[0][u], start[1][p], start[1][n]
+        weight = 1.0 / (1.0 + np.exp(x @ (y - z)))
+        for key, slope in (((0, u), weight * (y - z)), ((1, p), weight * x), ((1, n), -weight * x)):
+            sums[key], times[key] = sums.get(key, 0.0) + slope, times.get(key, 0) + 1
+    after = training.pairwise_factors(df, dim=4, epochs=1, rate=0.5, l2=0.0, laid=laid)
+    for side in (0, 1):
+        for key, *_, vector in after[side].collect():
+            want = start[side][key] + (0.5 * sums[side, key] / times[side, key] if (side, key) in times else 0.0)
+            assert np.allclose(vector, want, atol=1e-12)
+
+
 def test_embedding_quality(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [0.0, 0.0])], "id long, vector array<double>")
     pairs = spark.createDataFrame([(0, 1), (0, 9)], "a long, b long")
