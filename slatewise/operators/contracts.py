@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slatewise.operators.scale import spread
+
 # Required and optional fields with their JSON types, per record kind.
 ASSET_FIELDS = {
     "uri": ("string", True),
@@ -128,7 +130,7 @@ def validate_records(records: DataFrame, contract: str, payload: str = "payload"
         listed.append(F.array(F.when(kind.isNotNull() & ~kind.isin(*KNOWN_EVENT_TYPES), F.lit("event_type: unknown"))))
     found = F.filter(F.concat(*listed), lambda p: p.isNotNull())
     shaped = F.when(F.col("__record").isNull(), F.array(F.lit("record: not JSON"))).otherwise(found)
-    checked = records.withColumn("__record", record).withColumn("violations", shaped)
+    checked = spread(records).withColumn("__record", record).withColumn("violations", shaped)
     return checked.withColumn("valid", F.size("violations") == 0).drop("__record")
 
 

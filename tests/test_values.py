@@ -367,6 +367,14 @@ def test_factor_blocks_hold_each_vector_once_and_add_up(spark):
             assert np.allclose(vector, want, atol=1e-12)
 
 
+def test_contract_checks_use_all_cores(spark):
+    """A table of one split is dealt out before its records are checked."""
+    rows = spark.range(40).coalesce(1).selectExpr("id AS pos", "CASE WHEN id % 2 = 0 THEN '{}' ELSE 'x' END AS payload")
+    checked = contracts.validate_records(rows, "user")
+    assert checked.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert {(r.pos % 2, r.violations[0]) for r in checked.collect()} == {(0, "user_id: missing"), (1, "record: not JSON")}
+
+
 def test_embedding_quality(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [0.0, 0.0])], "id long, vector array<double>")
     pairs = spark.createDataFrame([(0, 1), (0, 9)], "a long, b long")
