@@ -375,6 +375,15 @@ def test_contract_checks_use_all_cores(spark):
     assert {(r.pos % 2, r.violations[0]) for r in checked.collect()} == {(0, "user_id: missing"), (1, "record: not JSON")}
 
 
+def test_beta_draws_are_those_of_seeded_generators():
+    rng = np.random.default_rng(6)
+    keys = np.concatenate([[0, 1, 2**32 - 1, 2**32, 2**63 - 1], rng.integers(0, 2**63 - 1, 300)])
+    alpha, beta = rng.uniform(0.2, 90.0, len(keys)), rng.uniform(0.2, 90.0, len(keys))
+    want = [np.random.default_rng(int(k)).beta(a, b) for k, a, b in zip(keys, alpha, beta)]
+    assert (bandits.beta_draws(keys, alpha, beta) == np.array(want)).all()
+    assert len(bandits.beta_draws(keys[:0], alpha[:0], beta[:0])) == 0
+
+
 def test_embedding_quality(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [0.0, 0.0])], "id long, vector array<double>")
     pairs = spark.createDataFrame([(0, 1), (0, 9)], "a long, b long")
