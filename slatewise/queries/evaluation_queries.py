@@ -111,7 +111,7 @@ def listmle_loss(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("listmle_loss_ranges", _LISTMLE_SQL.format(g="pos", o="query_id"))
 def listmle_loss_ranges(spark: SparkSession, folder: str) -> DataFrame:
-    """The lines in the same place of all orders as one list: a few long lists, laid out in ranges of at most 10,000 or so."""
+    """The lines in the same place of all orders as one list: a few long lists, laid out in ranges of 10,000 or so, larger ones where those would be too many."""
     lists = slates(spark, folder).select(F.col("pos").alias("query_id"), F.col("query_id").alias("pos"), "label", "score")
     return losses.listmle(lists, hot_rows=10_000).select("query_id", r6("loss", "loss"))
 

@@ -56,6 +56,14 @@ def test_ranges_grow_with_rows(spark):
         assert max(r["count"] for r in laid.groupBy("__range").count().collect()) <= 200
 
 
+def test_ranges_do_not_multiply_with_the_rows(spark):
+    """A low limit on groups lays small tables out in small ranges, and large tables in larger ranges, not in more and more tasks."""
+    df = spark.range(60_000).withColumn("k", F.col("id") % 3)
+    cut = running_sums(df, ["k"], ["id"], {"s": "id"}, hot_rows=100)
+    assert 200 <= len(cut.inputFiles()) <= 256
+    assert cut.exceptAll(running_sums(df, ["k"], ["id"], {"s": "id"}, hot_rows=None)).count() == 0
+
+
 def test_global_numbers_are_dense(spark):
     df = numbered(_skewed(spark), [], ["v", "pos"], "n", hot_rows=200)
     assert sorted(r.n for r in df.collect()) == list(range(1, 3001))
