@@ -384,6 +384,21 @@ def test_beta_draws_are_those_of_seeded_generators():
     assert len(bandits.beta_draws(keys[:0], alpha[:0], beta[:0])) == 0
 
 
+def test_long_lists_pull_label_by_label(spark, monkeypatch):
+    """Taking labels one by one gives the slopes of all pairs at once; a list's rows share a partition throughout."""
+    rng = np.random.default_rng(12)
+    blocks = lambda n: (rng.integers(0, 3, n).astype(float), rng.uniform(size=n), rng.normal(size=n))
+    for left, right in ((blocks(40), blocks(25)), (blocks(1), blocks(30)), ((np.ones(9), np.ones(9), np.arange(9.0)),) * 2):
+        side, change, ahead = losses.pair_terms(*[c[None, :] for c in (*left, *right)])
+        monkeypatch.setattr(training, "LONG_PASS", 50)
+        slope, half = training._long_pulls(*left, *right)
+        assert np.allclose(slope, -(side * change / (1.0 + np.exp(ahead))).sum(axis=2)[0], atol=1e-12)
+        assert np.allclose(half, 0.5 * (side != 0).sum(axis=2)[0])
+    rows = spark.range(300).selectExpr("cast(id % 7 as string) AS query_id", "id AS pos", "cast(id % 3 as double) AS label", "array(cast(id as double)) AS x")
+    placed = training._by_list(rows).withColumn("__at", F.spark_partition_id())
+    assert placed.groupBy("query_id").agg(F.countDistinct("__at").alias("n")).agg(F.max("n")).first()[0] == 1
+
+
 def test_embedding_quality(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [0.0, 0.0])], "id long, vector array<double>")
     pairs = spark.createDataFrame([(0, 1), (0, 9)], "a long, b long")
