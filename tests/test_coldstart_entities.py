@@ -179,3 +179,14 @@ def test_recommend_unknown_and_known(spark):
     assert "red storm" not in set(known.title) and 5 <= len(known) <= 10
     assert known.sort_values("rank").title.iloc[0] == "red storm two"
     assert len(unknown) == 10 and set(unknown.channel) == {"cold_start_new_user"}
+
+
+def test_word_sets_are_written_as_tables(spark):
+    """Word sets and prefixes are compressed columns in the shared folder."""
+    rows = [(i, i, f"alpha beta gamma w{i % 4} w{i % 3}") for i in range(24)]
+    members, pairs = entities.match_pairs(spark.createDataFrame(rows, "record_id long, pos long, name string"), 0.5)
+    assert pairs.inputFiles() and members.inputFiles()
+    words = [set(name.split()) for _, _, name in rows]
+    first = {frozenset(w): min(i for i, v in enumerate(words) if v == w) for w in words}
+    want = {(i, j) for a, i in first.items() for b, j in first.items() if i < j and len(a & b) / len(a | b) >= 0.5}
+    assert {(r.pos_i, r.pos_j) for r in pairs.collect()} == want
