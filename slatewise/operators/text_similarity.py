@@ -8,19 +8,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from slatewise.functions import expressions as X
-from slatewise.operators.blocked_topk import BROADCAST_BYTES, SCORE_DIGITS, blocked_top_k, drop_own_group, own_groups
-from slatewise.operators.scale import by_shuffle, spread, top_n_per_group
+from slatewise.operators.blocked_topk import BROADCAST_BYTES, Best, blocked_top_k, drop_own_group, own_groups
+from slatewise.operators.scale import by_shuffle, spread, spread_by, top_n_per_group
 from slatewise.session import written
 
 #: Distinct queries that travel to the texts as one batch, if their counted size allows it too.
 BATCH_QUERIES = 32_768
-#: Postings of one word that share a join key, at most about.
-PART_ROWS = 65536
-#: Thresholds are taken this much lower than computed.
-SLACK = 1e-9
+#: More queries are dealt into blocks of about so many, and of words of about so many bytes: each is indexed by one task.
+BLOCK_QUERIES, BLOCK_BYTES = 8192, 4 * 1024 * 1024
+#: Texts and letters of a part that a block of queries meets, at most about, and texts of it that are cut into words at once.
+PART_ROWS, PART_LETTERS, TEXTS_AT_ONCE = 65536, 16 * 1024 * 1024, 1024
 
 
 def bag_of_words(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_short: bool = False) -> DataFrame:
@@ -30,13 +30,13 @@ def bag_of_words(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_
     return docs.select(key, F.explode(words).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _folded(rows: DataFrame, key: str, words: Column, extras: list[str], keep: int) -> DataFrame:
-    """One row for all texts with the same words (in any order) and extras: the least key, the ``keep`` least keys, the words."""
-    bagged = rows.withColumn("words", F.sort_array(words)).withColumn("bag", F.sha2(F.array_join("words", " "), 256))
-    known = top_n_per_group(bagged.select(key, "words", "bag", *extras), ["bag", *extras], [F.col(key)], keep, "copy")
-    # At most ``keep`` keys of a text are gathered.
-    folded = known.groupBy("bag", *extras).agg(F.sort_array(F.collect_list(key)).alias("keys"), F.first("words").alias("words"))
-    return folded.withColumn(key, F.element_at("keys", 1))
+def _asked_once(rows: DataFrame, words: Column, extras: list[str]) -> DataFrame:
+    """(query_id, bag, words, extras): one row for all queries with the same words (in any order) and extras. They are hashed, not
+    sorted, so a task holds the distinct ones."""
+    lines = rows.select("query_id", F.array_join(F.sort_array(words), " ").alias("line"), *extras)
+    named = lines.groupBy("line", *extras).agg(F.min("query_id").alias("query_id"))
+    listed = F.when(F.col("line") == "", F.array().cast("array<string>")).otherwise(F.split("line", " "))
+    return named.select("query_id", F.sha2("line", 256).alias("bag"), listed.alias("words"), *extras)
 
 
 def _prepare(batch: pd.DataFrame):
@@ -67,81 +67,38 @@ def _cosine(prepared, items: pd.DataFrame) -> np.ndarray:
     return scores
 
 
-def _weights(rows: DataFrame, key: str) -> DataFrame:
-    """(key, token, w): word counts divided by the length of the text's count vector. Copied by no one, so its tasks follow rows."""
-    counts = rows.select(key, F.explode("words").alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    length = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("length"))
-    return counts.join(length, key).select(key, "token", (F.col("tf") / F.col("length")).alias("w"))
-
-
-def _scores(pairs: DataFrame, asked: DataFrame, postings: DataFrame) -> DataFrame:
-    """(query_id, pos, score) of pairs, over all their common words."""
-    wanted = pairs.join(asked.select("query_id", "token", "qw"), "query_id")
-    return wanted.join(postings.select("pos", "token", "w"), ["pos", "token"]).groupBy("query_id", "pos").agg(F.round(F.sum(F.col("qw") * F.col("w")), SCORE_DIGITS).alias("score"))
-
-
-def _meet(asked: DataFrame, postings: DataFrame) -> DataFrame:
-    """Query words with the postings of the same word; a frequent word's postings lie in several parts, one join key each."""
-    spread_words = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    return spread_words.join(postings, ["token", "part"])
-
-
-def _opened(heads: DataFrame, texts: DataFrame, depth: int) -> DataFrame:
-    """The best ``depth`` positions of every query, from the best texts and the positions that each stands for."""
-    opened = heads.select("query_id", "pos", "score").join(texts.select("pos", "keys"), "pos").select("query_id", F.explode("keys").alias("pos"), "score")
-    return top_n_per_group(opened, ["query_id"], [F.col("score").desc(), F.col("pos")], depth)
-
-
-def _pruned_top_k(texts: DataFrame, named: DataFrame, depth: int, part_rows: int) -> DataFrame:
-    """Best positions of folded queries among folded texts, by postings.
-
-    The texts of a query's rarest words give its k-th score so far; its most frequent words, as long as they alone can't reach
-    that score, name no candidates; of the others' candidates only those that can still reach it are scored over all words.
+def _dealt_top_k(items: DataFrame, words: Column, named: DataFrame, size: int, depth: int, part_rows: int) -> DataFrame:
+    """Best positions of any number of queries: blocks of queries meet parts of the texts, each pair of them in a group of bounded
+    size. A text travels once to every block, a query once to every part, and no pair of a text and a query travels
+    before it is among the best ``depth`` of its part.
     """
-    by_group = "own_group" in named.columns
-    groups, own = (["item_group"], ["own_group"]) if by_group else ([], [])
-    weighed = _weights(texts, "pos")
-    stats = weighed.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("parts", F.ceil(F.col("df") / part_rows))
-    sizes = texts.select("pos", F.size("keys").alias("copies"), *groups)
-    postings = written(weighed.join(stats.select("token", "parts"), "token").withColumn("part", F.pmod(F.xxhash64("pos"), F.col("parts"))).drop("parts").join(sizes, "pos"), "texts")
-    asked = written(_weights(named, "query_id").withColumnRenamed("w", "qw").join(stats, "token").join(named.select("query_id", *own), "query_id"), "texts")
-
-    def allowed(met: DataFrame) -> DataFrame:
-        return met.filter(~F.coalesce(F.col("own_group") == F.col("item_group"), F.lit(False))) if by_group else met
-
-    rare = Window.partitionBy("query_id").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
-    begun = asked.withColumn("before", F.coalesce(F.sum("df").over(rare), F.lit(0))).filter(F.col("before") < 2 * depth).filter(F.col("df") <= part_rows)
-    first = written(_scores(allowed(_meet(begun, postings)).select("query_id", "pos").distinct(), asked, postings).join(sizes, "pos"), "texts")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "pos")
-    upto = first.withColumn("upto", F.sum("copies").over(best.rowsBetween(Window.unboundedPreceding, 0)))
-    reached = upto.filter(F.col("upto") >= depth).groupBy("query_id").agg(F.max("score").alias("reached"))
-    bounded = asked.join(reached, "query_id", "left").withColumn("reached", F.coalesce("reached", F.lit(0.0)) - SLACK)
-
-    # What the words up to a word, from the most frequent on, can give at most: the length of that part of the query.
-    common = Window.partitionBy("query_id").orderBy(F.col("df").desc(), "token").rowsBetween(Window.unboundedPreceding, 0)
-    reach = bounded.withColumn("reach", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(common)))
-    essential = reach.filter(F.col("reach") >= F.col("reached"))
-    skipped = reach.filter(F.col("reach") < F.col("reached")).groupBy("query_id").agg(F.max("reach").alias("rest"))
-    named_rest = essential.join(skipped, "query_id", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
-    met = allowed(_meet(named_rest, postings)).groupBy("query_id", "pos").agg(
-        F.sum(F.col("qw") * F.col("w")).alias("part_score"), F.sum(F.col("w") * F.col("w")).alias("held"), F.first("rest").alias("rest"), F.first("reached").alias("least")
-    )
-    most = F.col("part_score") + F.col("rest") * F.sqrt(F.greatest(F.lit(0.0), 1.0 - F.col("held")))
-    open_pairs = written(met.filter(most >= F.col("least")).select("query_id", "pos", "part_score", "rest"), "texts")
-    # Where no word was skipped, the sum is the whole score.
-    whole = open_pairs.filter("rest = 0").select("query_id", "pos", F.round("part_score", SCORE_DIGITS).alias("score"))
-    scored = whole.unionByName(_scores(open_pairs.filter("rest > 0").select("query_id", "pos"), asked, postings))
-    found = written(_opened(top_n_per_group(scored, ["query_id"], [F.col("score").desc(), F.col("pos")], depth), texts, depth), "texts")
-
-    # Queries that found too few take the first texts without a common word. With at most 2 * depth places of a group, the
-    # first 4 * depth places leave enough for every query, whatever it has found and whichever group it leaves out.
-    counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("many"))
-    short = named.select("query_id", *own).join(counts, "query_id", "left").filter(F.coalesce("many", F.lit(0)) < depth).drop("many")
-    head = texts.select(F.explode("keys").alias("pos"), *groups)
-    head = top_n_per_group(head, groups, [F.col("pos")], 2 * depth, "place") if by_group else head
-    padded = allowed(short.join(F.broadcast(head.orderBy("pos").limit(4 * depth))))  # a fixed number of rows for a query
-    pads = padded.select("query_id", "pos").join(found.select("query_id", "pos"), ["query_id", "pos"], "left_anti").withColumn("score", F.lit(0.0))
-    return top_n_per_group(found.select("query_id", "pos", "score").unionByName(pads), ["query_id"], [F.col("score").desc(), F.col("pos")], depth)
+    groups, own = (["item_group"], ["own_group"]) if "own_group" in named.columns else ([], [])
+    texts, letters = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    parts = max(1, -(-texts // part_rows), -(-letters // PART_LETTERS))
+    blocks = max(1, -(-named.count() // BLOCK_QUERIES), -(-size // BLOCK_BYTES))
+    dealt = lambda key, many: F.pmod(F.xxhash64(key), F.lit(many))
+    every = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long")))
+    line = F.array_join(words, " ")
+    asked = named.select("query_id", F.array_join("words", " ").alias("line"), *own, dealt("query_id", blocks).alias("block"))
+    left = spread_by(asked.withColumn("part", every(parts)), "block", "part")
+    right = items.select(F.col("pos").cast("long").alias("pos"), line.alias("line"), *groups)
+    right = spread_by(right.withColumn("part", dealt("pos", parts)).withColumn("block", every(blocks)), "block", "part")
+
+    def listed(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.assign(words=[row.split(" ") if row else [] for row in frame["line"]]).drop(columns="line")
+
+    def meet(queries: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        best = Best(depth)
+        if len(queries) and len(part):
+            prepared = _prepare(listed(queries))
+            for start in range(0, len(part), TEXTS_AT_ONCE):
+                best.add_all(_cosine, prepared, len(queries), listed(part.iloc[start : start + TEXTS_AT_ONCE]))
+        return best.frame(queries["query_id"].to_numpy())
+
+    found = T.StructType([T.StructField("query_id", named.schema["query_id"].dataType), T.StructField("pos", T.LongType()), T.StructField("score", T.DoubleType())])
+    keys = ["block", "part"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, found)
+    return top_n_per_group(met, ["query_id"], [F.col("score").desc(), F.col("pos")], depth)
 
 
 def text_top_k(
@@ -152,31 +109,31 @@ def text_top_k(
     (self_pos, own_group). Texts without a common word score 0 and come last, by position.
 
     Equal queries are searched once. A batch of them whose counted size fits travels to the texts, which are scanned once and not
-    moved; more queries meet the texts, equal ones folded, in postings by word, pruned by each query's k-th score.
+    moved; more queries meet the texts in blocks.
     """
     words = X.word_list("text") if words is None else words
     depth = k + exclude_self
     by_group = "own_group" in queries.columns
     groups, own = (["item_group"], ["own_group"]) if by_group else ([], [])
-    named = written(_folded(queries.select("query_id", "text", *own), "query_id", words, own, 1).select("query_id", "bag", "words", *own), "asked")
+    named = written(_asked_once(queries, words, own), "asked")
     rows, size = named.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.array_join("words", " "))), F.lit(0))).first()
-    placed = spread(items).select(F.col("pos").cast("long").alias("pos"), "text", *groups)
     if rows <= broadcast_queries and size <= BROADCAST_BYTES:
+        placed = spread(items).select(F.col("pos").cast("long").alias("pos"), "text", *groups)
         complete = blocked_top_k(placed.select("pos", words.alias("words"), *groups), named.select("query_id", "words", *own), depth, _prepare, _cosine)
     else:
-        texts = written(_folded(placed, "pos", words, groups, depth), "texts")
-        complete = _pruned_top_k(texts, named, depth, part_rows)
+        complete = _dealt_top_k(items, words, named, size, depth, part_rows)
 
-    bags = queries.withColumn("bag", F.sha2(F.array_join(F.sort_array(words), " "), 256)).select(F.col("query_id").alias("__id"), F.col("bag").alias("__bag"), *[F.col(c).alias(f"__{c}") for c in own], *(["self_pos"] if exclude_self else []))
+    # The ``depth`` answers of a query are one row, already in order; a query that leaves itself out drops it from the list.
+    packed = complete.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "pos", "score"))).alias("best"))
+    told = named.select("query_id", "bag", *own).join(by_shuffle(packed), "query_id").select(F.col("bag").alias("__bag"), *[F.col(c).alias(f"__{c}") for c in own], "best")
+    asking = queries.select("query_id", F.sha2(F.array_join(F.sort_array(words), " "), 256).alias("bag"), *own, *(["self_pos"] if exclude_self else []))
     same = F.col("bag").eqNullSafe(F.col("__bag"))
     for column in own:
         same = same & F.col(column).eqNullSafe(F.col(f"__{column}"))
-    askers = bags.join(by_shuffle(named.select("query_id", "bag", *own)), same).select("__id", "query_id", *(["self_pos"] if exclude_self else []))
-    answers = askers.join(by_shuffle(complete), "query_id").drop("query_id").withColumnRenamed("__id", "query_id")
-    if exclude_self:
-        others = answers.filter(~F.col("pos").eqNullSafe(F.col("self_pos"))).drop("rank")
-        answers = top_n_per_group(others, ["query_id"], [F.col("score").desc(), F.col("pos")], k)
-    return answers.select("query_id", "pos", "score", "rank")
+    answers = asking.join(by_shuffle(told), same)
+    best = F.filter("best", lambda x: ~x["pos"].eqNullSafe(F.col("self_pos"))) if exclude_self else F.col("best")
+    answers = answers.select("query_id", F.posexplode(F.slice(best, 1, k)).alias("place", "found"))
+    return answers.select("query_id", "found.pos", "found.score", (F.col("place") + 1).cast("long").alias("rank"))
 
 
 def text_candidates(

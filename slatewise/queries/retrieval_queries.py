@@ -256,7 +256,7 @@ def text_similarity_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("text_postings_top_k", _TEXT_TOP_K_SQL)
 def text_postings_top_k(spark: SparkSession, folder: str) -> DataFrame:
-    """The same answers by pruned postings, the way of query sets that are too large to travel."""
+    """The same answers by blocks of queries and parts of the texts, the way of query sets that are too large to travel."""
     found = text_similarity.text_top_k(*_texts(spark, folder), 10, broadcast_queries=0)
     return found.select("query_id", "pos", r6("score", "score"), "rank")
 

@@ -207,3 +207,27 @@ def test_random_walk_follows_edges(spark):
     assert paths[999] == ["movie\u001fnone"] and len(paths[0]) == 3
     first = walk[(walk.step == 1) & (walk.walk_id < 999)]["node"].value_counts()
     assert len(first) == 2 and first.min() > 60
+
+
+def test_text_search_in_blocks(spark, monkeypatch):
+    """Many blocks of queries and many parts of the texts; no pair of a query and a text is joined by a word."""
+    monkeypatch.setattr(text_similarity, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(text_similarity, "PART_LETTERS", 90)
+    monkeypatch.setattr(text_similarity, "TEXTS_AT_ONCE", 2)
+    rng = random.Random(9)
+    texts = [(i, " ".join(rng.choice(["red", "the", "the", "nut", f"rare{i % 9}"]) for _ in range(rng.randrange(0, 7))), f"g{i % 4}") for i in range(60)]
+    items = spark.createDataFrame(texts, "pos long, text string, item_group string")
+    asked = items.select(F.col("pos").alias("query_id"), "text", F.col("item_group").alias("own_group"))
+    got = text_similarity.text_top_k(items, asked, 5, broadcast_queries=0)
+    assert _rows(got, "query_id", "pos", "score", "rank") == _plain_text_search(texts, [(i, t, None, g) for i, t, g in texts], 5)
+    assert "token" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_text_search_sorts_no_answers_of_copies(spark):
+    """The answers of equal queries are opened from one list: no window over all of them."""
+    items = spark.createDataFrame([(i, f"red nut {i % 3}") for i in range(30)], "pos long, text string")
+    found = text_similarity.similar_titles(items, 4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode" in plan and plan.index("Generate posexplode") < plan.index("Window")
+    assert plan.index("Join") < plan.index("Window")
+    assert _rows(found, "query_id", "pos", "score", "rank") == _plain_text_search([(r.pos, r.text, None) for r in items.collect()], [(r.pos, r.text, r.pos, None) for r in items.collect()], 4)
