@@ -51,9 +51,10 @@ def _shipped_names(names: DataFrame, letters: int) -> list[str] | None:
     return [row[0] for row in names.select("needle").collect()] if size <= letters else None
 
 
-def _scan(names: list[str], bodies: DataFrame, first_only: bool = False) -> DataFrame:
+def _scan(names: list[str], bodies: DataFrame, first_only: bool = False, fold: bool = False) -> DataFrame:
     """(needle, body_id) for every name, or only the first listed one, that occurs in a body: one pass over each body by a
-    matcher with failure links over all names."""
+    matcher with failure links over all names. A task holds one body at a time as text; with ``fold`` it is brought into
+    ``match_form`` right there."""
     schema = T.StructType([T.StructField("needle", T.StringType()), T.StructField("body_id", bodies.schema["body_id"].dataType)])
     if not names:
         return bodies.sparkSession.createDataFrame([], schema)
@@ -68,7 +69,10 @@ def _scan(names: list[str], bodies: DataFrame, first_only: bool = False) -> Data
         matcher.make_automaton()
         for batch in batches:
             rows, found = [], []
-            for row, body in enumerate(batch.column(1).to_pylist()):
+            for row, value in enumerate(batch.column(1)):
+                body = value.as_py()
+                if fold and body:
+                    body = unicodedata.normalize("NFKD", body).encode("ascii", "ignore").decode("ascii").lower().translate({32: None, 46: None})
                 hits = {number for _, number in matcher.iter(body)} if body else set()
                 hits = [min(hits)] if first_only and hits else sorted(hits)
                 found += [listed[number] for number in hits]
@@ -163,8 +167,13 @@ def longest_mention(texts: DataFrame, names: DataFrame, fold: bool = True, lette
     table = names.select("pos", "name", form(F.col("name")).alias("needle")).filter(F.col("needle") != "")
     # Of names that look the same only the longest, earliest one can win.
     table = table.groupBy("needle").agg(F.min(F.struct((-F.length("name")).alias("neg"), "pos", "name")).alias("n"))
-    bodies = spread(texts.select("text_id", "text")).select(F.col("text_id").alias("body_id"), form(F.col("text")).alias("body"))
+    bodies = spread(texts.select("text_id", "text")).select(F.col("text_id").alias("body_id"), F.col("text").alias("body"))
     listed = _shipped_names(table.orderBy("n"), letters)
-    pairs = contained_pairs(table, bodies, letters) if listed is None else _scan(listed, bodies, first_only=True)
+    formed = bodies.withColumn("body", F.lower("body"))
+    if listed is None:
+        pairs = contained_pairs(table, bodies.withColumn("body", match_form("body")) if fold else formed, letters)
+    else:
+        # Folded by the worker that matches, so that whole texts go to Python once.
+        pairs = _scan(listed, bodies, True, fold=True) if fold else _scan(listed, formed, True)
     hits = pairs.join(table, "needle")
     return hits.groupBy("body_id").agg(F.min("n").alias("n")).select(F.col("body_id").alias("text_id"), F.col("n.name").alias("name"), F.col("n.pos").alias("pos"))

@@ -190,3 +190,15 @@ def test_word_sets_are_written_as_tables(spark):
     first = {frozenset(w): min(i for i, v in enumerate(words) if v == w) for w in words}
     want = {(i, j) for a, i in first.items() for b, j in first.items() if i < j and len(a & b) / len(a | b) >= 0.5}
     assert {(r.pos_i, r.pos_j) for r in pairs.collect()} == want
+
+
+def test_folded_mention_sends_texts_to_python_once(spark):
+    rows = [(1, "Die ﬁne Café.Bar № 5"), (2, "ÉCOLE I.İ"), (3, None), (4, ""), (5, "plain cafebar"), (6, "日本")]
+    texts = spark.createDataFrame(rows, "text_id long, text string")
+    names = spark.createDataFrame([(0, "cafe bar"), (1, "école"), (2, "no5"), (3, "i i"), (4, "日本")], "pos long, name string")
+    found = search.longest_mention(texts, names)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "RLIKE(text" not in plan  # names alone go to the accent table
+    by_groups = search.longest_mention(texts, names, letters=0)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, by_groups.collect()))
+    assert {r.text_id: r.name for r in found.collect()} == {1: "cafe bar", 2: "école", 5: "cafe bar"}
