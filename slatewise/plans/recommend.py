@@ -92,7 +92,8 @@ def recommend(
     ``lambda rows, k: ucb_select(rows, state, k)``: it gets query_id, item_id, pos, score and more, with at most ``k`` rows of
     a query, and adds ``rank``. That order is the place that decides ties of the rankers; scores stay.
     """
-    asked = queries.withColumn("__title", F.lower(F.trim("query_title")))
+    # A request that is listed more than once is one request: its rows would multiply in every join by query_id.
+    asked = queries.distinct().withColumn("__title", F.lower(F.trim("query_title")))
     first = catalog.groupBy("title").agg(F.min("pos").alias("self_pos")).withColumnRenamed("title", "__title")
     asked = asked.join(by_shuffle(first), "__title", "left")
     known, unknown = asked.filter(F.col("self_pos").isNotNull()), asked.filter(F.col("self_pos").isNull())

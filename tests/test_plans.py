@@ -72,3 +72,12 @@ def test_no_side_that_grows_is_broadcast(spark):
                 if metrics.apply(m).name() == "number of output rows" and values.contains(metrics.apply(m).accumulatorId()):
                     most = max(most, int(values.apply(metrics.apply(m).accumulatorId()).replace(",", "")))
     assert most < n // 4
+
+
+def test_repeated_requests_are_one(spark):
+    from slatewise.plans.recommend import recommend
+
+    items = spark.createDataFrame([(i, str(i), f"red nut {i}", f"red nut {i}", 1) for i in range(30)], "pos long, item_id string, title string, text string, attribute_count int")
+    asked = spark.createDataFrame([("q", "red bolt", None, 0.1)] * 3, "query_id string, query_title string, user_id string, meta_score double")
+    rows = recommend(asked, items).collect()
+    assert len(rows) == 10 and len({r.item_id for r in rows}) == 10
