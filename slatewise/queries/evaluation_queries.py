@@ -249,9 +249,8 @@ def embedding_alignment(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "embedding_uniformity",
-    f"""WITH {VECTORS_SQL}, s AS (SELECT row_number() OVER (ORDER BY ('0x' || substr(md5(CAST(pos AS VARCHAR)), 1, 15))::BIGINT, pos) - 1 AS i, vector, count(*) OVER () AS n FROM vectors),
-      p AS (SELECT i, vector, n, unnest(range(1, least(32, n - 1) + 1)) AS k FROM s)
-      SELECT (SELECT count(*) FROM s) AS rows, round(ln(avg(exp(-2.0 * (2.0 - 2.0 * list_cosine_similarity(p.vector, s.vector))))), 6) AS uniformity FROM p JOIN s ON s.i = (p.i + p.k) % p.n""",
+    f"""WITH {VECTORS_SQL}
+      SELECT (SELECT count(*) FROM vectors) AS rows, round(ln(avg(exp(-2.0 * (2.0 - 2.0 * list_cosine_similarity(a.vector, b.vector))))), 6) AS uniformity FROM vectors a JOIN vectors b ON a.pos < b.pos""",
 )
 def embedding_uniformity(spark: SparkSession, folder: str) -> DataFrame:
     rows = vectors(spark, folder).select(F.col("pos").alias("id"), "vector")

@@ -427,3 +427,18 @@ def test_centroid_routing_in_blocks(spark):
     assert {r for _, r, *_ in alone} <= {"40", "unknown"}
     with pytest.raises(ValueError):
         vectors.route_by_centroid(items, centroids.limit(0))
+
+
+def test_uniformity_takes_all_pairs(spark):
+    """Rows by the dozen, copies, nulls, zero vectors and two lengths, in blocks of any size."""
+    rng = np.random.default_rng(6)
+    drawn = [rng.normal(size=5).tolist() for _ in range(120)]
+    rows = list(enumerate([*drawn, *drawn[:30], *drawn[:10], [0.0] * 5, [0.0] * 5, None, [1.0, None], *rng.normal(size=(20, 3)).tolist()]))
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    unit = [np.array(v) / (np.linalg.norm(v) or 1.0) for _, v in rows if v is not None and None not in v]
+    near = [math.exp(-2.0 * ((a - b) ** 2).sum()) for i, a in enumerate(unit) for b in unit[:i] if len(a) == len(b)]
+    for block in (7, 50, 64, 2048):
+        got = embedding_quality.uniformity(df, block=block).first()
+        assert got.rows == len(rows) and abs(got.uniformity - math.log(np.mean(near))) < 1e-9
+    assert embedding_quality.uniformity(df.filter("id in (162, 163)")).first().uniformity is None
+    assert embedding_quality.uniformity(df.filter("id < 1")).first().uniformity == 0.0
