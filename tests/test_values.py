@@ -442,3 +442,29 @@ def test_uniformity_takes_all_pairs(spark):
         assert got.rows == len(rows) and abs(got.uniformity - math.log(np.mean(near))) < 1e-9
     assert embedding_quality.uniformity(df.filter("id in (162, 163)")).first().uniformity is None
     assert embedding_quality.uniformity(df.filter("id < 1")).first().uniformity == 0.0
+
+
+def test_numbers_of_whole_arrays_are_those_of_the_column(spark):
+    from slatewise.functions.digests import hex_numbers
+
+    rows = [(0, 0), (7, 12345), (-3, 99), (10**18, -(10**18)), (2**63 - 1, -(2**63)), (100, 9), (99, 10)]
+    df = spark.createDataFrame(rows, "u long, p long")
+    for before, last in (((5, 0), (0, 1, 2)), ((123456789, 4321), (9, 10))):
+        want = df.select("u", "p", *[X.hex_number(*before, "u", "p", k).alias(f"k{k}") for k in last]).collect()
+        got = hex_numbers(before, np.array([r.u for r in want]), np.array([r.p for r in want]), last)
+        assert got.tolist() == [list(r[2:]) for r in want]
+    assert hex_numbers((5, 0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), (0, 1)).shape == (0, 2)
+
+
+def test_factor_training_keeps_rows_and_vectors_in_slices(spark, monkeypatch):
+    """Neither interactions nor vectors are shuffled one by one, and slices of any size give the same factors."""
+    rng = np.random.default_rng(12)
+    df = spark.createDataFrame([(int(u), int(i)) for u, i in zip(rng.integers(-20, 40, 600), rng.integers(0, 50, 600))], "user_id int, item_id int")
+    fit = lambda: [{r[0]: r.vector for r in side.collect()} for side in training.pairwise_factors(df, dim=4, epochs=2, rate=0.5)]
+    whole = fit()
+    laid = training.factor_training(df)
+    assert laid.history.count() <= laid.blocks and laid.packed(spark.range(9000).selectExpr("1 AS side", "id", "array(0D, 1D) AS vector"), 2).count() == 3
+    monkeypatch.setattr(training, "SLICE", 3)
+    monkeypatch.setattr(training, "HISTORY_SLICE", 5)
+    for a, b in zip(whole, fit()):
+        assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-12) for k in a)
