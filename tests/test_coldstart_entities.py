@@ -3,6 +3,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +203,27 @@ def test_folded_mention_sends_texts_to_python_once(spark):
     by_groups = search.longest_mention(texts, names, letters=0)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, by_groups.collect()))
     assert {r.text_id: r.name for r in found.collect()} == {1: "cafe bar", 2: "école", 5: "cafe bar"}
+
+
+def test_match_pairs_are_those_of_all_pairs_in_cells_of_any_size(spark, monkeypatch):
+    """Crowded blocks in chunks, blocks that share a cell, copies, and sets of very unlike size; no pair is shuffled."""
+    rng = np.random.default_rng(2)
+    words = ["red", "bolt", "ring", "nut", "steel", "small", "brass", "long", "thin", "x1", "x2", "x3"]
+    names = [" ".join([str(rng.choice(["abc", "abd", "zed"]))] + [str(w) for w in rng.choice(words, int(rng.integers(1, 9)))]) for _ in range(160)]
+    names += names[:20] + ["", "  ", None, "abc " + " ".join(f"w{i}" for i in range(3000)), "abc " + " ".join(f"w{i}" for i in range(2500))]
+    df = spark.createDataFrame(list(enumerate(names)), "pos long, name string").withColumn("record_id", F.concat(F.lit("r"), "pos"))
+    sets, first = {}, {}
+    for i, name in enumerate(names):
+        parts = (name or "").split()
+        first.setdefault((parts[0][:3] if parts else "unknown", frozenset(parts)), i)
+    for block, words_of in first:
+        sets.setdefault(block, []).append((first[block, words_of], words_of))
+    for threshold in (0.5, 0.8, 1.0):
+        want = {(b, min(i, j), max(i, j)): len(x & y) / len(x | y) for b, of in sets.items() for i, x in of for j, y in of if i < j and x and y and len(x & y) / len(x | y) >= threshold}
+        for cell in (16_384, 7):
+            monkeypatch.setattr(entities, "CELL_RECORDS", cell)
+            members, pairs = entities.match_pairs(df, threshold)
+            rows = pairs.collect()
+            assert {(r.block, r.pos_i, r.pos_j): r.score for r in rows} == want and len(rows) == len(want)
+            assert "SortMergeJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert {r.record_id: r["first"] for r in members.collect()}["r165"] == 5
