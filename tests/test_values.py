@@ -468,3 +468,24 @@ def test_factor_training_keeps_rows_and_vectors_in_slices(spark, monkeypatch):
     monkeypatch.setattr(training, "HISTORY_SLICE", 5)
     for a, b in zip(whole, fit()):
         assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-12) for k in a)
+
+
+def test_champion_reads_its_frame_once_and_leaves_little(spark, tmp_path, monkeypatch):
+    """What the frame comes from is computed once, and what an objective writes on its way is removed with it."""
+    from slatewise import session
+
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    monkeypatch.setattr(losses.auc, "__defaults__", (*losses.auc.__defaults__[:-1], 50))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    rng = np.random.default_rng(5)
+    rows = [(f"q{i % 9}", i, int(rng.integers(0, 2)), float(rng.normal()), float(rng.normal())) for i in range(300)]
+    frame = spark.createDataFrame(rows, "query_id string, pos long, label int, base double, text double")
+    name, _, table = training.champion(frame.mapInPandas(count, frame.schema), ["pointwise", "listmle"], training.FitConfig(epochs=2))
+    assert seen.value == 300 and table.count() == 2
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["frame"]
